@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fabulagraph.llm import decontaminate, language, mixing, quality, secrets
+from fabulagraph.llm import decontaminate, language, mixing, ngram_join, quality, secrets
 from fabulagraph.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, d: quality.op1(table(spark, d, "documents")),
     "op3_decontamination": lambda spark, d: decontaminate.op3(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op4_ngram_join": lambda spark, d: ngram_join.op4(table(spark, d, "documents")),
     "op5_secret_scan": lambda spark, d: secrets.op5(table(spark, d, "documents")),
     "op9_language_id": lambda spark, d: language.op9(table(spark, d, "documents")),
     "op10_source_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op3_decontamination": decontaminate.ORACLE,
+    "op4_ngram_join": ngram_join.ORACLE,
     "op5_secret_scan": secrets.ORACLE,
     "op10_source_mixing": mixing.ORACLE.format(docs="documents"),
 }
