@@ -1,13 +1,92 @@
-"""The corpus pipeline: documents through the stages, each over all that its predecessor kept."""
+"""The corpus pipeline: documents through five stages, each over all that its predecessor kept.
+
+1. language ID: documents without a recognised language go; a null ``lang`` is filled.
+2. n-gram join: of each group of near copies, the document of the least id stays.
+3. decontamination: contaminated documents go.
+4. secret scan: secrets are replaced in the text; no document goes.
+5. mixing: how many words of each document the mix takes.
+
+All but the last return the columns of ``documents``.  The first stage has no SQL, so
+``ORACLE_SQL`` is None; tests compare the run with a plain Python version.
+
+Nulls and edges: documents with null or blank texts have no language and go in the first
+stage; rows with a null id can't be named as copies and pass the second; of rows that
+share an id, one stays; empty tables give empty results; columns beyond those of
+``documents`` are left out.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fabulagraph.llm import decontaminate, language, mixing, ngram_join, secrets
+from fabulagraph.llm.store import checkpoint, table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: Of ids of documents that go, at most so many are sent to every executor (8 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.select(*COLUMNS)
+    model = language.fit(rows.where(~language.held_out(F.col("doc_id"), 3, 1)))
+    found = language.predict(rows, model).where(F.col("lang_pred") != language.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.select(*COLUMNS)
+    groups = checkpoint(ngram_join.op4(rows))
+    copies = checkpoint(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = rows.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(*COLUMNS)
+    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice.select("doc_id", "r.*").select(*COLUMNS))
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS[2:])
+    return decontaminate.judged(scanned).where(~F.col("contaminated")).select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.scan(docs.withColumn("_null", F.col("text").isNull()), keep=(*COLUMNS[2:], "_null"))
+    text = F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(
+        F.when(F.size("spans") > 0, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    )
+    changed = F.size("spans") > 0
+    return found.select("doc_id", text.alias("text"), "lang", "source", changed.alias("_c"), "n_chars").select(
+        "doc_id", "text", "lang", "source", F.when(F.col("_c"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    )
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.op10(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", decontaminate_benchmark),
+    ("secret_scan", redact_secrets),
+    ("source_mixing", mix_sources),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, each written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs
