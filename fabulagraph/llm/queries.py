@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fabulagraph.llm import decontaminate, language, mixing, ngram_join, quality, secrets
+from fabulagraph.llm import decontaminate, html, language, mixing, ngram_join, quality, secrets, urls
 from fabulagraph.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, d: quality.op1(table(spark, d, "documents")),
+    "op2_html_extraction": lambda spark, d: html.op2(table(spark, d, "pages")),
     "op3_decontamination": lambda spark, d: decontaminate.op3(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_ngram_join": lambda spark, d: ngram_join.op4(table(spark, d, "documents")),
     "op5_secret_scan": lambda spark, d: secrets.op5(table(spark, d, "documents")),
+    "op7_url_filter": lambda spark, d: urls.op7(table(spark, d, "pages")),
     "op9_language_id": lambda spark, d: language.op9(table(spark, d, "documents")),
     "op10_source_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
 }
