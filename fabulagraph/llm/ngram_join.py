@@ -15,12 +15,13 @@ may lie in:
 cost.  Empty subsets would collide in many sets and are not posted; a set with more empty
 segments than the allocation allows for posts them after all, so no link is lost.
 
-Equal sets are one node.  Signatures meet in sorted runs, where each node is paired with
-the run's least node alone; map tasks do the same to their own rows first, so a signature
-in a third of all rows sends a row a task.  Pairs are verified exactly on the shingle
-sets of the texts.  A second round takes, for signatures whose members are not all
-connected yet, the pairs across components, so links that the first round's stars miss
-are found.  Components come from contraction.
+Equal sets are one node.  Signatures meet in sorted runs; map tasks pair their own rows
+first, so a signature in a third of all rows sends a row a task.  In the first round, each
+node is verified, exactly and on the shingle sets of the texts, against the most widely
+shared nodes of its signatures.  A second round takes, for signatures whose members are not all
+connected yet, pairs across components: all of them where few nodes share a signature;
+else each node looks others up by subsets and one-deletion neighbourhoods, in the segments
+that cost least.  Components come from contraction.
 
 Nulls and edges: a null or blank text has an empty set and is linked with nothing; rows
 with equal sets are always linked, repeated rows and equal ids too; a null id takes part,
@@ -31,11 +32,11 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulagraph.llm import hashing
@@ -80,6 +81,20 @@ def bands_of(size: int, percent: int = PERCENT) -> list[int]:
     return list(range(int(first), int(last) + 1))
 
 
+def _sizes(band: int) -> tuple[int, int]:
+    edges = _edges(64)
+    while band + 1 >= len(edges):
+        edges = _edges(edges[-1] * 2)
+    return edges[band], edges[band + 1] - 1
+
+
+@lru_cache(maxsize=None)
+def most_different(band: int, percent: int = PERCENT) -> int:
+    """Elements that similar sets, the smaller one of the band, differ by at most."""
+    _, most = _sizes(band)
+    return (100 - percent) * (most + most * 100 // percent) // (100 + percent)
+
+
 @lru_cache(maxsize=None)
 def allocate(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
     """(segments, segments of threshold 1, allowed loss by empty segments) of a band.
@@ -88,11 +103,8 @@ def allocate(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
     count 1 and thresholds 1 count 2; together they must exceed H plus the allowed loss.
     Of all such choices, the one of least estimated cost is taken.
     """
-    edges = _edges(64)
-    while band + 1 >= len(edges):
-        edges = _edges(edges[-1] * 2)
-    lo, most = edges[band], edges[band + 1] - 1
-    differ = (100 - percent) * (most + most * 100 // percent) // (100 + percent)
+    lo, most = _sizes(band)
+    differ = most_different(band, percent)
     best = None
     for loss in range(0, 1 + max(1, differ // 40)):
         need = differ + 1 + loss
@@ -111,33 +123,44 @@ def allocate(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
     return best[1] if best else (1, 0, 0)
 
 
+def _cut(hashes: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, ...]:
+    """Of a set in a band: segment of each element, sizes, sums and salts of the segments, element values."""
+    m = allocate(band, percent)[0]
+    element = hashing.mix(hashes + _U(0x51ED270B))
+    # segments are equal stretches of the hashes' range, so a sorted set lies in order
+    place = (((hashes >> _U(32)) * _U(m)) >> _U(32)).astype(np.int64)
+    ends = np.searchsorted(place, np.arange(m), "right")
+    sizes = np.diff(ends, prepend=0)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(element, dtype=np.uint64)])
+    salt = hashing.mix(np.arange(m, dtype=np.uint64) + _U(band * 0x100000001 + 1))
+    return place, sizes, total[ends] - total[ends - sizes], salt, element
+
+
 def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """What a set (ascending hashes) posts, for all its bands."""
-    n = len(hashes)
     out = []
-    element = hashing.mix(hashes + _U(0x51ED270B))
-    for band in bands_of(n, percent):
+    for band in bands_of(len(hashes), percent):
         m, ones, loss = allocate(band, percent)
-        # segments are equal stretches of the hashes' range, so a sorted set lies in order
-        place = ((hashes >> _U(32)) * _U(m)) >> _U(32)
-        ends = np.searchsorted(place, np.arange(m, dtype=np.uint64), "right")
-        sizes = np.diff(ends, prepend=0)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(element, dtype=np.uint64)])
-        subset = total[ends] - total[ends - sizes]
-        salt = hashing.mix(np.arange(m, dtype=np.uint64) + _U(band * 0x100000001 + 1))
-        posted = hashing.mix(subset + salt)
+        place, sizes, subset, salt, element = _cut(hashes, band, percent)
         lost = int((sizes[ones:] == 0).sum()) + 2 * int((sizes[:ones] <= 1).sum())
         keep = sizes > 0 if lost <= loss else np.ones(m, bool)
-        out.append(posted[keep])
+        out.append(hashing.mix(subset + salt)[keep])
         if ones:
-            cut = ends[ones - 1]
-            seg = place[:cut].astype(np.int64)
-            less = subset[seg] - element[:cut]
+            cut = int(sizes[:ones].sum())
+            seg = place[:cut]
             some = (sizes[seg] > 1) | (lost > loss)
-            out.append(hashing.mix(less + salt[seg])[some])
+            out.append(hashing.mix(subset[seg] - element[:cut] + salt[seg])[some])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def neighbourhoods(hashes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per band: keys of the subsets, and of the subsets without one element, with the segments of these."""
+    for band in bands_of(len(hashes), percent):
+        place, _, subset, salt, element = _cut(hashes, band, percent)
+        less = subset[place] - element + salt[place]
+        yield band, hashing.mix(subset + salt), hashing.mix(less), place
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """The node of a set: equal sets have the same."""
     a = hashing.mix(np.array([hashing.mix(hashes + _U(77)).sum(dtype=np.uint64) + _U(len(hashes))], np.uint64))
@@ -273,30 +296,125 @@ def _texts_of(wanted: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame
     return rows.join(F.broadcast(ids) if few else ids, "doc_id").select("node", "text")
 
 
+#: Signatures of at most so many nodes pair all of them; those of more are searched by allocation.
+SMALL_GROUP = 12
+#: Nodes that stand for a signature in the first round: those whose signatures most nodes share.
+HUBS = 2
+
+_OTHER = _U(0x2545F4914F6CDD1D)
+
+
+def _index(batches: Iterator[pa.RecordBatch], n: int, percent: int, probe: bool) -> Iterator[pa.RecordBatch]:
+    """From (node, text): keys of all subsets and one-deletion neighbourhoods.
+
+    For the index, a key tells a subset from a deletion.  For a probe, level 0 is the subset
+    among subsets; level 1 is the subset among deletions and its deletions among subsets.
+    """
+    names = ["key", "node", "band", "seg", "level", "need"] if probe else ["key", "node"]
+    for batch in batches:
+        owners = batch.column("node").to_pylist()
+        parts: list[tuple] = []
+        for i, words in hashing.batches_of_words(_texts(batch)):
+            for band, whole, less, place in neighbourhoods(hashing.shingles(words, n), percent):
+                m = len(whole)
+                if probe:
+                    key = np.concatenate([whole, hashing.mix(whole ^ _OTHER), less])
+                    seg = np.concatenate([np.arange(m), np.arange(m), place])
+                    level = np.concatenate([np.zeros(m, np.int8), np.ones(m + len(less), np.int8)])
+                else:
+                    key = np.unique(np.concatenate([whole, hashing.mix(less ^ _OTHER)]))
+                    seg = level = None
+                parts.append((owners[i], band, key, seg, level))
+        if not parts:
+            continue
+        key = np.concatenate([x[2] for x in parts]).view(np.int64)
+        lengths = [len(x[2]) for x in parts]
+        columns = [key, np.repeat(np.array([x[0] for x in parts], np.int64), lengths)]
+        if probe:
+            columns += [
+                np.repeat(np.array([x[1] for x in parts], np.int32), lengths),
+                np.concatenate([x[3] for x in parts]).astype(np.int32),
+                np.concatenate([x[4] for x in parts]),
+                np.repeat(np.array([most_different(x[1], percent) + 1 for x in parts], np.int32), lengths),
+            ]
+        for lo in range(0, len(key), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 18)]) for x in columns], names=names)
+
+
+def _searched(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) across components among members (node, label, size) of large signatures.
+
+    Each node whose component isn't the largest looks others up.  It takes the cheapest
+    lookups, by how many nodes a key has, whose thresholds exceed what similar sets differ
+    by: subsets that many share are left out where rarer ones suffice.
+    """
+    c = F.col
+    rank = F.struct("size", "label")
+    top = members.agg(F.max(rank).alias("r")).select(c("r.label").alias("top"))
+    seekers = members.join(F.broadcast(top), c("label") == c("top"), "left_anti").select("node")
+    held = checkpoint(texts.join(members.select("node"), "node", "left_semi"))
+    index = checkpoint(held.mapInArrow(lambda x: _index(x, n, percent, False), "key bigint, node bigint"))
+    probes = held.join(seekers, "node").mapInArrow(
+        lambda x: _index(x, n, percent, True), "key bigint, node bigint, band int, seg int, level tinyint, need int"
+    )
+    counts = index.groupBy("key").agg(F.count("*").alias("n"))
+    # a key that only the seeker has costs nothing
+    priced = checkpoint(probes.join(counts, "key", "left").withColumn("n", F.coalesce(c("n"), F.lit(0))))
+    cost = priced.groupBy("node", "band", "seg", "need").agg(
+        F.sum(F.when(c("level") == 0, c("n")).otherwise(0)).alias("c0"), F.sum(F.when(c("level") == 1, c("n")).otherwise(0)).alias("c1")
+    )
+    # units that a segment offers: threshold 0 and then 1, or both at once where the second is cheaper
+    one = F.struct(F.lit(0).cast("tinyint").alias("level"), F.lit(1).alias("units"), c("c0").cast("double").alias("price"))
+    two = F.struct(F.lit(1).cast("tinyint").alias("level"), F.lit(1).alias("units"), c("c1").cast("double").alias("price"))
+    both = F.struct(F.lit(1).cast("tinyint").alias("level"), F.lit(2).alias("units"), ((c("c0") + c("c1")) / 2).alias("price"))
+    offers = cost.select("node", "band", "seg", "need", F.explode(F.when(c("c1") < c("c0"), F.array(both)).otherwise(F.array(one, two))).alias("o"))
+    before = Window.partitionBy("node", "band").orderBy("o.price", "o.level", "seg").rowsBetween(Window.unboundedPreceding, -1)
+    taken = offers.withColumn("had", F.coalesce(F.sum("o.units").over(before), F.lit(0))).where("had < need")
+    taken = taken.groupBy("node", "band", "seg").agg(F.max("o.level").alias("upto"))
+    asked = priced.where("n > 0").join(taken, ["node", "band", "seg"]).where("level <= upto").select("key", "node").distinct()
+    own = members.select(c("node").alias("a"), c("label").alias("label_a"), "size")
+    other = members.select(c("node").alias("b"), c("label").alias("label_b"))
+    found = asked.withColumnRenamed("node", "a").join(index.withColumnRenamed("node", "b"), "key").where("a <> b").select("a", "b").distinct()
+    found = found.join(own, "a").join(other, "b").where("label_a <> label_b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, named: DataFrame | None = None, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Labels (node, label) of all nodes that are linked with another node."""
     c = F.col
-    docs = docs.select(F.monotonically_increasing_id().alias("doc_id") if "doc_id" not in docs.columns else c("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     named = named if named is not None else checkpoint(nodes(docs, n))
-    met = checkpoint(candidates(docs, n, percent))
-    texts = lambda pairs: _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), named, docs)
-    # first round: each node with the star that it shares most signatures with
-    best = met.groupBy("node", "star").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("star", F.struct("n", "star")).alias("star"))
-    pairs = checkpoint(best.select(c("star").alias("a"), c("node").alias("b")))
-    linked = checkpoint(verify(pairs, texts(pairs), n, percent))
+    met = candidates(docs, n, percent)
+    met = met.select("sig", F.explode(F.array("node", "star")).alias("node")).distinct()
+    # first round: each node with the hubs that it shares most signatures with
+    met = checkpoint(met.withColumn("n", F.count("*").over(Window.partitionBy("sig"))))
+    fame = met.groupBy("node").agg(F.sum("n").alias("fame"))
+    ranked = Window.partitionBy("sig").orderBy(F.desc("fame"), "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hubs = met.join(fame, "node").select("node", *[F.nth_value("node", k + 1).over(ranked).alias(f"h{k}") for k in range(HUBS)])
+    tally = [hubs.select("node", c(f"h{k}").alias("hub")) for k in range(HUBS)]
+    shared = reduce(DataFrame.unionByName, tally).where("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = shared.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))).where(c("k") <= HUBS)
+    pairs = checkpoint(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    texts = checkpoint(_texts_of(met.select("node").distinct(), named, docs))
+    linked = checkpoint(verify(pairs, texts, n, percent))
     labels = components(linked)
-    # second round: signatures whose members are still apart, pairs across components
-    members = met.select("sig", "node").unionByName(met.select("sig", c("star").alias("node"))).distinct()
-    members = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    apart = members.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-    members = checkpoint(members.join(apart, "sig"))
-    other = members.select("sig", c("node").alias("b"), c("label").alias("label_b"))
-    more = members.withColumnRenamed("node", "a").join(other, "sig").where((c("label") < c("label_b")))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = checkpoint(more)
+    # second round: signatures whose members are still apart
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    sized = labels.join(sizes, "label").select("node", "label", "size")
+    members = met.join(sized, "node", "left").select("sig", "n", "node", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    whole = Window.partitionBy("sig")
+    members = members.withColumn("apart", F.min("label").over(whole) < F.max("label").over(whole)).where("apart")
+    members = checkpoint(members)
+    few = members.where(c("n") <= SMALL_GROUP).select("sig", "node", "label")
+    more = few.withColumnRenamed("node", "a").join(few.select("sig", c("node").alias("b"), c("label").alias("label_b")), "sig")
+    more = more.where(c("label") < c("label_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    many = checkpoint(members.where(c("n") > SMALL_GROUP).select("node", "label", "size").distinct())
+    if not many.isEmpty():
+        more = more.unionByName(_searched(many, texts, n, percent))
+    more = checkpoint(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return labels
-    again = checkpoint(verify(more, texts(more), n, percent))
+    again = checkpoint(verify(more, texts, n, percent))
     return components(linked.unionByName(again))
 
 
