@@ -123,9 +123,8 @@ def allocate(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
     return best[1] if best else (1, 0, 0)
 
 
-def _cut(hashes: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, ...]:
-    """Of a set in a band: segment of each element, sizes, sums and salts of the segments, element values."""
-    m = allocate(band, percent)[0]
+def _cut(hashes: np.ndarray, band: int, m: int) -> tuple[np.ndarray, ...]:
+    """Of a set in a band of ``m`` segments: segment of each element, sizes, sums and salts of the segments, element values."""
     element = hashing.mix(hashes + _U(0x51ED270B))
     # segments are equal stretches of the hashes' range, so a sorted set lies in order
     place = (((hashes >> _U(32)) * _U(m)) >> _U(32)).astype(np.int64)
@@ -141,7 +140,7 @@ def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     out = []
     for band in bands_of(len(hashes), percent):
         m, ones, loss = allocate(band, percent)
-        place, sizes, subset, salt, element = _cut(hashes, band, percent)
+        place, sizes, subset, salt, element = _cut(hashes, band, m)
         lost = int((sizes[ones:] == 0).sum()) + 2 * int((sizes[:ones] <= 1).sum())
         keep = sizes > 0 if lost <= loss else np.ones(m, bool)
         out.append(hashing.mix(subset + salt)[keep])
@@ -154,11 +153,14 @@ def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def neighbourhoods(hashes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per band: keys of the subsets, and of the subsets without one element, with the segments of these."""
+    """Per band: keys of the subsets, and of the subsets without one element, with the segments of these.
+
+    Segments are finer than those of ``signatures``: a node that may choose among them finds
+    more that few others share.
+    """
     for band in bands_of(len(hashes), percent):
-        place, _, subset, salt, element = _cut(hashes, band, percent)
-        less = subset[place] - element + salt[place]
-        yield band, hashing.mix(subset + salt), hashing.mix(less), place
+        place, _, subset, salt, element = _cut(hashes, band, 2 * (most_different(band, percent) + 1))
+        yield band, hashing.mix(subset + salt), hashing.mix(subset[place] - element + salt[place]), place
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -301,46 +303,113 @@ SMALL_GROUP = 12
 #: Nodes that stand for a signature in the first round: those whose signatures most nodes share.
 HUBS = 2
 
-_OTHER = _U(0x2545F4914F6CDD1D)
+_DELETED, _LOWER = _U(0x2545F4914F6CDD1D), _U(0x5851F42D4C957F2D)
 
 
 def _index(batches: Iterator[pa.RecordBatch], n: int, percent: int, probe: bool) -> Iterator[pa.RecordBatch]:
     """From (node, text): keys of all subsets and one-deletion neighbourhoods.
 
-    For the index, a key tells a subset from a deletion.  For a probe, level 0 is the subset
-    among subsets; level 1 is the subset among deletions and its deletions among subsets.
+    A key tells a subset from a deletion, and a set of the band from a larger one that posts
+    to it.  A probe of its own band looks for both, with an allocation for each; a probe of a
+    lower band looks for sets of that band.  Level 0 is the subset among subsets; level 1 is
+    the subset among deletions and its deletions among subsets.  ``need`` is one more than
+    what similar sets differ by, given the node's size.
     """
-    names = ["key", "node", "band", "seg", "level", "need"] if probe else ["key", "node"]
+    names = ["key", "node", "part", "seg", "level", "need"] if probe else ["key", "node"]
     for batch in batches:
         owners = batch.column("node").to_pylist()
         parts: list[tuple] = []
         for i, words in hashing.batches_of_words(_texts(batch)):
-            for band, whole, less, place in neighbourhoods(hashing.shingles(words, n), percent):
-                m = len(whole)
-                if probe:
-                    key = np.concatenate([whole, hashing.mix(whole ^ _OTHER), less])
-                    seg = np.concatenate([np.arange(m), np.arange(m), place])
-                    level = np.concatenate([np.zeros(m, np.int8), np.ones(m + len(less), np.int8)])
-                else:
-                    key = np.unique(np.concatenate([whole, hashing.mix(less ^ _OTHER)]))
-                    seg = level = None
-                parts.append((owners[i], band, key, seg, level))
+            s = hashing.shingles(words, n)
+            for band, whole, less, place in neighbourhoods(s, percent):
+                m, (lo, most) = len(whole), _sizes(band)
+                own = lo <= len(s) <= most
+                if not probe:
+                    key = np.unique(np.concatenate([whole, hashing.mix(less ^ _DELETED)]))
+                    parts.append((owners[i], key if own else hashing.mix(key ^ _LOWER)))
+                    continue
+                key = np.concatenate([whole, hashing.mix(whole ^ _DELETED), less])
+                seg = np.concatenate([np.arange(m), np.arange(m), place])
+                level = np.concatenate([np.zeros(m, np.int8), np.ones(m + len(less), np.int8)])
+                for larger in (False, True) if own else (False,):
+                    partner = len(s) * 100 // percent if larger else most
+                    need = (100 - percent) * (len(s) + partner) // (100 + percent) + 1
+                    parts.append((owners[i], hashing.mix(key ^ _LOWER) if larger else key, 2 * band + larger, seg, level, need))
         if not parts:
             continue
-        key = np.concatenate([x[2] for x in parts]).view(np.int64)
-        lengths = [len(x[2]) for x in parts]
+        key = np.concatenate([x[1] for x in parts]).view(np.int64)
+        lengths = [len(x[1]) for x in parts]
         columns = [key, np.repeat(np.array([x[0] for x in parts], np.int64), lengths)]
         if probe:
             columns += [
-                np.repeat(np.array([x[1] for x in parts], np.int32), lengths),
+                np.repeat(np.array([x[2] for x in parts], np.int32), lengths),
                 np.concatenate([x[3] for x in parts]).astype(np.int32),
                 np.concatenate([x[4] for x in parts]),
-                np.repeat(np.array([most_different(x[1], percent) + 1 for x in parts], np.int32), lengths),
+                np.repeat(np.array([x[5] for x in parts], np.int32), lengths),
             ]
         for lo in range(0, len(key), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 18)]) for x in columns], names=names)
 
 
+#: Bytes of a sketch: one of each of as many segments.
+SKETCH = 128
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(node, size, sketch): a byte of the hash of the subset in each of ``SKETCH`` segments.
+
+    One element more or less changes one byte at most, so sets differ by at least as many
+    elements as their sketches by bytes.
+    """
+    for batch in batches:
+        sizes, sketches = [], []
+        for _, words in hashing.batches_of_words(_texts(batch)):
+            s = hashing.shingles(words, n)
+            sums = np.zeros(SKETCH, np.uint64)
+            np.add.at(sums, (s >> _U(57)).astype(np.int64), hashing.mix(s + _U(0x77)))
+            sizes.append(len(s))
+            sketches.append((hashing.mix(sums) >> _U(56)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of (key, role), seekers before what they look up: pairs across
+    components whose sizes and sketches allow for the similarity."""
+    last = None
+    seekers: list[tuple] = []
+    arrays: tuple = ()
+    for batch in batches:
+        keys, roles = batch.column("key").to_numpy(), batch.column("role").to_numpy()
+        nodes_, labels, sizes = (batch.column(x).to_numpy() for x in ("node", "label", "n"))
+        sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+        for lo, hi in zip(starts, [*starts[1:], len(keys)]):
+            if keys[lo] != last:
+                last, seekers = keys[lo], []
+            asks = int((roles[lo:hi] == 0).sum())
+            if asks:
+                seekers.append(tuple(x[lo : lo + asks] for x in (nodes_, labels, sizes, sketches)))
+                arrays = tuple(np.concatenate(x) for x in zip(*seekers))
+            if not seekers:
+                continue
+            at = slice(lo + asks, hi)
+            for node, label, size, sketch in zip(*arrays):
+                apart = np.flatnonzero(labels[at] != label)
+                if not len(apart):
+                    continue
+                other = sizes[at][apart].astype(np.int64)
+                fits = (100 * np.minimum(other, size) >= percent * np.maximum(other, size)) & (
+                    (sketches[at][apart] != sketch).sum(axis=1) <= (100 - percent) * (other + int(size)) // (100 + percent)
+                )
+                found = nodes_[at][apart[fits]]
+                left.append(np.minimum(found, node))
+                right.append(np.maximum(found, node))
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
+
+
 def _searched(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) across components among members (node, label, size) of large signatures.
 
@@ -355,28 +424,28 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
     held = checkpoint(texts.join(members.select("node"), "node", "left_semi"))
     index = checkpoint(held.mapInArrow(lambda x: _index(x, n, percent, False), "key bigint, node bigint"))
     probes = held.join(seekers, "node").mapInArrow(
-        lambda x: _index(x, n, percent, True), "key bigint, node bigint, band int, seg int, level tinyint, need int"
+        lambda x: _index(x, n, percent, True), "key bigint, node bigint, part int, seg int, level tinyint, need int"
     )
     counts = index.groupBy("key").agg(F.count("*").alias("n"))
     # a key that only the seeker has costs nothing
     priced = checkpoint(probes.join(counts, "key", "left").withColumn("n", F.coalesce(c("n"), F.lit(0))))
-    cost = priced.groupBy("node", "band", "seg", "need").agg(
+    cost = priced.groupBy("node", "part", "seg", "need").agg(
         F.sum(F.when(c("level") == 0, c("n")).otherwise(0)).alias("c0"), F.sum(F.when(c("level") == 1, c("n")).otherwise(0)).alias("c1")
     )
     # units that a segment offers: threshold 0 and then 1, or both at once where the second is cheaper
     one = F.struct(F.lit(0).cast("tinyint").alias("level"), F.lit(1).alias("units"), c("c0").cast("double").alias("price"))
     two = F.struct(F.lit(1).cast("tinyint").alias("level"), F.lit(1).alias("units"), c("c1").cast("double").alias("price"))
     both = F.struct(F.lit(1).cast("tinyint").alias("level"), F.lit(2).alias("units"), ((c("c0") + c("c1")) / 2).alias("price"))
-    offers = cost.select("node", "band", "seg", "need", F.explode(F.when(c("c1") < c("c0"), F.array(both)).otherwise(F.array(one, two))).alias("o"))
-    before = Window.partitionBy("node", "band").orderBy("o.price", "o.level", "seg").rowsBetween(Window.unboundedPreceding, -1)
+    offers = cost.select("node", "part", "seg", "need", F.explode(F.when(c("c1") < c("c0"), F.array(both)).otherwise(F.array(one, two))).alias("o"))
+    before = Window.partitionBy("node", "part").orderBy("o.price", "o.level", "seg").rowsBetween(Window.unboundedPreceding, -1)
     taken = offers.withColumn("had", F.coalesce(F.sum("o.units").over(before), F.lit(0))).where("had < need")
-    taken = taken.groupBy("node", "band", "seg").agg(F.max("o.level").alias("upto"))
-    asked = priced.where("n > 0").join(taken, ["node", "band", "seg"]).where("level <= upto").select("key", "node").distinct()
-    own = members.select(c("node").alias("a"), c("label").alias("label_a"), "size")
-    other = members.select(c("node").alias("b"), c("label").alias("label_b"))
-    found = asked.withColumnRenamed("node", "a").join(index.withColumnRenamed("node", "b"), "key").where("a <> b").select("a", "b").distinct()
-    found = found.join(own, "a").join(other, "b").where("label_a <> label_b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    taken = taken.groupBy("node", "part", "seg").agg(F.max("o.level").alias("upto"))
+    asked = priced.where("n > 0").join(taken, ["node", "part", "seg"]).where("level <= upto").select("key", "node").distinct()
+    wanted = index.join(asked.select("key").distinct(), "key", "left_semi")
+    met = asked.select("key", F.lit(0).alias("role"), "node").unionByName(wanted.select("key", F.lit(1).alias("role"), "node"))
+    known = held.mapInArrow(lambda x: _sketched(x, n), "node bigint, n int, sketch binary").join(members.select("node", "label"), "node")
+    met = met.join(checkpoint(known), "node").repartition("key").sortWithinPartitions("key", "role")
+    return met.mapInArrow(lambda x: _near(x, percent), "a bigint, b bigint").distinct()
 
 
 def links(docs: DataFrame, named: DataFrame | None = None, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
