@@ -19,9 +19,9 @@ Equal sets are one node.  Signatures meet in sorted runs; map tasks pair their o
 first, so a signature in a third of all rows sends a row a task.  In the first round, each
 node is verified, exactly and on the shingle sets of the texts, against the most widely
 shared nodes of its signatures.  A second round takes, for signatures whose members are not all
-connected yet, pairs across components: all of them where few nodes share a signature;
-else each node looks others up by subsets and one-deletion neighbourhoods, in the segments
-that cost least.  Components come from contraction.
+connected yet, pairs across components: all of them where few nodes share a signature; where
+more do, those whose sketches allow the similarity; where very many do, each node looks others
+up by subsets and one-deletion neighbourhoods, in the segments that cost least.  Components come from contraction.
 
 Nulls and edges: a null or blank text has an empty set and is linked with nothing; rows
 with equal sets are always linked, repeated rows and equal ids too; a null id takes part,
@@ -298,8 +298,9 @@ def _texts_of(wanted: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame
     return rows.join(F.broadcast(ids) if few else ids, "doc_id").select("node", "text")
 
 
-#: Signatures of at most so many nodes pair all of them; those of more are searched by allocation.
-SMALL_GROUP = 12
+#: Signatures of at most so many nodes pair all of them; of at most so many, all whose sketches
+#: allow it; the nodes of larger ones are searched by allocation.
+SMALL_GROUP, MIDDLE_GROUP = 12, 8192
 #: Nodes that stand for a signature in the first round: those whose signatures most nodes share.
 HUBS = 2
 
@@ -443,12 +444,21 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
     asked = priced.where("n > 0").join(taken, ["node", "part", "seg"]).where("level <= upto").select("key", "node").distinct()
     wanted = index.join(asked.select("key").distinct(), "key", "left_semi")
     met = asked.select("key", F.lit(0).alias("role"), "node").unionByName(wanted.select("key", F.lit(1).alias("role"), "node"))
-    known = held.mapInArrow(lambda x: _sketched(x, n), "node bigint, n int, sketch binary").join(members.select("node", "label"), "node")
-    met = met.join(checkpoint(known), "node").repartition("key").sortWithinPartitions("key", "role")
-    return met.mapInArrow(lambda x: _near(x, percent), "a bigint, b bigint").distinct()
+    return _compared(met, members.select("node", "label"), held, n, percent)
 
 
-def links(docs: DataFrame, named: DataFrame | None = None, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _compared(met: DataFrame, members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that meet under a key of ``met`` (key, role, node), one of them in
+    role 0 and the other in role 1, unless their sizes or sketches rule the similarity out."""
+    known = texts.join(members.select("node"), "node", "left_semi").mapInArrow(lambda x: _sketched(x, n), "node bigint, n int, sketch binary")
+    known = checkpoint(known.join(members, "node"))
+    rows = met.join(known, "node").repartition("key").sortWithinPartitions("key", "role")
+    return rows.mapInArrow(lambda x: _near(x, percent), "a bigint, b bigint").distinct()
+
+
+def links(
+    docs: DataFrame, named: DataFrame | None = None, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL_GROUP, middle_most: int = MIDDLE_GROUP
+) -> DataFrame:
     """Labels (node, label) of all nodes that are linked with another node."""
     c = F.col
     docs = docs.select("doc_id", "text")
@@ -472,12 +482,17 @@ def links(docs: DataFrame, named: DataFrame | None = None, n: int = SHINGLE, per
     sized = labels.join(sizes, "label").select("node", "label", "size")
     members = met.join(sized, "node", "left").select("sig", "n", "node", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
     whole = Window.partitionBy("sig")
-    members = members.withColumn("apart", F.min("label").over(whole) < F.max("label").over(whole)).where("apart")
+    members = members.withColumn("apart", F.min("label").over(whole) < F.max("label").over(whole))
+    members = members.withColumn("top", F.max(F.struct("size", "label")).over(whole)).where("apart")
     members = checkpoint(members)
-    few = members.where(c("n") <= SMALL_GROUP).select("sig", "node", "label")
+    few = members.where(c("n") <= small).select("sig", "node", "label")
     more = few.withColumnRenamed("node", "a").join(few.select("sig", c("node").alias("b"), c("label").alias("label_b")), "sig")
     more = more.where(c("label") < c("label_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    many = checkpoint(members.where(c("n") > SMALL_GROUP).select("node", "label", "size").distinct())
+    middle = members.where(c("n").between(small + 1, middle_most))
+    asking = middle.where(F.struct("size", "label") < c("top"))
+    met = asking.select(c("sig").alias("key"), F.lit(0).alias("role"), "node").unionByName(middle.select(c("sig").alias("key"), F.lit(1).alias("role"), "node"))
+    more = more.unionByName(_compared(met, middle.select("node", "label").distinct(), texts, n, percent))
+    many = checkpoint(members.where(c("n") > middle_most).select("node", "label", "size").distinct())
     if not many.isEmpty():
         more = more.unionByName(_searched(many, texts, n, percent))
     more = checkpoint(more.distinct().join(pairs, ["a", "b"], "left_anti"))
