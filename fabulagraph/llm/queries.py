@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fabulagraph.llm import decontaminate, html, language, mixing, ngram_join, quality, secrets, toxicity, urls
+from fabulagraph.llm import decontaminate, html, language, mixing, ngram_join, quality, secrets, suffixes, toxicity, urls
 from fabulagraph.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": lambda spark, d: secrets.op5(table(spark, d, "documents")),
     "op6_toxicity": lambda spark, d: toxicity.op6(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_url_filter": lambda spark, d: urls.op7(table(spark, d, "pages")),
+    "op8_suffix_array_dedup": lambda spark, d: suffixes.op8(table(spark, d, "documents")),
     "op9_language_id": lambda spark, d: language.op9(table(spark, d, "documents")),
     "op10_source_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
 }
