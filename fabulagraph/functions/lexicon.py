@@ -48,14 +48,21 @@ AGE_REGIMES = [("primary_school", 5, 10), ("secondary_school", 11, 14), ("high_s
 REGIME_AGES = [("primary", 3, 11), ("secondary", 11, 14), ("highschool", 14, 18), ("university", None, 18)]
 AGE_BINS = [(4, 5), (6, 7), (8, 9), (10, 11), (12, 13), (15, 16), (17, 18)]
 #: Readability bands, in order: (from or None, below or up to, grade).
-DRP_BANDS = [(None, 44, "K-1"), (42, 54, "2-3"), (52, 60, "4-5"), (57, 67, "6-8"), (62, 72, "9-10"), (67, 74, "11-12")]
+DRP_BANDS = [(None, 44, "Grades K–1"), (42, 54, "Grades 2–3"), (52, 60, "Grades 4–5"), (57, 67, "Grades 6–8"), (62, 72, "Grades 9–10"), (67, 74, "Grades 11–12")]
+
+DRP_BEYOND = "College and Career Readiness (CCR)"
+
+# fixed values: model names that are rewritten, and regimes that file names carry
+MODEL_NAMES = [("gemma3", "gemma-3"), ("phi4", "phi-4"), ("llama3.3", "Llama-3.3"), ("qwen3", "Qwen3")]
+KNOWN_REGIMES = ["primary", "secondary", "highschool", "high_school", "university"]
 
 # fixed values: tokens that model output leaks, and relations that deny
 CONTROL_TOKENS = ["|eot_id|", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>", "<s>", "</s>", "assistant", "user", "system"]
 NEGATION_WORDS = ["not", "no", "never", "neither", "nor", "without"]
 NEGATION_PHRASES = [
-    "not related", "no relation", "unrelated", "not connected", "no connection", "unconnected", "not associated", "no association",
-    "not linked", "no link", "does not", "do not", "is not", "are not", "was not", "were not", "has no", "have no", "cannot",
+    "not related", "no connection", "not available", "not applicable", "not connected", "no relation", "no link", "not involved",
+    "not associated", "without connection", "without relation", "unconnected", "unrelated", "disconnected", "disassociated",
+    "nonapplicable", "nonexistent", "unavailable", "uninvolved",
 ]
 LABEL_PREFIXES = [f"{x}:" for x in "nsubj dobj pobj prep amod advmod ROOT VERB NOUN ADJ dep compound agent xcomp ccomp aux auxpass".split()]
 ADJECTIVE_ENDS = "ed ing al ive ous ful ic ish y".split()

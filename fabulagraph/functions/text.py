@@ -119,23 +119,31 @@ def group_of_file(name: Column) -> Column:
 
 def model_and_regime(name: Column) -> tuple[Column, Column]:
     """SRC-12: null where the name is not of the pattern."""
-    pattern = r"model_(.+?)_triplets_(.+)\.csv$"
+    pattern = r"^model_(.+?)_triplets_(.+)\.csv$"
     ok = name.rlike(pattern)
-    tail = F.get(F.split(F.regexp_extract(name, pattern, 2), "_"), F.lit(0))
-    known = F.lower(tail).isin("primary", "secondary", "highschool", "high", "university")
-    return F.when(ok, F.regexp_extract(name, pattern, 1)), F.when(ok, F.when(known, F.lower(tail)).otherwise(tail))
+    first = F.get(F.split(F.regexp_extract(name, pattern, 2), "_"), F.lit(0))
+    regime = F.when(F.lower(first).isin(L.KNOWN_REGIMES), F.lower(first)).otherwise(first)
+    return F.when(ok, F.regexp_extract(name, pattern, 1)), F.when(ok, regime)
 
 
 def model_family(name: Column) -> Column:
-    """SCA-12: a vendor's prefix is dropped for four families."""
+    """SCA-12: the first family that the name holds is spelled out."""
     low = strip(F.lower(name))
-    short = F.regexp_replace(low, "^(google|microsoft|meta-llama|qwen)/", "")
-    return F.when(_any([F.contains(low, F.lit(f)) for f in ("gemma", "phi", "llama", "qwen")]), short).otherwise(low)
+    out = None
+    for old, new in L.MODEL_NAMES:
+        hit, to = F.contains(low, F.lit(old)), F.replace(low, F.lit(old), F.lit(new))
+        out = F.when(hit, to) if out is None else out.when(hit, to)
+    return out.otherwise(low)
 
 
 def safe_tag(name: Column) -> Column:
-    """SCA-13: a tag for file names."""
-    return F.lower(F.translate(name, "/: ", "--_"))
+    """SCA-13: a tag for file names; the parts of one family's names are capitalised."""
+    tag = F.lower(F.translate(name, "/: ", "--_"))
+    part = lambda p: (
+        F.when(p.startswith("qwen"), F.concat(F.lit("Qwen"), F.substring(p, 5, 1000)))
+        .when(p.endswith("b") & p.rlike("[0-9]"), F.upper(p)).when(p.rlike("^[a-z]+$"), F.initcap(p)).otherwise(p)
+    )
+    return F.when(F.contains(tag, F.lit("qwen")), F.array_join(F.transform(F.split(tag, "-"), part), "-")).otherwise(tag)
 
 
 def safe_file_part(text: Column, most: int = 80) -> Column:
@@ -183,12 +191,12 @@ def age_fits(age: Column, regime: Column) -> Column:
 
 
 def drp_grade(drp: Column) -> Column:
-    """SCA-19: the first band that holds the score, else CCR."""
+    """SCA-19: the first band that holds the score, else beyond all."""
     out = None
     for lo, hi, grade in L.DRP_BANDS:
         inside = (drp < hi) if lo is None else drp.between(lo, hi)
         out = F.when(inside, grade) if out is None else out.when(inside, grade)
-    return out.otherwise("CCR")
+    return out.otherwise(L.DRP_BEYOND)
 
 
 def is_high_school_role(text: Column) -> Column:
@@ -246,11 +254,12 @@ def is_relation_label(label: Column) -> Column:
 
 
 def repaired(subject: Column, relation: Column, object_: Column) -> Column:
-    """SCA-20: struct (s, r, o); a bad end takes the other, a bad relation is ``related_to``."""
-    ok = lambda x: F.when(~is_control(x) & (strip(x) != ""), strip(x))
-    s = F.coalesce(ok(subject), ok(object_), F.lit("UNKNOWN"))
-    o = F.coalesce(ok(object_), s, F.lit("UNKNOWN"))
-    return F.struct(s.alias("s"), F.coalesce(ok(relation), F.lit("related_to")).alias("r"), o.alias("o"))
+    """SCA-20: struct (s, r, o); a bad end takes the other, a bad or blank relation is ``related_to``."""
+    s0, r0, o0 = (strip(F.coalesce(x, F.lit("nan"))) for x in (subject, relation, object_))
+    unknown = F.lit("UNKNOWN")
+    s = F.when(~is_control(s0), s0).when(~is_control(o0), o0).otherwise(unknown)
+    o = F.when(~is_control(o0), o0).when(~is_control(s), s).otherwise(unknown)
+    return F.struct(s.alias("s"), F.when(is_control(r0) | (r0 == ""), "related_to").otherwise(r0).alias("r"), o.alias("o"))
 
 
 def snippet(text: Column, words: int = 5) -> Column:
@@ -265,26 +274,26 @@ def clock(seconds: Column) -> Column:
 
 
 def edge_label(label: Column) -> Column:
-    """SCA-24 with SCA-23: normalised relation label."""
-    low = F.lower(strip(F.regexp_replace(F.coalesce(label, F.lit("")), r"\(edge\)", "")))
-    plain = F.regexp_replace(low, "_", " ")
+    """SCA-24 with SCA-23: normalised relation label; one that held ``_`` stays apart by blanks."""
+    low = F.lower(F.regexp_replace(strip(F.coalesce(label, F.lit(""))), r"\s*\(edge\)\s*", ""))
+    plain = F.translate(low, "_", " ")
     meaning = (
         F.when(plain.rlike(r"\blikes?\b"), "enjoys").when(plain.rlike(r"\b(is|are|was|were|be|being|been)\b"), "is")
-        .when(plain.rlike(r"\b(has|have|possess|possesses|own|owns)\b"), "has").otherwise(plain)
+        .when(plain.rlike(r"\b(has|have|possess|own)\b"), "has").otherwise(plain)
     )
-    joined = F.regexp_replace(F.regexp_replace(low, r"\s+", "_"), r"[^A-Za-z0-9_]", "")
+    joined = F.regexp_replace(F.translate(low, " ", "_"), r"[^\p{L}\p{N}_]", "")
     return F.regexp_replace(F.when(meaning != low, meaning).otherwise(joined), "_+", "_")
 
 
 def clean_label(label: Column) -> Column:
-    """SCA-25: no dependency prefixes, trailing punctuation or words without a vowel; '' if too short."""
-    out = F.coalesce(label, F.lit(""))
+    """SCA-25: no dependency prefixes, trailing punctuation or longer words without a vowel; '' if too short."""
+    out = strip(F.coalesce(label, F.lit("")))
     for p in L.LABEL_PREFIXES:
-        out = F.regexp_replace(out, "^" + p, "")
-    out = strip(F.regexp_replace(F.regexp_replace(out, r"[.,;:!?]+$", ""), r"\s+", " "))
-    out = F.regexp_replace(out, r"([b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])\1{2,}$", "$1")
-    kept = F.filter(F.split(out, " "), lambda w: ~(w.rlike("^[A-Za-z]{3,}$") & ~w.rlike("(?i)[aeiouy]")))
-    out = F.lower(F.array_join(kept, " "))
+        out = F.regexp_replace(out, f"^(?i:{p})", "")
+    out = F.regexp_replace(strip(F.regexp_replace(out, r"[^\p{L}\p{N}_\s]+$", "")), r"\s+", " ")
+    out = F.when(out.rlike(r"(.)\1{2,}"), F.regexp_replace(out, r"([bcdfghjklmnpqrstvwxyz])\1+$", "$1")).otherwise(out)
+    kept = F.filter(F.split(F.lower(out), " "), lambda w: (F.length(w) <= 2) | w.rlike("[aeiou]"))
+    out = strip(F.array_join(kept, " "))
     return F.when(F.length(out) < 2, "").otherwise(out)
 
 
@@ -299,16 +308,17 @@ def mapped_words(words: Column, mapping: Column) -> Column:
 
 
 def similar_strings(a: Column, b: Column) -> Column:
-    """SCA-36: one holds the other with up to 3 more characters, or their edit distance is 2 at most."""
-    inside = (F.contains(a, b) | F.contains(b, a)) & (F.abs(F.length(a) - F.length(b)) <= 3)
-    return inside | (F.levenshtein(a, b) <= 2)
+    """SCA-36: one holds the other with up to 4 more characters, or 2 edits at most part them."""
+    apart = F.abs(F.length(a) - F.length(b))
+    return ((F.contains(a, b) | F.contains(b, a)) & (apart <= 4)) | ((apart <= 2) & (F.levenshtein(a, b) <= 2))
 
 
 def derived_lemmas(a: Column, b: Column) -> Column:
     """SCA-37: one holds the other, or adds a derivational ending."""
     ends = [F.concat(x, F.lit(e)) == y for x, y in ((a, b), (b, a)) for e in ("ed", "ing", "tion", "ity", "ness")]
     ends += [F.concat(F.substring(x, F.lit(1), F.greatest(F.length(x) - 2, F.lit(0))), F.lit("y")) == y for x, y in ((a, b), (b, a))]
-    return F.contains(a, b) | F.contains(b, a) | _any(ends)
+    near = F.abs(F.length(a) - F.length(b)) <= 4
+    return ((F.contains(a, b) | F.contains(b, a)) & near) | _any(ends)
 
 
 def swapped_ends(adjective: Column, noun: Column) -> Column:
