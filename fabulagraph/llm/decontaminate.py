@@ -29,6 +29,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabulagraph.llm.store import map_texts
+
 #: Fixed values of the contract.
 WINDOW = 13
 BLOCK_CHARS = 400_000
@@ -144,7 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), bloc
         F.array().cast("array<struct<first:int,end:int>>").alias("hits"), F.array().cast("array<bigint>").alias("items"),
     )
     for items in blocks(benchmark, block_chars=block_chars):
-        rows = rows.mapInArrow(_scanner(items), rows.schema)
+        rows = map_texts(rows, _scanner(items), rows.schema)
     return rows
 
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabulagraph.llm.store import map_texts
+
 WRAPPER, CONTENT, BOILER = range(3)
 
 _TOKEN = re.compile(
@@ -337,7 +339,7 @@ def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> D
             texts = [model.extract(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def op2(pages: DataFrame) -> DataFrame:

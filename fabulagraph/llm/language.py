@@ -33,6 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabulagraph.llm.store import map_texts
+
 ORDER = 3
 DOCS_PER_LANGUAGE = 400
 BYTES_PER_DOC = 20_000
@@ -246,7 +248,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from fabulagraph.llm import hashing
 from fabulagraph.llm.components import components
-from fabulagraph.llm.store import checkpoint
+from fabulagraph.llm.store import checkpoint, map_texts
 
 #: Fixed values of the contract.
 SHINGLE = 4
@@ -188,7 +188,7 @@ def nodes(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles bigint, node bigint")
 
 
 def _starred(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,30 +198,44 @@ def _starred(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, node[np.flatnonzero(first)][np.cumsum(first) - 1]
 
 
+#: Posted rows that a map task holds and pairs at once (24 bytes each).
+PAIRED_ROWS = 1 << 21
+
+
+def _own_stars(sigs: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(owners)
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    first, least = _starred(sig, node)
+    star = pa.array(least, pa.int64(), mask=first)
+    for lo in range(0, len(sig), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(node[part]), star[part]], names=["sig", "node", "star"])
+
+
 def postings(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(sig, node, star): a node posts a signature; ``star`` is set if the map task has paired the row already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        seen: set[int] = set()
+        held = 0
         for batch in batches:
-            sigs, owners, seen = [], [], set()
             for _, words in hashing.batches_of_words(_texts(batch)):
                 s = hashing.shingles(words, n)
                 if len(s) and (node := fingerprint(s)) not in seen:
                     seen.add(node)
                     sigs.append(signatures(s, percent))
                     owners.append(np.full(len(sigs[-1]), node, np.int64))
-            if not sigs:
-                continue
-            sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(owners)
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            first, least = _starred(sig, node)
-            star = pa.array(least, pa.int64(), mask=first)
-            for lo in range(0, len(sig), 1 << 18):
-                part = slice(lo, lo + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(node[part]), star[part]], names=["sig", "node", "star"])
+                    held += len(sigs[-1])
+                if held >= PAIRED_ROWS:
+                    yield from _own_stars(sigs, owners)
+                    sigs, owners, seen, held = [], [], set(), 0
+        if sigs:
+            yield from _own_stars(sigs, owners)
 
-    return docs.select("text").mapInArrow(run, "sig bigint, node bigint, star bigint")
+    return map_texts(docs.select("text"), run, "sig bigint, node bigint, star bigint")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +296,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE, percent: int =
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     met = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", c("b").asc_nulls_first())
-    return met.drop("salt").mapInArrow(run, "a bigint, b bigint")
+    return map_texts(met.drop("salt"), run, "a bigint, b bigint")
 
 
 #: Ids of candidate texts that are sent to every executor at most (8 MB).

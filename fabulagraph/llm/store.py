@@ -35,3 +35,15 @@ def written(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of texts that go to a Python worker at once: texts are long, and a worker holds a few copies of a batch.
+TEXT_ROWS = 1024
+
+
+def map_texts(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` for rows that hold texts; the session's Arrow batches come down to ``TEXT_ROWS`` rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df.mapInArrow(function, schema)

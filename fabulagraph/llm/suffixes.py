@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabulagraph.llm import hashing
+from fabulagraph.llm.store import map_texts
 
 LEAST = 50
 GRAM = 8
@@ -92,9 +93,8 @@ def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame
                 yield _rows(batch, parts, size)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(
-        run, f"gram bigint, around binary, doc_id {kind}, at int"
-    )
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return map_texts(rows, run, f"gram bigint, around binary, doc_id {kind}, at int")
 
 
 def _rows(batch: pa.RecordBatch, parts: list[tuple], size: int) -> pa.RecordBatch:
