@@ -65,7 +65,7 @@ def view_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def best_of_pair(edges: DataFrame, order: str = "edge_id") -> DataFrame:
     """GRA-36: one edge per undirected pair, active ones first, then the earliest."""
-    best = F.min_by(F.struct("src", "dst", "label", "active", order), F.struct((~F.col("active")).cast("int"), order))
+    best = F.min_by(F.struct("src", "dst", "label", "active", order), F.struct((~F.col("active")).cast("int"), order, "src", "dst", "label"))
     pairs = edges.groupBy(RUN, F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")).agg(best.alias("e"))
     return pairs.select(RUN, "e.*")
 
