@@ -34,6 +34,8 @@ BLOCK = 1024
 #: The golden ratio's fraction in 40 bits; odd, so the points of 2 ** 40 slots are all different.
 GOLDEN = 679_528_905_981
 BITS = 40
+#: Cells that points and stretches meet in; a cell holds the sources whose stretches cross it.
+GRID = 4096
 
 
 def point(i: Column) -> Column:
@@ -106,10 +108,14 @@ def schedule(goal: DataFrame, block: int = BLOCK) -> DataFrame:
     points = spark.range(0, n, 1, max(1, min(n // 4096, 100_000))).select(
         c("id").alias("slot"), (point(c("id")) / F.lit(float(1 << BITS))).alias("u"), F.floor(c("id") / F.lit(step)).alias("chunk")
     )
-    ends = goal.agg(F.sort_array(F.collect_list(F.struct((c("to_word") / c("all_words")).alias("e"), c("place").alias("p")))).alias("ends"))
-    # one row with an entry per source; a source table too large for that is no mix that people set weights for
-    met = points.withColumn("all", F.lit(1)).join(F.broadcast(ends.withColumn("all", F.lit(1))), "all").select(
-        "slot", "chunk", F.coalesce(F.get(F.filter("ends", lambda x: x["e"] > c("u")), F.lit(0))["p"], F.element_at("ends", -1)["p"]).alias("place")
+    # each stretch lies in some cells of a grid over [0, 1); a point looks in its own cell alone
+    start, end = c("from_word") / c("all_words"), c("to_word") / c("all_words")
+    last = F.least(F.lit(GRID - 1), F.floor(end * GRID))
+    cells = stretch.select("place", end.alias("e"), F.explode(F.sequence(F.least(last, F.floor(start * GRID)), last)).alias("cell"))
+    cells = cells.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("e", c("place").alias("p")))).alias("ends"))
+    held = F.filter("ends", lambda x: x["e"] > c("u"))
+    met = points.withColumn("cell", F.floor(c("u") * GRID)).join(cells, "cell").select(
+        "slot", "chunk", F.coalesce(F.get(held, F.lit(0))["p"], F.element_at("ends", -1)["p"]).alias("place")
     )
     unmet = stretch.join(met.select("place").distinct(), "place", "left_anti").select(
         (F.lit(n) + c("place")).cast("long").alias("slot"), F.lit(n // step + 1).cast("long").alias("chunk"), c("place")
