@@ -3,20 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; of this machine only where that is unset."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; of this machine only where that is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Tables:
+    """Tables written and read again, for loops: their sizes are those of their files, while a
+    checkpoint keeps the plan's estimate, which joins multiply round by round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes the table ``name`` anew; the one of that name before it goes."""
+        path = f"{folder(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.parquet(path)
+
+    def drop(self, name: str) -> None:
+        if old := self.paths.pop(name, None):
+            jvm = self.spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def components(edges: DataFrame, group: str, src: str = "src", dst: str = "dst") -> DataFrame:
     """GRA-1: (group, node, component) for the nodes of ``edges``, by group; the component is its least node.
 
@@ -24,21 +52,22 @@ def components(edges: DataFrame, group: str, src: str = "src", dst: str = "dst")
     ends of edges; edges inside one node vanish.  Rounds are logarithmic in the longest path.
     """
     c = F.col
+    t = Tables(edges.sparkSession)
     nodes = edges.select(group, F.explode(F.array(src, dst)).alias("node")).distinct()
-    labels = nodes.select(group, "node", c("node").alias("component"))
-    rest = edges.where(c(src) != c(dst)).select(group, F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct()
-    labels, rest = cut(labels), cut(rest)
+    labels = t.write("labels", nodes.select(group, "node", c("node").alias("component")))
+    tidy = lambda x: x.where("a <> b").select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = t.write("rest", tidy(edges.select(group, c(src).alias("a"), c(dst).alias("b"))))
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(group, c("b").alias("a"), c("a").alias("b")))
         up = both.groupBy(group, c("a").alias("node")).agg(F.min("b").alias("up")).withColumn("up", F.least("node", "up"))
-        up = cut(up)
-        up = cut(up.join(up.select(group, c("node").alias("up"), c("up").alias("next")), [group, "up"]).select(group, "node", c("next").alias("up")))
+        up = t.write("up", up)
+        for _ in range(2):
+            up = t.write("up", up.join(up.select(group, c("node").alias("up"), c("up").alias("next")), [group, "up"]).select(group, "node", c("next").alias("up")))
         to = up.select(group, c("node").alias("component"), "up")
-        labels = cut(labels.join(to, [group, "component"], "left").select(group, "node", F.coalesce("up", "component").alias("component")))
+        labels = t.write("labels", labels.join(to, [group, "component"], "left").select(group, "node", F.coalesce("up", "component").alias("component")))
         for end in ("a", "b"):
-            over = up.select(group, c("node").alias(end), c("up").alias("to"))
-            rest = rest.join(over, [group, end]).withColumn(end, c("to")).drop("to")
-        rest = cut(rest.where("a <> b").select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            rest = rest.join(up.select(group, c("node").alias(end), c("up").alias("to")), [group, end]).withColumn(end, c("to")).drop("to")
+        rest = t.write("rest", tidy(rest))
     # pointers of pointers may still lie above the least node
     least = labels.groupBy(group, "component").agg(F.min("node").alias("least"))
     return labels.join(least, [group, "component"]).select(group, "node", c("least").alias("component"))

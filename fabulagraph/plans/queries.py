@@ -17,7 +17,11 @@ from fabulagraph.operators import graph as G
 from fabulagraph.operators import metrics as M
 from fabulagraph.operators import stats as S
 from fabulagraph.operators import tables as R
+from fabulagraph.functions.tagger import content_words, nouns, tokens
 from fabulagraph.plans import views as V
+from fabulagraph.plans.curation import curate
+from fabulagraph.plans.curation import trimmed_stats as trim_plan
+from fabulagraph.plans.story import read_stories
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -540,3 +544,35 @@ def hourly_events(spark, d):
     """An extension beyond the reference: tumbling windows."""
     e = V.table(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return e.select("event_type", c("w.start").alias("hour"), "n", "total")
+
+
+def _sentences(spark, d):
+    return V.table(spark, d, "conversations").select(c("conv_id").cast("string").alias("run_id"), c("turn").cast("int").alias("sentence_index"), "text")
+
+
+@query()
+def story_graph(spark, d):
+    return read_stories(_sentences(spark, d))
+
+
+@query()
+def tagged_words(spark, d):
+    s = _sentences(spark, d).withColumn("tokens", tokens(c("text")))
+    return s.select("run_id", "sentence_index", content_words(c("tokens")).alias("content"), nouns(c("tokens")).alias("nouns"))
+
+
+@query()
+def curated_personas(spark, d):
+    p = _personas(spark, d).select(F.lit("part").alias("source_config"), c("p_partkey").alias("idx"), c("text").alias("persona_text"))
+    return curate(p, "highschool", ["high school"])
+
+
+@query()
+def trimmed_stats(spark, d):
+    return trim_plan(V.triplets(spark, d))["clean"]
+
+
+@query(f"SELECT run_id, sentence_index, array_to_string(list_distinct(w), ' ') <> '' AS some, len(list_distinct(w))::INT AS n FROM (SELECT conv_id::VARCHAR AS run_id, turn::INT AS sentence_index, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations)")
+def sentence_lemmas(spark, d):
+    s = _sentences(spark, d).select("run_id", "sentence_index", T.sentence_lemmas(F.lower("text")).alias("w"))
+    return s.select("run_id", "sentence_index", (F.size("w") > 0).alias("some"), F.size("w").alias("n"))
