@@ -360,12 +360,13 @@ def triplet_of(items: Column) -> Column:
 
 def decay_score(text: Column) -> Column:
     """SCA-48: 0 to 3; 2 where it isn't a number."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(3), text.try_cast("int"))), F.lit(2))
+    x = text.try_cast("int")
+    return F.when(x.isNull(), 2).otherwise(F.greatest(F.lit(0), F.least(F.lit(3), x)))
 
 
 def landscape(raw: Column) -> Column:
     """SCA-49: 5 minus the distance, from 0 to 5."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.lit(5.0) - raw.cast("double")))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.lit(5.0) - raw.cast("double"))))
 
 
 def analysis_text(text: Column, age: Column) -> Column:

@@ -89,7 +89,7 @@ def focus_component(edges: DataFrame, focus: DataFrame) -> DataFrame:
     hits = parts.join(focus.select(RUN, "node").distinct().withColumn("hit", F.lit(1)), [RUN, "node"], "left")
     counts = hits.groupBy(RUN, "component").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("n"))
     first = counts.groupBy(RUN).agg(F.max("n").alias("n"))
-    return counts.join(first, [RUN, "n"]).groupBy(RUN).agg(F.min("component").alias("component"), F.first("n").alias("n_focus"))
+    return counts.join(first, [RUN, "n"]).groupBy(RUN).agg(F.min("component").alias("component"), F.max("n").alias("n_focus"))
 
 
 def bridging_edges(edges: DataFrame, label: str = "relates_to") -> DataFrame:
