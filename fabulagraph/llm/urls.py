@@ -64,15 +64,20 @@ def _rows() -> list[tuple[str, int]]:
 LABELLED = [*_rows(), ("", 0)]
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty if there is none."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+
+
 def host(url: Column) -> Column:
     """After the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; empty if there is none."""
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path(url: Column) -> Column:
     """From the host's end up to ``?``, ``#`` or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*+(/[^?#]*)", 1)
 
 
 def ruled(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Column]:
