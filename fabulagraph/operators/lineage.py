@@ -60,9 +60,10 @@ def components(edges: DataFrame, group: str, src: str = "src", dst: str = "dst")
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(group, c("b").alias("a"), c("a").alias("b")))
         up = both.groupBy(group, c("a").alias("node")).agg(F.min("b").alias("up")).withColumn("up", F.least("node", "up"))
-        up = t.write("up", up)
+        up = t.write("first", up)
         for _ in range(2):
-            up = t.write("up", up.join(up.select(group, c("node").alias("up"), c("up").alias("next")), [group, "up"]).select(group, "node", c("next").alias("up")))
+            up = up.join(up.select(group, c("node").alias("up"), c("up").alias("next")), [group, "up"]).select(group, "node", c("next").alias("up"))
+        up = t.write("up", up)
         to = up.select(group, c("node").alias("component"), "up")
         labels = t.write("labels", labels.join(to, [group, "component"], "left").select(group, "node", F.coalesce("up", "component").alias("component")))
         for end in ("a", "b"):

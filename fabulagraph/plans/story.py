@@ -7,10 +7,9 @@ runs are what the cluster spreads.  Ties are broken by name.
 
 from __future__ import annotations
 
-import copy
 from collections import deque
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,6 +70,16 @@ class State:
     inactive: set[str] = field(default_factory=set)
     sentence: int = 0
     next_edge: int = 0
+    #: Ids of the edges from one node to another, in order.
+    pairs: dict[tuple[str, str], list[int]] = field(default_factory=dict)
+
+    def copied(self) -> State:
+        """A snapshot: what changes in place is copied."""
+        return State(
+            {k: v | {"said": list(v["said"])} for k, v in self.nodes.items()}, {k: replace(e) for k, e in self.edges.items()}, set(self.carryover),
+            list(self.context), dict(self.introduced), set(self.active_before), set(self.inactive), self.sentence, self.next_edge,
+            {k: list(v) for k, v in self.pairs.items()},
+        )
 
 
 def _near(edges: list[Edge], sources: set[str], most: int, above: int = 0) -> dict[str, int]:
@@ -94,19 +103,62 @@ def _near(edges: list[Edge], sources: set[str], most: int, above: int = 0) -> di
 
 def _parts(edges: list[Edge], nodes: set[str]) -> list[set[str]]:
     """GRA-1 of a run's edges and nodes, largest part first, then by least name."""
-    left, out = set(nodes) | {x for e in edges for x in (e.src, e.dst)}, []
-    loose = [Edge(0, e.src, e.dst, e.label, 0) for e in edges]
-    while left:
-        part = set(_near(loose, {min(left)}, len(left)))
-        out.append(part)
-        left -= part
-    return sorted(out, key=lambda p: (-len(p), min(p)))
+    up = {n: n for n in set(nodes) | {x for e in edges for x in (e.src, e.dst)}}
+
+    def top(n: str) -> str:
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for e in edges:
+        up[top(e.src)] = top(e.dst)
+    out: dict[str, set[str]] = {}
+    for n in up:
+        out.setdefault(top(n), set()).add(n)
+    return sorted(out.values(), key=lambda p: (-len(p), min(p)))
+
+
+def _bridges(edges: list[Edge]) -> set[frozenset[str]]:
+    """GRA-30, GRA-31: pairs of nodes that nothing but their own edges joins, by one depth-first search."""
+    links: dict[str, list[str]] = {}
+    for a, b in sorted({(min(e.src, e.dst), max(e.src, e.dst)) for e in edges if e.src != e.dst}):
+        links.setdefault(a, []).append(b)
+        links.setdefault(b, []).append(a)
+    seen: dict[str, int] = {}
+    low: dict[str, int] = {}
+    found: set[frozenset[str]] = set()
+    for root in links:
+        if root in seen:
+            continue
+        seen[root] = low[root] = len(seen)
+        stack = [(root, "", iter(links[root]))]
+        while stack:
+            node, parent, rest = stack[-1]
+            for other in rest:
+                if other == parent:
+                    continue
+                if other in seen:
+                    low[node] = min(low[node], seen[other])
+                else:
+                    seen[other] = low[other] = len(seen)
+                    stack.append((other, node, iter(links[other])))
+                    break
+            else:
+                stack.pop()
+                if parent:
+                    low[parent] = min(low[parent], low[node])
+                    if low[node] > seen[parent]:
+                        found.add(frozenset((node, parent)))
+    return found
 
 
 class Reader:
     def __init__(self, run_id: str, tagger: Tagger | None = None, oracle: Oracle | None = None, state: State | None = None, persona: str = ""):
         self.run_id, self.tag, self.oracle, self.persona = run_id, tagger or RuleTagger(), oracle or StubOracle(), persona
         self.s = state or State()
+        #: Nodes that a new edge may end in: those said now, those carried over, and the ends of live edges.
+        self.reached: set[str] = set()
 
     # -- graph ---------------------------------------------------------------------------
     def live(self) -> list[Edge]:
@@ -130,35 +182,32 @@ class Reader:
             return None
         if set(label.split("_")) & {"not", "no", "never", "neither", "nor", "without"}:
             return None
-        reached = explicit | self.s.carryover | {x for e in self.live() for x in (e.src, e.dst)}
-        if not free and reached and not (src in reached or dst in reached):
+        if not free and self.reached and not (src in self.reached or dst in self.reached):
             return None
         if not inferred:
-            for e in sorted(self.s.edges.values(), key=lambda e: e.id):
-                if (e.src, e.dst) == (src, dst):
-                    if e.label == label:
-                        e.touch()
-                        return e
-                    del self.s.edges[e.id]
-                    break
+            for i in self.s.pairs.get((src, dst), ()):
+                e = self.s.edges[i]
+                if e.label == label:
+                    e.touch()
+                    self.reached |= {src, dst}
+                    return e
+                self.s.pairs[src, dst].remove(i)
+                del self.s.edges[i]
+                break
         e = Edge(self.s.next_edge, src, dst, label, self.s.sentence, inferred=inferred, is_property=is_property)
         self.s.next_edge += 1
         self.s.edges[e.id] = e
+        self.s.pairs.setdefault((src, dst), []).append(e.id)
         self.s.introduced.setdefault(e.key(), self.s.sentence)
+        self.reached |= {src, dst}
         return e
 
-    def bridge(self, e: Edge, live: list[Edge]) -> bool:
-        """GRA-30, GRA-31: nothing else joins the ends."""
-        pair = {e.src, e.dst}
-        rest = [x for x in live if {x.src, x.dst} != pair]
-        return e.dst not in _near(rest, {e.src}, len(rest) + 1)
-
     # -- a sentence ----------------------------------------------------------------------
     def read(self, text: str) -> list[tuple]:
         """STR-1 for one sentence: what it emits.  A sentence that a control word opens is skipped."""
         if (text or "").lower().startswith(CONTROL):
             return []
-        before, carried = copy.deepcopy(self.s), set(self.s.carryover)
+        before, carried = self.s.copied(), set(self.s.carryover)
         self.s.sentence += 1
         for e in self.s.edges.values():  # STR-2, STR-6
             e.asserted = e.reactivated = False
@@ -167,6 +216,7 @@ class Reader:
         explicit = {t.lemma for t in toks if t.pos in ("NOUN", "PROPN") and self.node(t.lemma, "CONCEPT", True)}
         explicit |= {t.lemma for t in toks if t.pos == "ADJ" and self.node(t.lemma, "PROPERTY", True)}
         first = self.s.sentence == 1
+        self.reached = explicit | self.s.carryover | {x for e in self.live() for x in (e.src, e.dst)}
         self._grow(toks, text, explicit, first)
         if not first:
             self._fade(text, explicit)
@@ -208,7 +258,7 @@ class Reader:
                         count[s, kind] = count.get((s, kind), 0) + 1
         if first:
             return
-        lone = [n for n in sorted(explicit) if not any(n in (e.src, e.dst) for e in self.live())]
+        lone = sorted(explicit - {x for e in self.live() for x in (e.src, e.dst)})
         for n in lone[:RELEVANT]:  # JOIN-10
             for other in sorted(self.s.carryover - {n})[:1]:
                 self.add(n, self.oracle.ask("label", a=n, b=other, text=text), other, explicit)
@@ -220,12 +270,12 @@ class Reader:
     def _fade(self, text: str, explicit: set[str]) -> None:
         """STR-8, STR-9, STR-12: scored decay; bridges are spared."""
         old = [e for e in self.s.edges.values() if e.made != self.s.sentence and not e.asserted and not e.reactivated]
-        live = self.live()
         try:
             scores = self.oracle.ask("scores", triplets=["|".join(e.key()) for e in old], text=text)
         except Exception:  # noqa: BLE001  no answer: all lose one
             scores = None
-        spared = {e.id for e in old if e.active and self.bridge(e, live)} if scores is not None else set()
+        bridges = _bridges(self.live())
+        spared = {e.id for e in old if frozenset((e.src, e.dst)) in bridges}
         for e in old:
             score = 2 if scores is None else max(0, min(3, int(scores.get("|".join(e.key()), 2))))
             if scores is None or score == 2:
@@ -237,9 +287,11 @@ class Reader:
             else:
                 e.visibility = min(VISIBILITY, e.visibility + 1)
                 e.wake(e.visibility)
-        for node in sorted(n for n, v in self.s.nodes.items() if v["inferred"]):  # STR-10
-            hops = [e for e in self.live() if node in (e.src, e.dst) and not all(self.s.nodes[x]["inferred"] for x in (e.src, e.dst))]
-            for e in hops[:1]:
+        raised: set[str] = set()
+        for e in self.live():  # STR-10: the first live edge from an inferred node to one of the text
+            guessed = [n for n in (e.src, e.dst) if self.s.nodes[n]["inferred"]]
+            if len(guessed) == 1 and guessed[0] not in raised:
+                raised.add(guessed[0])
                 e.visibility = min(5, e.visibility + 2)
 
     def _prune(self, text: str, explicit: set[str]) -> None:
@@ -248,9 +300,10 @@ class Reader:
         if len(live) <= PRUNE_ABOVE:
             return
         kept = set(self.oracle.ask("keep", triplets=["|".join(e.key()) for e in live], text=text))
+        bridges = _bridges(live)
         for e in live:
             if "|".join(e.key()) not in kept and e.made != self.s.sentence:
-                e.fade(1 if {e.src, e.dst} & explicit or self.bridge(e, self.live()) else e.visibility)
+                e.fade(1 if {e.src, e.dst} & explicit or frozenset((e.src, e.dst)) in bridges else e.visibility)
 
     def _view(self, explicit: set[str]) -> dict[str, int]:
         """STR-20: explicit nodes and what is near them."""
@@ -259,16 +312,26 @@ class Reader:
     def _repair(self, explicit: set[str], text: str) -> None:
         """GRA-16, GRA-21, GRA-23: joins the parts of the live graph, first by old edges."""
         for _ in range(2):
-            parts = _parts(self.live(), explicit)
+            live = self.live()
+            parts = _parts(live, explicit)
             if len(parts) <= 1:
                 return
-            for part in parts[1:]:
-                old = [e for e in self.s.edges.values() if not e.active and ({e.src} <= part) != ({e.dst} <= part) and ({e.src, e.dst} & parts[0])]
-                if old:
-                    min(old, key=lambda e: e.key()).wake(1)
-                elif part & explicit and parts[0]:
-                    degree = {n: sum(n in (e.src, e.dst) for e in self.live()) for n in parts[0]}
-                    anchor = min(parts[0], key=lambda n: (-degree[n], n))
+            part_of = {n: i for i, part in enumerate(parts) for n in part}
+            old: dict[int, Edge] = {}
+            for e in self.s.edges.values():
+                a, b = part_of.get(e.src), part_of.get(e.dst)
+                if not e.active and a is not None and b is not None and a != b and 0 in (a, b):
+                    k = max(a, b)
+                    old[k] = min((old.get(k, e), e), key=lambda x: x.key())
+            degree: dict[str, int] = {}
+            for e in live:
+                for n in (e.src, e.dst):
+                    degree[n] = degree.get(n, 0) + 1
+            anchor = min(parts[0], key=lambda n: (-degree.get(n, 0), n))
+            for k, part in enumerate(parts[1:], 1):
+                if k in old:
+                    old[k].wake(1)
+                elif part & explicit:
                     self.add(min(part & explicit), "relates_to", anchor, explicit, free=True)
 
     def _lost(self, explicit: set[str]) -> bool:
@@ -287,7 +350,7 @@ class Reader:
     def _activations(self, explicit: set[str]) -> list[tuple]:
         """STR-18: nodes by distance, labels half a point below their higher end."""
         raw = _near(list(self.s.edges.values()), explicit, REACH, 1)
-        new = {n for n, v in self.s.nodes.items() if v["inferred"] and any(n in (e.src, e.dst) and e.made == self.s.sentence for e in self.live())}
+        new = {n for e in self.live() if e.made == self.s.sentence for n in (e.src, e.dst) if self.s.nodes[n]["inferred"]}
         score = {n: max(0.0, min(5.0, 5.0 - (1 if n in new and d > 0 else d))) for n, d in raw.items()}
         labels: dict[str, float] = {}
         for e in self.live():
