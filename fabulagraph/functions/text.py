@@ -388,3 +388,83 @@ def title_line(text: Column, most: int) -> Column:
 def log_scaled(x: Column, metric: str) -> Column:
     """SCA-11: log10(x + 1) for the metrics on a log scale."""
     return F.log10(x + 1) if metric in L.LOGGED else x
+
+
+#: Grades that the third age rule knows, and roles, in order (SCA-17).
+GRADE_AGES = {i: 5 + i for i in range(1, 13)}
+ROLE_AGES = (("freshman", 14), ("sophomore", 15), ("junior", 16), ("senior", 17), ("kindergartener", 5), ("toddler", 3), ("preschooler", 4))
+
+
+def age_by_grade(text: Column) -> Column:
+    """SCA-17: a stated age over 0, else the age of a grade, else of a role, else by school level."""
+    low = F.lower(text)
+    stated = stated_age(low)
+    grade = F.nullif(F.coalesce(F.nullif(F.regexp_extract(low, r"\b([0-9]{1,2})(?:st|nd|rd|th)[ -]grade", 1), F.lit("")), F.regexp_extract(low, r"\bgrade\s*([0-9]{1,2})\b", 1)), F.lit(""))
+    roles = [F.when(low.rlike(rf"\b{r}\b"), F.lit(a)) for r, a in ROLE_AGES]
+    levels = [F.when(_any([F.contains(low, F.lit(p)) for p in ps]), F.lit(a)) for ps, a in L.SCHOOL_AGES]
+    known = F.when(grade.cast("int").between(1, 12), grade.cast("int") + 5)
+    return F.coalesce(F.when(stated > 0, stated), known, *roles, *levels)
+
+
+def completed_age(age: Column, text: Column) -> Column:
+    """FIL-14: a known age passes; others come from the text."""
+    return F.coalesce(age.cast("int"), age_by_phrase(text))
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """SCA-35."""
+    return F.levenshtein(a, b)
+
+
+def relation_or_null(label: Column) -> Column:
+    """SCA-47: the normalised label, null where it has no letter."""
+    out = edge_label(label)
+    return F.when(is_relation_label(out), out)
+
+
+def node_token(text: Column) -> Column:
+    """SCA-51."""
+    return strip(F.lower(text))
+
+
+def before_final(name: Column) -> Column:
+    """SCA-53."""
+    return F.substring_index(name, "_FINAL_", 1)
+
+
+def utc_now() -> Column:
+    """SCA-54: the time as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def prefix_and_sentence(name: Column) -> tuple[Column, Column]:
+    """SCA-55, VIZ-7, VIZ-8: the parts of an image's name that mosaics are grouped by."""
+    pattern = r"^(.*)_sent([0-9]+)\.[A-Za-z0-9_]+$"
+    ok = name.rlike(pattern)
+    return F.when(ok, F.regexp_extract(name, pattern, 1)), F.when(ok, F.regexp_extract(name, pattern, 2).cast("int"))
+
+
+def nodes_line(label: str, nodes: Column) -> Column:
+    """SCA-57: ``label: a, b``; ``none`` where there are none; null for null."""
+    names = F.array_join(F.filter(F.transform(nodes, strip), lambda n: n != ""), ", ")
+    return F.when(nodes.isNotNull(), F.concat(F.lit(f"{label}: "), F.when(names == "", "none").otherwise(names)))
+
+
+def hints(pairs: Column) -> Column:
+    """NLP-6: lines of (adjective, noun) pairs for a prompt."""
+    return F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("- "), p["noun"], F.lit(" is "), p["adjective"])), "\n")
+
+
+#: FIL-12: words of a text that is not a pupil's, unless it opens as one.
+GROWN_UP = (
+    "teacher professor principal headmaster educator counselor faculty chaperone director coordinator mother father parent guardian veteran elderly husband wife "
+    "grown-up millennial entrepreneur plumber doctor professional reunion alumni alumnus alumna graduated"
+).split()
+
+
+def not_a_pupil(text: Column) -> Column:
+    """FIL-12: boolean exclusion; a text that opens as a pupil's is only out as a senior citizen's or former one's."""
+    low = F.lower(text)
+    opens = low.rlike(r"^\s*(a|an|the|i'm|i am)\s+[\w\s-]*\b(student|pupil|freshman|sophomore|junior|senior|attendee)\b")
+    past = low.rlike(r"class of (19\d\d|200\d|201\d)|years ago|looking back|memories of|in the 90s|fondly remembers")
+    return F.when(text.isNull(), True).when(opens, F.contains(low, F.lit("senior citizen")) | F.contains(low, F.lit("former"))).otherwise(contains_any(text, GROWN_UP) | past)

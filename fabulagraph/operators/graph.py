@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulagraph.functions import text as T
-from fabulagraph.operators.lineage import components
+from fabulagraph.operators.lineage import Tables, components
 
 RUN = "run_id"
 
@@ -126,17 +127,22 @@ def radial_layout(levels: DataFrame) -> DataFrame:
     ring = Window.partitionBy(RUN, "distance")
     i, n = F.row_number().over(ring.orderBy("node")) - 1, F.count("*").over(ring)
     golden = math.pi * (3 - math.sqrt(5))
-    radius = F.greatest(4 + 4.5 * c("distance"), n * 3.0 / (2 * math.pi))
+    radius = F.greatest(4 + 4.5 * c("distance"), n * 1.8 * 1.5 / (2 * math.pi))
     angle = 2 * math.pi * i / n + golden * c("distance")
     at = lambda f: F.when(c("distance") == 0, F.lit(0.0)).otherwise(radius * f(angle))
     return levels.select(RUN, "node", "distance", at(F.cos).alias("x"), at(F.sin).alias("y"))
 
 
-def curvatures(edges: DataFrame, order: str = "edge_id", step: float = 0.25) -> DataFrame:
-    """GRA-40: curvature and label place of edges that share their ends."""
+def curvatures(edges: DataFrame, order: str = "edge_id") -> DataFrame:
+    """GRA-40: curvature and label place of edges that share their ends; those against the names' order bend the other way."""
     pair = Window.partitionBy(RUN, F.least("src", "dst"), F.greatest("src", "dst"))
     k, n = F.row_number().over(pair.orderBy(order)) - 1, F.count("*").over(pair)
-    return edges.withColumn("curvature", F.when(n == 1, F.lit(0.0)).otherwise((k - (n - 1) / 2) * step)).withColumn("t", (k + 1) / (n + 1))
+    share = F.when(n > 1, k / (n - 1)).otherwise(0.5)
+    spread = F.least(F.lit(0.35), 0.15 * (n - 1) / 2)
+    bend = F.when(n == 1, 0.0).when(n == 2, F.when(k == 0, 0.15).otherwise(-0.15)).otherwise(-spread + 2 * spread * share)
+    low, high = F.greatest(F.lit(0.3), 0.5 - 0.15 * (n - 1) / 2), F.least(F.lit(0.7), 0.5 + 0.15 * (n - 1) / 2)
+    place = F.when(n == 1, 0.5).when(n == 2, F.when(k == 0, 0.4).otherwise(0.6)).otherwise(low + (high - low) * share)
+    return edges.withColumn("curvature", F.when(F.col("src") > F.col("dst"), -bend).otherwise(bend)).withColumn("t", place)
 
 
 def bezier(x0: Column, y0: Column, x1: Column, y1: Column, curvature: Column, t: Column) -> tuple[Column, Column]:
@@ -146,6 +152,176 @@ def bezier(x0: Column, y0: Column, x1: Column, y1: Column, curvature: Column, t:
     return at(x0, mx, x1), at(y0, my, y1)
 
 
+def label_angle(x0: Column, y0: Column, x1: Column, y1: Column, curvature: Column, t: Column) -> Column:
+    """GRA-42: degrees of the curve's direction at ``t``, turned so that text is readable."""
+    mx, my = (x0 + x1) / 2 - curvature * (y1 - y0), (y0 + y1) / 2 + curvature * (x1 - x0)
+    angle = F.degrees(F.atan2((1 - t) * (my - y0) + t * (y1 - my), (1 - t) * (mx - x0) + t * (x1 - mx)))
+    return F.when((x0 == x1) & (y0 == y1), 0.0).when(angle > 90, angle - 180).when(angle < -90, angle + 180).otherwise(angle)
+
+
+def bfs_levels(edges: DataFrame, hubs: DataFrame) -> DataFrame:
+    """GRA-4: (run_id, node, distance) along the edges' direction, as far as it goes."""
+    t = Tables(edges.sparkSession)
+    steps = t.write("steps", edges.select(RUN, F.col("src").alias("node"), F.col("dst").alias("near")).distinct())
+    found = t.write("found", hubs.select(RUN, "node").distinct().withColumn("distance", F.lit(0)))
+    front, k = found, 0
+    while not front.isEmpty():
+        k += 1
+        ahead = front.join(steps, [RUN, "node"]).select(RUN, F.col("near").alias("node")).distinct()
+        front = t.write(f"front{k % 2}", ahead.join(found, [RUN, "node"], "left_anti").withColumn("distance", F.lit(k)))
+        found = t.write("found", found.unionByName(front))
+    return found
+
+
+def by_score(nodes: DataFrame, most: int, text_only: bool = False) -> DataFrame:
+    """GRA-7: nodes (…, score, source) up to a score."""
+    kept = nodes.where(F.col("score") <= most)
+    return kept.where("source = 'TEXT_BASED'") if text_only else kept
+
+
+def node_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """WIN-13: additive score of (run_id, node, source, active): active degree, kind, ties to the text, activity, centrality."""
+    c = F.col
+    ends = edges.where("active").select(RUN, F.explode(F.array(F.struct(c("src").alias("node"), c("dst").alias("near")), F.struct(c("dst").alias("node"), c("src").alias("near")))).alias("e"))
+    ends = ends.select(RUN, "e.*").join(nodes.select(RUN, c("node").alias("near"), (c("source") == "TEXT_BASED").alias("text")), [RUN, "near"], "left")
+    degree = ends.groupBy(RUN, "node").agg(F.count("*").alias("n"), F.max(F.coalesce("text", F.lit(False)).cast("int")).alias("tied"), F.count_distinct("near").alias("d"))
+    size = degree.groupBy(RUN).agg(F.count("*").alias("size"))
+    joined = nodes.join(degree, [RUN, "node"], "left").join(size, RUN, "left").na.fill(0, ["n", "tied", "d"])
+    inferred = c("source") == "INFERENCE_BASED"
+    score = 3 * c("n") + F.when(inferred, 20).otherwise(5) + F.when(inferred & (c("tied") == 1), 15).otherwise(0) + F.when(c("active"), 8).otherwise(0)
+    return joined.select(RUN, "node", "source", "active", (score + F.when(c("size") > 1, 5 * c("d") / (c("size") - 1)).otherwise(0.0)).alias("score"))
+
+
+def removal_candidates(scores: DataFrame, most: int) -> DataFrame:
+    """WIN-12: what exceeds ``most`` nodes of a run, text-based nodes first, lowest scores first."""
+    w = Window.partitionBy(RUN)
+    rank = F.row_number().over(w.orderBy((F.col("source") != "TEXT_BASED").cast("int"), "score", "node"))
+    return scores.withColumn("_i", rank).withColumn("_n", F.count("*").over(w)).where(F.col("_i") <= F.col("_n") - most).drop("_i", "_n")
+
+
+def by_degree(edges: DataFrame) -> DataFrame:
+    """WIN-11: (run_id, node, degree, place) by falling degree and name."""
+    degree = edges.select(RUN, F.explode(F.array("src", "dst")).alias("node")).groupBy(RUN, "node").agg(F.count("*").alias("degree"))
+    return degree.withColumn("place", F.row_number().over(Window.partitionBy(RUN).orderBy(F.desc("degree"), "node")))
+
+
+def node_listing(nodes: DataFrame) -> DataFrame:
+    """WIN-8: a run's nodes (node, kind, score) as lines, by score and name."""
+    line = F.format_string("- %s (type: %s) (score: %d)", "node", "kind", F.col("score").cast("int"))
+    rows = F.array_sort(F.collect_list(F.struct("score", "node", line.alias("line"))))
+    return nodes.groupBy(RUN).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("nodes"))
+
+
+def edge_listing(edges: DataFrame, only_active: bool = True, order: str = "edge_id") -> DataFrame:
+    """WIN-9: a run's edges as numbered lines; the number is the place in the list."""
+    kept = edges.where("active") if only_active else edges
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(order, "src", "label", "dst"))), lambda r, i: F.concat(
+        (i + 1).cast("string"), F.lit(". "), r["src"], F.lit(" - "), r["label"], F.lit(" (edge) - "), r["dst"]))
+    return kept.groupBy(RUN).agg(F.array_join(rows, "\n").alias("edges"))
+
+
+def representers(mentions: DataFrame) -> DataFrame:
+    """WIN-10: the commonest text of (run_id, node, text, seen); of equal ones the first seen, without articles."""
+    counts = mentions.groupBy(RUN, "node", "text").agg(F.count("*").alias("n"), F.min("seen").alias("first"))
+    best = counts.groupBy(RUN, "node").agg(F.min_by("text", F.struct(-F.col("n"), "first", "text")).alias("text"))
+    return best.withColumn("text", F.regexp_replace("text", r"(?i)^((the|a|an)\s+)+", ""))
+
+
+def newly_inferred(now: DataFrame, before: DataFrame) -> DataFrame:
+    """WIN-15: inferred nodes that weren't there before."""
+    return now.where("source = 'INFERENCE_BASED'").join(before.select(RUN, "node"), [RUN, "node"], "left_anti")
+
+
+def shown_triplets(triplets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """STR-31: triplets whose ends are both among ``nodes``."""
+    for end in ("subject", "object"):
+        triplets = triplets.join(nodes.select(RUN, F.col("node").alias(end)), [RUN, end], "left_semi")
+    return triplets
+
+
+def replay(snapshots: DataFrame, positions: DataFrame) -> DataFrame:
+    """STR-32: rows of snapshots (run_id, sentence, node), last sentence first, at the final positions."""
+    w = Window.partitionBy(RUN).orderBy(F.desc("sentence"), "node")
+    return snapshots.join(positions, [RUN, "node"]).withColumn("step", F.row_number().over(w))
+
+
+def snapshots(triplets: DataFrame) -> DataFrame:
+    """SRC-24: one row per (run_id, sentence_index): its triplets and the nodes they end in, in order."""
+    triple = F.struct("subject", "relation", "object")
+    both = F.array_union(F.collect_set("subject"), F.collect_set("object"))
+    return triplets.groupBy(RUN, "sentence_index").agg(F.array_sort(F.collect_set(triple)).alias("triplets"), F.array_sort(both).alias("nodes"))
+
+
+def parted_nodes(before: Column, now: Column) -> tuple[Column, Column, Column]:
+    """SET-2, SET-4 over arrays of nodes: those that left, those that came, those that stayed."""
+    return F.array_except(before, now), F.array_except(now, before), F.array_intersect(before, now)
+
+
+def cut_points(edges: DataFrame) -> DataFrame:
+    """GRA-32, GRA-33: (run_id, node) of nodes whose loss parts a run's graph.
+
+    A run's graph is small; runs are spread over the cluster.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        links: dict[str, set[str]] = {}
+        for a, b in zip(rows["src"], rows["dst"]):
+            if a != b:
+                links.setdefault(a, set()).add(b)
+                links.setdefault(b, set()).add(a)
+        found, seen, low = set(), {}, {}
+        for root in sorted(links):
+            if root in seen:
+                continue
+            seen[root] = low[root] = len(seen)
+            stack, children = [(root, None, iter(sorted(links[root])))], 0
+            while stack:
+                node, parent, rest = stack[-1]
+                for other in rest:
+                    if other not in seen:
+                        seen[other] = low[other] = len(seen)
+                        children += node == root
+                        stack.append((other, node, iter(sorted(links[other]))))
+                        break
+                    if other != parent:
+                        low[node] = min(low[node], seen[other])
+                else:
+                    stack.pop()
+                    if parent is not None:
+                        low[parent] = min(low[parent], low[node])
+                        if parent != root and low[node] >= seen[parent]:
+                            found.add(parent)
+            if children > 1:
+                found.add(root)
+        return pd.DataFrame({RUN: [key[0]] * len(found), "node": sorted(found)})
+
+    kind = edges.schema[RUN].dataType.simpleString()
+    return active(edges, -1).select(RUN, "src", "dst").groupBy(RUN).applyInPandas(run, f"{RUN} {kind}, node string")
+
+
+def nudged(positions: DataFrame, threshold: float = 0.97, by: float = 0.15) -> DataFrame:
+    """GRA-39: moves the farther of two nodes that lie in one line with the centre aside, once each, in order of names."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        at = {n: (x, y) for n, x, y in zip(rows["node"], rows["x"], rows["y"])}
+        moved: set[str] = set()
+        names = [n for n in at if math.hypot(*at[n]) >= 1e-6]
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                (ax, ay), (bx, by_) = at[a], at[b]
+                la, lb = math.hypot(ax, ay), math.hypot(bx, by_)
+                far = b if lb >= la else a
+                if abs((ax * bx + ay * by_) / (la * lb)) >= threshold and far not in moved:
+                    x, y = at[far]
+                    at[far] = x - y * by, y + x * by
+                    moved.add(far)
+        return rows.assign(x=[at[n][0] for n in rows["node"]], y=[at[n][1] for n in rows["node"]])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in positions.schema)
+    return positions.groupBy(RUN).applyInPandas(run, schema)
+
+
 def first_introductions(triplets: DataFrame) -> DataFrame:
     """GRA-13: the first sentence of each (run_id, subject, relation, object)."""
     return triplets.groupBy(RUN, "subject", "relation", "object").agg(F.min("sentence_index").alias("introduced_at"))

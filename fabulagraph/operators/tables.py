@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabulagraph.functions import lexicon as L
 from fabulagraph.functions import text as T
+from fabulagraph.operators.lineage import cut
 
 
 def require(df: DataFrame, columns: set[str], how: str = "raise") -> DataFrame | None:
@@ -73,8 +75,6 @@ def first_of_normalised(triplets: DataFrame, order: str, within: list[str]) -> D
 def numbered(rows: DataFrame, order: str, name: str = "row_no") -> DataFrame:
     """A running number by ``order`` without one sorted task: range partitions are counted first."""
     parts = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    from fabulagraph.operators.lineage import cut
-
     parts = cut(parts)
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     ahead = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -149,6 +149,42 @@ def previous_text(sentences: DataFrame, n: int = 5) -> DataFrame:
     return sentences.withColumn("context", F.array_join(F.collect_list("text").over(w), " "))
 
 
+def top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """WIN-17, WIN-18: the first n rows (the limit is the operator's meaning)."""
+    return rows.orderBy(*order).limit(n)
+
+
+def young(rows: DataFrame, category: str, most: int = 11) -> DataFrame:
+    """WIN-21: of known age up to ``most`` and not excluded, by age."""
+    return rows.where((F.col("age") <= most) & ~T.contains_any(F.col("persona_text"), L.EXCLUDE[category])).orderBy("age")
+
+
+def profile(rows: DataFrame, value: str) -> DataFrame:
+    """AGG-45: n, mean, deviation and quartiles of a column in one row."""
+    x = F.col(value).cast("double")
+    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q")
+    one = rows.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.count_distinct(x).alias("n_distinct"), q)
+    return one.select("n", "mean", "std", "n_distinct", *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("min", "q1", "median", "q3", "max"))])
+
+
+def distinct_meanings(triplets: DataFrame, keys: list[str]) -> DataFrame:
+    """JOIN-14, NLP-13, NLP-14: drops one of two triplets of a subject that say the same with an adjective and a noun.
+
+    ``is`` with the adjective beats ``has`` with the noun, and the other way round; which
+    objects are adjectives comes as ``object_pos``.  Pairs meet on the subject and the kinds
+    of both sides only, never all with all.
+    """
+    c = F.col
+    rows = triplets.withColumn("_o", T.strip(F.lower("object"))).withColumn("_s", T.strip(F.lower("subject"))).withColumn("_r", T.strip(F.lower("relation")))
+    one = lambda pos, n: rows.where(c("object_pos") == pos).select(*keys, "_s", c("_o").alias(f"_{n}"), c("_r").alias(f"_r{n}")).distinct()
+    pairs = one("ADJ", "adj").join(one("NOUN", "noun"), [*keys, "_s"])
+    near = T.derived_lemmas(c("_adj"), c("_noun")) | T.swapped_ends(c("_adj"), c("_noun")) | T.similar_strings(c("_adj"), c("_noun"))
+    pairs = pairs.where(near & (((c("_radj") == "is") & (c("_rnoun") == "has")) | ((c("_radj") == "has") & (c("_rnoun") == "is"))))
+    winners = pairs.where(c("_radj") == "has").select(*keys, "_s", F.lit("has").alias("_r"), c("_adj").alias("_o"))
+    beaten = pairs.where(c("_radj") == "is").select(*keys, "_s", F.lit("has").alias("_r"), c("_noun").alias("_o"))
+    return rows.join(winners.unionByName(beaten).distinct(), [*keys, "_s", "_r", "_o"], "left_anti").select(*triplets.columns)
+
+
 def paragraphs(texts: DataFrame, text: str = "text") -> DataFrame:
     """SRC-9: (…, pos, drp, paragraph) of texts with DRP="n" marks; paragraphs without text fall out."""
     keep = [c for c in texts.columns if c != text]

@@ -475,8 +475,8 @@ def pair_best_edge(spark, d):
 
 
 @query(f"""WITH {V.V_EDGES}, {_BFS.format(v=0)}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id, distance ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY run_id, distance) AS n FROM dist)
-SELECT run_id, node, distance, round(CASE WHEN distance = 0 THEN 0 ELSE greatest(4 + 4.5 * distance, n * 3.0 / (2 * pi())) * cos(2 * pi() * i / n + pi() * (3 - sqrt(5)) * distance) END::DOUBLE, 4) AS x,
-round(CASE WHEN distance = 0 THEN 0 ELSE greatest(4 + 4.5 * distance, n * 3.0 / (2 * pi())) * sin(2 * pi() * i / n + pi() * (3 - sqrt(5)) * distance) END::DOUBLE, 4) AS y FROM k""")
+SELECT run_id, node, distance, round(CASE WHEN distance = 0 THEN 0 ELSE greatest(4 + 4.5 * distance, n * 2.7 / (2 * pi())) * cos(2 * pi() * i / n + pi() * (3 - sqrt(5)) * distance) END::DOUBLE, 4) AS x,
+round(CASE WHEN distance = 0 THEN 0 ELSE greatest(4 + 4.5 * distance, n * 2.7 / (2 * pi())) * sin(2 * pi() * i / n + pi() * (3 - sqrt(5)) * distance) END::DOUBLE, 4) AS y FROM k""")
 def radial_layout(spark, d):
     e = V.edges(spark, d)
     at = G.radial_layout(G.distances(G.active(e), e.groupBy("run_id").agg(F.min("src").alias("node"))))

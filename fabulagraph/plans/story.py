@@ -1,4 +1,4 @@
-"""Reading a story sentence by sentence into a concept graph (STR-*, GRA-8..31, JOIN-8..10, NLP-5, NLP-7).
+"""Reading a story sentence by sentence into a concept graph (STR-1..33, GRA-8..31, JOIN-8..10, NLP-5..8).
 
 ``Reader`` is the state machine of one run, a pure class over plain values, so that the
 batch plan and the streaming plan share it.  A run's state is a few hundred edges at most;
@@ -384,6 +384,16 @@ def read_stories(sentences: DataFrame, tagger: Callable[[], Tagger] = RuleTagger
     return sentences.groupBy("run_id").applyInPandas(run, SCHEMA)
 
 
+def resolved(sentences: list[str], oracle: Oracle, context: int = 5) -> list[str]:
+    """NLP-1: each sentence with its pronouns replaced; the first stays, and each sees the last original ones."""
+    out: list[str] = []
+    for i, text in enumerate(sentences):
+        names = oracle.ask("pronouns", sentence=text, context=sentences[max(0, i - context) : i]) if i else {}
+        names = names if isinstance(names, dict) else {}
+        out.append(" ".join(names.get(w, w) for w in text.split(" ")))
+    return out
+
+
 def sentences_of(stories: DataFrame) -> DataFrame:
     """SRC-8: (run_id, sentence_index, text) of (story_id, text): split after sentence ends."""
     return stories.selectExpr(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabulagraph.functions import text as T
+from fabulagraph.operators.metrics import persona_stats
 from fabulagraph.operators.tables import require, resume
 
 #: Column to type of the triplet and persona files.
@@ -92,3 +93,11 @@ def save_outputs(trimmed: DataFrame, clean: DataFrame, removed: DataFrame, path:
     """SRC-14."""
     for name, rows in (("trimmed", trimmed), ("clean", clean), ("removed", removed)):
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def persona_stats_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """AGG-37: statistics over triplet files; the regime is the file name's, and a name without one is an error."""
+    rows = triplets(spark, path)
+    model, regime = T.model_and_regime(F.col("source_file"))
+    named = F.coalesce(regime, F.raise_error(F.concat(F.lit("no regime in the name of "), F.col("source_file"))))
+    return persona_stats(rows.withColumn("regime", named))
