@@ -46,7 +46,7 @@ class StubOracle:
             return {}
         if method == "judge":
             d = self._draw(100, given["persona"])
-            return {"label": "yes" if d < 60 else "no" if d < 90 else "uncertain", "confidence": 50 + d // 2, "reason": "stub"}
+            return {"label": "yes" if d < 60 else "no" if d < 90 else "uncertain", "confidence": 100 - d // 2, "reason": "stub"}
         if method == "age":
             return {"age": 5 + self._draw(14, given["persona"]), "confidence": 50 + self._draw(50, given["persona"], 1), "age_group": "unknown", "reason": "stub"}
         raise KeyError(method)

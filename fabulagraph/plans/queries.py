@@ -246,7 +246,7 @@ def drp_grade(spark, d):
 
 
 #: Personas made of parts: a sentence with an age or a school level in it.
-_PERSONA = "'A ' || p_size || '-year-old who likes ' || p_type || CASE p_size % 6 WHEN 0 THEN ', a high school student' WHEN 1 THEN ', in kindergarten' WHEN 2 THEN ', at the university' ELSE '' END"
+_PERSONA = "'A ' || p_size || '-year-old who likes ' || p_type || CASE p_size % 8 WHEN 0 THEN ', a high school student' WHEN 1 THEN ', in kindergarten' WHEN 2 THEN ', at the university' ELSE '' END"
 _PERSONAS = f"SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN 'Someone at school, a ' || p_type || CASE p_size % 7 WHEN 0 THEN ' high school student' WHEN 1 THEN ' pupil' WHEN 2 THEN ' college teacher' ELSE ' ' END ELSE {_PERSONA} END AS text, p_size FROM part"
 
 
