@@ -228,8 +228,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     found = found.select(c("doc_id").alias("_id"), "rules")
     if few:
         joined = rows.join(F.broadcast(found), c("doc_id") == c("_id"), "left")
-    else:
-        joined = rows.join(found, c("doc_id") == c("_id"), "left")
+    else:  # texts without any posting stay where they are
+        folded = F.lower("text")
+        posted = reduce(lambda a, b: a | b, [F.contains(folded, F.lit(x)) for x in grams]) & c("doc_id").isNotNull()
+        moved = rows.where(posted).join(found, c("doc_id") == c("_id"), "left")
+        joined = moved.unionByName(rows.where(~posted).withColumns({"_id": F.lit(None).cast(found.schema["_id"].dataType), "rules": F.lit(None).cast("long")}))
     on = F.when(c("doc_id").isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("rules", F.lit(0))).cast("long").bitwiseOR(F.lit(full).cast("long"))
     parts = [F.when(c("_on").bitwiseAND(F.lit(1 << i).cast("long")) != 0, _spans(c("text"), r, i)).otherwise(
         F.array().cast("array<struct<start:int,number:int,end:int>>")) for i, r in enumerate(rules)]
