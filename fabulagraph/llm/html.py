@@ -244,7 +244,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
     rng = random.Random(seed)
 
     def prose() -> str:
-        words = ["lorem" * (1 + rng.random() < 0.5) + rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(rng.choice((1, 2, 4, 8, 15, 30, 60)))]
+        words = [rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.choice((1, 2, 4, 8, 15, 30, 60)))]
         if rng.random() < 0.15:
             k = rng.randrange(len(words))
             words[k] = f'<a href="/x">{words[k]}</a>'
@@ -282,20 +282,20 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
         for _ in range(k):
             r = rng.random()
             end = "</p>" if rng.random() < 0.8 else ""
-            if r < 0.78:
+            if r < 0.73:
                 out.append(f"<p>{prose()}{end}")
+            elif r < 0.82:
+                out.append("<h{0}>{1}</h{0}>".format(rng.randint(2, 4), prose()[:40]))
             elif r < 0.86:
-                out.append(f"<h{rng.randint(2, 4)}>{prose()[:40]}</h2>".replace("</h2>", "</h2>"))
-            elif r < 0.9:
                 out.append("<ul>" + "".join(f"<li>{prose()}</li>" for _ in range(3)) + "</ul>")
-            elif r < 0.93:
+            elif r < 0.89:
                 out.append(f"<blockquote><p>{prose()}</p></blockquote>")
-            elif r < 0.95:
+            elif r < 0.91:
                 out.append(f"<table><tr><td>{prose()}</td><td>{prose()}</td></tr></table>")
-            elif r < 0.97:
+            elif r < 0.93:
                 out.append(f"<div>{prose()}</div><pre>{prose()}</pre><figure><figcaption>{prose()}</figcaption></figure>")
             else:
-                out.append(junk(rng.choice(("ad", "share", "side"))))
+                out.append(junk(rng.choice(("ad", "share", "side", "form", "footer", "note", "talk", "nav"))))
         return "".join(out)
 
     pages = []
