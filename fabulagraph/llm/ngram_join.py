@@ -287,6 +287,8 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE, percent: int =
             found: list[tuple[int, int]] = []
             for i, words in hashing.batches_of_words(_texts(batch)):
                 s = hashing.shingles(words, n)
+                if fingerprint(s) != (a[i] if b[i] is None else b[i]):
+                    continue  # another text of the same id
                 if b[i] is None:
                     held, mine = a[i], s
                 elif held == a[i]:
@@ -303,13 +305,27 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE, percent: int =
 BROADCAST_ROWS = 1_000_000
 
 
-def _texts_of(wanted: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes: one document each."""
+def _texts_of(wanted: DataFrame, named: DataFrame, docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """(node, text) of the wanted nodes: one document each, or those of one id where texts share it;
+    what reads the texts leaves out the others."""
     ids = named.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = checkpoint(ids.where(F.col("doc_id").isNotNull()))
+    ids = checkpoint(ids)
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    some = ids.where("doc_id is not null")
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return rows.join(F.broadcast(ids) if few else ids, "doc_id").select("node", "text")
+    found = rows.join(F.broadcast(some) if few else some, "doc_id").select("node", "text")
+    lone = ids.where("doc_id is null").select("node")
+    if lone.isEmpty():
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (hashing.shingles(words, n) for _, words in hashing.batches_of_words(_texts(batch)))
+            owners = [fingerprint(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), batch.column("text")], names=["node", "text"])
+
+    unnamed = map_texts(docs.where(F.col("doc_id").isNull()).select("text"), run, "node bigint, text string")
+    return found.unionByName(unnamed.join(lone, "node").groupBy("node").agg(F.min("text").alias("text")))
 
 
 #: Signatures of at most so many nodes pair all of them; of at most so many, all whose sketches
@@ -336,6 +352,8 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, percent: int, probe: bool)
         parts: list[tuple] = []
         for i, words in hashing.batches_of_words(_texts(batch)):
             s = hashing.shingles(words, n)
+            if fingerprint(s) != owners[i]:
+                continue  # another text of the same id
             for band, whole, less, place in neighbourhoods(s, percent):
                 m, (lo, most) = len(whole), _sizes(band)
                 own = lo <= len(s) <= most
@@ -377,14 +395,17 @@ def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     elements as their sketches by bytes.
     """
     for batch in batches:
-        sizes, sketches = [], []
-        for _, words in hashing.batches_of_words(_texts(batch)):
+        owners, kept, sizes, sketches = batch.column("node").to_pylist(), [], [], []
+        for i, words in hashing.batches_of_words(_texts(batch)):
             s = hashing.shingles(words, n)
+            if fingerprint(s) != owners[i]:
+                continue  # another text of the same id
+            kept.append(owners[i])
             sums = np.zeros(SKETCH, np.uint64)
             np.add.at(sums, (s >> _U(57)).astype(np.int64), hashing.mix(s + _U(0x77)))
             sizes.append(len(s))
             sketches.append((hashing.mix(sums) >> _U(56)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -488,7 +509,7 @@ def links(
     shared = reduce(DataFrame.unionByName, tally).where("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = shared.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))).where(c("k") <= HUBS)
     pairs = checkpoint(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-    texts = checkpoint(_texts_of(met.select("node").distinct(), named, docs))
+    texts = checkpoint(_texts_of(met.select("node").distinct(), named, docs, n))
     linked = checkpoint(verify(pairs, texts, n, percent))
     labels = components(linked)
     # second round: signatures whose members are still apart

@@ -85,6 +85,8 @@ def test_ngram_join(make, edge_rows, small, middle, monkeypatch):
     monkeypatch.setattr(ngram_join.links, "__defaults__", (None, 4, 85, small, middle))
     texts = near_copies(5)
     rows = [(1000 - i, t) for i, t in enumerate(texts)] + [r for r in edge_rows if r[0] != 5] + [(7, "one TWO"), (8, "one two"), (9, " ".join(f"r{i}" for i in range(3000)))]
+    long = [f"q{i}" for i in range(100)]
+    rows += [(None, " ".join(long)), (None, " ".join([*long[:-1], "z"])), (20, " ".join([*long[:-2], "y", "z"])), (21, texts[0]), (21, " ".join(f"u{i}" for i in range(50))), (22, " ".join(f"u{i}" for i in range(49)) + " v")]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.op4(make(rows)).collect())
     assert got == brute_components(rows)
 
