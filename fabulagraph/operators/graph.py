@@ -293,7 +293,8 @@ def cut_points(edges: DataFrame) -> DataFrame:
                             found.add(parent)
             if children > 1:
                 found.add(root)
-        return pd.DataFrame({RUN: [key[0]] * len(found), "node": sorted(found)})
+        # one row more and cut off again, so that columns without rows have a type
+        return pd.DataFrame({RUN: [key[0]] * (len(found) + 1), "node": [*sorted(found), ""]}).iloc[:-1]
 
     kind = edges.schema[RUN].dataType.simpleString()
     return active(edges, -1).select(RUN, "src", "dst").groupBy(RUN).applyInPandas(run, f"{RUN} {kind}, node string")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabulagraph.functions import lexicon as L
@@ -17,6 +17,7 @@ from fabulagraph.operators import graph as G
 from fabulagraph.operators import metrics as M
 from fabulagraph.operators import stats as S
 from fabulagraph.operators import tables as R
+from fabulagraph.functions.gates import relation_verdict
 from fabulagraph.functions.tagger import content_words, nouns, tokens
 from fabulagraph.plans import views as V
 from fabulagraph.plans.curation import curate
@@ -576,3 +577,108 @@ def trimmed_stats(spark, d):
 def sentence_lemmas(spark, d):
     s = _sentences(spark, d).select("run_id", "sentence_index", T.sentence_lemmas(F.lower("text")).alias("w"))
     return s.select("run_id", "sentence_index", (F.size("w") > 0).alias("some"), F.size("w").alias("n"))
+
+
+_ENDS = "v_ends AS (SELECT run_id, src AS node, active, edge_id FROM v_edges UNION ALL SELECT run_id, dst, active, edge_id FROM v_edges)"
+
+
+@query(f"WITH {V.V_EDGES}, {_ENDS} SELECT run_id, node, count(*) AS degree, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, node)::INT AS place FROM v_ends GROUP BY run_id, node")
+def node_degrees(spark, d):
+    return G.by_degree(V.edges(spark, d))
+
+
+@query(f"WITH {V.V_EDGES}, {_ENDS} SELECT run_id, node FROM (SELECT run_id, node, sum(active::INT) AS a, count(*) AS n FROM v_ends GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY a DESC, n DESC, node) = 1")
+def backbone_nodes(spark, d):
+    return G.backbone(V.edges(spark, d))
+
+
+@query(f"WITH {V.V_EDGES} SELECT run_id, node, string_agg(DISTINCT near, ',' ORDER BY near) AS near_nodes FROM v_both GROUP BY ALL")
+def adjacency(spark, d):
+    return G.adjacency(V.edges(spark, d)).select("run_id", "node", F.array_join("near_nodes", ",").alias("near_nodes"))
+
+
+@query(f"WITH {V.V_EDGES} SELECT run_id, node FROM v_both WHERE (run_id, node) NOT IN (SELECT (run_id, src) FROM v_edges WHERE active UNION SELECT (run_id, dst) FROM v_edges WHERE active) GROUP BY ALL")
+def dangling_nodes(spark, d):
+    e = V.edges(spark, d)
+    return G.dangling(G.endpoints(e), e.where("active"))
+
+
+@query(f"WITH {V.V_EDGES} SELECT run_id, src AS subject, label AS relation, dst AS object FROM v_edges WHERE active AND src <> dst AND label IS NOT NULL")
+def semantic_triplets(spark, d):
+    return G.semantic_triplets(V.edges(spark, d))
+
+
+@query(f"WITH {V.V_EDGES} SELECT DISTINCT run_id, least(src, dst) AS src, greatest(src, dst) AS dst FROM v_edges WHERE src <> dst")
+def simple_graph(spark, d):
+    return G.simple(V.edges(spark, d))
+
+
+@query(f"""WITH {V.V_EDGES}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id, least(src, dst), greatest(src, dst) ORDER BY edge_id, src, dst, label) - 1 AS k, count(*) OVER (PARTITION BY run_id, least(src, dst), greatest(src, dst)) AS n FROM v_edges)
+SELECT run_id, least(src, dst) AS a, greatest(src, dst) AS b, k::INT AS k, round(CASE WHEN n = 1 THEN 0.5 WHEN n = 2 THEN CASE WHEN k = 0 THEN 0.4 ELSE 0.6 END
+ELSE greatest(0.3, 0.5 - 0.15 * (n - 1) / 2) + (least(0.7, 0.5 + 0.15 * (n - 1) / 2) - greatest(0.3, 0.5 - 0.15 * (n - 1) / 2)) * k / (n - 1) END::DOUBLE, 6) AS t FROM k""")
+def edge_curves(spark, d):
+    curved = G.curvatures(V.edges(spark, d))
+    pair = Window.partitionBy("run_id", "a", "b").orderBy("t0")
+    named = curved.select("run_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), c("t").alias("t0"))
+    return named.select("run_id", "a", "b", (F.row_number().over(pair) - 1).alias("k"), r6("t0", "t"))
+
+
+@query(f"""WITH {V.V_EDGES}, {_ENDS}, g AS (SELECT run_id, node, count(*) AS n FROM v_ends WHERE active GROUP BY ALL),
+a AS (SELECT run_id, src AS node, dst AS near FROM v_edges WHERE active UNION SELECT run_id, dst, src FROM v_edges WHERE active), d AS (SELECT run_id, node, count(*) AS d FROM a GROUP BY ALL), z AS (SELECT run_id, count(*) AS size FROM d GROUP BY 1)
+SELECT x.run_id, x.node, round((3 * coalesce(n, 0) + 5 + CASE WHEN n > 0 THEN 8 ELSE 0 END + CASE WHEN coalesce(size, 0) > 1 THEN 5 * coalesce(d, 0) / (size - 1) ELSE 0 END)::DOUBLE, 6) AS score
+FROM (SELECT DISTINCT run_id, node FROM v_both) x LEFT JOIN g USING (run_id, node) LEFT JOIN d USING (run_id, node) LEFT JOIN z USING (run_id)""")
+def node_scores(spark, d):
+    e = V.edges(spark, d)
+    on = G.endpoints(e.where("active")).withColumn("active", F.lit(True))
+    nodes = G.endpoints(e).join(on, ["run_id", "node"], "left").select("run_id", "node", F.lit("TEXT_BASED").alias("source"), F.coalesce("active", F.lit(False)).alias("active"))
+    return G.node_scores(nodes, e).select("run_id", "node", r6("score", "score"))
+
+
+@query(f"""WITH {V.V_EDGES} SELECT run_id, md5(string_agg(n || '. ' || src || ' - ' || label || ' (edge) - ' || dst, chr(10) ORDER BY n)) AS listing FROM
+(SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY edge_id, src, label, dst) AS n FROM v_edges WHERE active) GROUP BY 1""")
+def edge_listing(spark, d):
+    return G.edge_listing(V.edges(spark, d)).select("run_id", F.md5("edges").alias("listing"))
+
+
+@query(f"WITH {V.V_TRIPLETS} SELECT run_id, sentence_index, count(DISTINCT (subject, relation, object))::INT AS n FROM v_triplets GROUP BY ALL")
+def state_snapshots(spark, d):
+    return G.snapshots(V.triplets(spark, d)).select("run_id", "sentence_index", F.size("triplets").alias("n"))
+
+
+@query(f"""WITH {V.V_TRIPLETS} SELECT run_id, regime, md5(string_agg(subject, '; ' ORDER BY edge_id, subject)) AS subjects FROM v_triplets GROUP BY ALL""")
+def ordered_strings(spark, d):
+    o = M.ordered_strings(V.triplets(spark, d), ["run_id", "regime"], "edge_id")
+    return o.select("run_id", "regime", F.md5("subjects").alias("subjects"))
+
+
+@query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS max FROM events")
+def value_profile(spark, d):
+    return R.profile(V.table(spark, d, "events"), "value").select("n", r6("mean", "mean"), r6("median", "median"), r6("max", "max"))
+
+
+@query(f"WITH {V.V_STATS}, k AS (SELECT regime FROM v_stats GROUP BY 1 HAVING count(*) >= 20) SELECT persona_id FROM v_stats WHERE regime IN (SELECT regime FROM k)")
+def bins_by_min_n(spark, d):
+    return R.enough(_stats(spark, d), "regime", 20).select("persona_id")
+
+
+@query(f"SELECT p_partkey, coalesce(p_size % 20, 0)::INT AS age, sha1(text) AS persona_id FROM ({_PERSONAS})")
+def completed_ages(spark, d):
+    return _personas(spark, d).select("p_partkey", T.completed_age((c("p_size") % 20).cast("double"), c("text")).alias("age"), T.persona_id(c("text")).alias("persona_id"))
+
+
+@query()
+def cut_points(spark, d):
+    return G.cut_points(V.edges(spark, d))
+
+
+@query()
+def hub_levels(spark, d):
+    e = V.edges(spark, d)
+    return G.bfs_levels(e, G.backbone(e))
+
+
+@query()
+def label_gates(spark, d):
+    t = V.triplets(spark, d).select("edge_id", "subject", "relation", "object")
+    end = lambda x: F.struct(c(x).alias("lemma"), F.lit("NOUN").alias("pos"))
+    return t.select("edge_id", relation_verdict(end("subject"), c("relation"), end("object")).alias("v")).select("edge_id", "v.action", "v.reason")

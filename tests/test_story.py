@@ -75,3 +75,10 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_windowed_counts(spark):
     events = spark.createDataFrame([("a", "2024-01-01 00:10:00", 1.0), ("a", "2024-01-01 00:50:00", 2.0)], "event_type string, ts string, value double").selectExpr("event_type", "to_timestamp(ts) ts", "value")
     assert [(r.n, r.total) for r in windowed_counts(events).collect()] == [(2, 3.0)]
+
+
+def test_runs_without_output(spark):
+    rows = spark.createDataFrame([("a", 0, "user: hello"), ("b", 0, None), ("c", 0, "A knight rode through the forest.")], "run_id string, sentence_index int, text string")
+    got = read_stories(rows)
+    assert {r.run_id for r in got.select("run_id").distinct().collect()} == {"c"}
+    assert read_stories(rows.limit(0)).count() == 0
