@@ -381,7 +381,10 @@ def read_stories(sentences: DataFrame, tagger: Callable[[], Tagger] = RuleTagger
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
         return frame.astype({"introduced_at": "Int32", "active": "boolean", "score": "float64"})
 
-    return sentences.groupBy("run_id").applyInPandas(run, SCHEMA)
+    # texts are small and reading them is slow: a given number of partitions isn't merged by their bytes
+    spark = sentences.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return sentences.repartition(n, "run_id").groupBy("run_id").applyInPandas(run, SCHEMA)
 
 
 def resolved(sentences: list[str], oracle: Oracle, context: int = 5) -> list[str]:
