@@ -487,14 +487,12 @@ def radial_layout(spark, d):
 @query(f"WITH {_CC.format(v=V.V_EDGES)}, z AS (SELECT run_id, component, count(*) AS n FROM cc GROUP BY ALL), b AS (SELECT run_id, component AS dst FROM z QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC, component) = 1)"
        " SELECT z.run_id, z.component AS src, b.dst FROM z JOIN b USING (run_id) WHERE z.component <> b.dst")
 def connect_components(spark, d):
-    e = V.edges(spark, d).where((c("run_id") % 5 == 0) & (c("sentence_index") == 1))
-    return G.bridging_edges(e).select("run_id", "src", "dst")
+    return G.bridging_edges(V.edges(spark, d)).select("run_id", "src", "dst")
 
 
 @query(f"WITH {_CC.format(v=V.V_EDGES)} SELECT run_id, count(DISTINCT component) <= 1 AS connected FROM cc GROUP BY 1")
 def connectivity(spark, d):
-    e = V.edges(spark, d).where((c("run_id") % 5 == 0) & (c("sentence_index") == 1))
-    return G.is_connected(e)
+    return G.is_connected(V.edges(spark, d))
 
 
 @query("SELECT source, (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source)) AS n FROM (SELECT DISTINCT source FROM documents)")
