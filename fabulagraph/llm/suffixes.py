@@ -3,17 +3,17 @@
 A document's suffixes are kept at minimisers alone: positions whose hash of ``GRAM`` words is
 the least of a window of such hashes.  The choice depends on content, and the window is as
 wide as makes every passage of ``LEAST`` words hold one, so a passage that occurs twice has
-a suffix in common.  Suffixes are sorted by their first words; each is compared with the
-nearest ones of other documents, forwards from the minimiser and then backwards, and a
-match of ``LEAST`` words or more marks the passage in both documents.
+a suffix in common.  Suffixes are sorted by gram; of each whose gram another document holds,
+every window of ``LEAST`` words around the gram is keyed, and a key that two documents hold
+marks the passage in both, whatever else shares the gram.
 
-A suffix carries what the comparison can need, ``LEAST`` words at most on either side, as
-16-bit hashes after the gram's 64-bit hash; longer passages are covered by several
-minimisers.  A wrong word at the edge of a match has odds of 1 in 65,536.
+A suffix carries what the windows can need, ``LEAST - GRAM`` words on either side, as 16-bit
+hashes after the gram's 64-bit hash; longer passages are covered by several minimisers.
+A wrong word at the edge of a match has odds of 1 in 65,536.
 
-Sorting is one shuffle by the gram, streamed: a task keeps one batch, however many documents
-share a passage, and links only neighbours, so a group of any size gives as many rows as it
-has members.
+Sorting is one shuffle by the gram, streamed: a task keeps ``ROWS`` suffixes or so, however many
+documents share a passage.  A gram with more is judged in parts; windows that only one document
+of a part holds, and two of each other window, meet by their keys afterwards.
 
 Nulls and edges: null texts, and texts of fewer than ``LEAST`` words, have no passage; a null
 id takes part in no match; rows of one id are one document, whose own repeats don't count;
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabulagraph.llm import hashing
-from fabulagraph.llm.store import map_texts
+from fabulagraph.llm.store import map_texts, written
 
 LEAST = 50
 GRAM = 8
+#: Suffixes judged at once; a gram that more of them share is judged in parts.
+ROWS = 1 << 14
 _U = np.uint64
 
 #: Words as they are, without folding.
@@ -107,78 +109,126 @@ def _rows(batch: pa.RecordBatch, parts: list[tuple], size: int) -> pa.RecordBatc
     )
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal words from the start of each pair of rows; 0 equals nothing."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-def _neighbours(docs: np.ndarray, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of sorted rows: pairs (row, nearest row before it of the same run and another document), and
-    likewise after it."""
-    n = len(docs)
-    new = np.ones(n, bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (runs[1:] != runs[:-1])
-    begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    before = begin - 1
-    ok = np.flatnonzero((before >= 0) & (runs[np.maximum(before, 0)] == runs))
-    yield ok, before[ok]
-    last = np.append(new[1:], True)
-    end = np.minimum.accumulate(np.where(last, np.arange(n), n)[::-1])[::-1] + 1
-    ok = np.flatnonzero((end < n) & (runs[np.minimum(end, n - 1)] == runs))
-    yield ok, end[ok]
+def _windows(runs: np.ndarray, around: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, the key of every window of ``side`` words beside the gram, by the number of words
+    before it, and whether the text reaches as far."""
+    n = len(runs)
+    hashes, reach = [], []
+    for part, seed in ((around[:, :side], 1), (around[:, side:], 2)):
+        h = [np.full(n, seed, np.uint64)]
+        for k in range(side):
+            h.append(hashing.mix(h[-1] + part[:, k].astype(np.uint64) * _U(2 * k + 3)))
+        hashes.append(h)
+        none = part == 0
+        reach.append(np.where(none.any(axis=1), none.argmax(axis=1), side))
+    after, before = hashes
+    keys = np.empty((n, side + 1), np.uint64)
+    gram = runs.view(np.uint64)
+    for k in range(side + 1):
+        keys[:, k] = hashing.mix(gram + hashing.mix(after[side - k] + hashing.mix(before[k] + _U(k))))
+    steps = np.arange(side + 1)
+    return keys, (steps <= reach[1][:, None]) & (side - steps <= reach[0][:, None])
+
+
+def _shared(rows: tuple, least: int, gram: int, open_run: int | None) -> pa.RecordBatch | None:
+    """Stretches of the rows whose windows another document's row holds too; of the run ``open_run``, which
+    has rows elsewhere, also what other rows need to know: windows of one document, and two of each shared one."""
+    side = least - gram
+    runs, docs, at, around = rows
+    ids, codes = np.unique(docs, return_inverse=True)
+    begin = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+    several = np.minimum.reduceat(codes, begin) != np.maximum.reduceat(codes, begin)
+    use = np.flatnonzero(np.repeat(several, np.diff(np.append(begin, len(runs)))) | (runs == open_run if open_run is not None else False))
+    if not len(use):
+        return None
+    keys, ok = _windows(runs[use], around[use], side)
+    row, before = np.nonzero(ok)
+    if not len(row):
+        return None
+    key = keys[row, before]
+    order = np.argsort(key, kind="stable")
+    row, before, key = row[order], before[order], key[order]
+    code = codes[use][row]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(begin, len(key)))
+    lo = np.repeat(np.minimum.reduceat(code, begin), size)
+    rest = np.where(code == lo, len(ids), code)
+    next_lo = np.repeat(np.minimum.reduceat(rest, begin), size)
+    hit = next_lo < len(ids)
+    # all windows of a row hold its gram, so their union is one stretch
+    most, fewest, partner = np.full(len(use), -1), np.full(len(use), side + 1), np.full(len(use), len(ids))
+    np.maximum.at(most, row[hit], before[hit])
+    np.minimum.at(fewest, row[hit], before[hit])
+    np.minimum.at(partner, row[hit], np.where(code == lo, next_lo, lo)[hit])
+    found = np.flatnonzero(most >= 0)
+    who, first, end = codes[use][found], at[use][found] - most[found], at[use][found] - fewest[found] + least
+    parts = [(ids[who], first, end, ids[partner[found]], np.zeros(len(found), np.int64), np.ones(len(found), bool))]
+    if open_run is not None:
+        wanted = runs[use][row] == open_run
+        new = np.ones(len(key), bool)  # the first row of a key and document
+        by_code = np.lexsort((code, key))
+        new[by_code[1:]] = (key[by_code[1:]] != key[by_code[:-1]]) | (code[by_code[1:]] != code[by_code[:-1]])
+        wanted &= ~hit | new & ((code == lo) | (code == next_lo))
+        r, k = row[wanted], before[wanted]
+        first = at[use][r] - k
+        parts.append((ids[code[wanted]], first, first + least, ids[code[wanted]], key[wanted].view(np.int64), np.zeros(len(r), bool)))
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    settled = columns[5]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3]), pa.array(columns[4], mask=settled)],
+        names=["doc_id", "first", "end", "partner", "key"],
+    )
 
 
-def _matcher(least: int, gram: int):
+def _matcher(least: int, gram: int, rows: int):
     side = least - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last rows of the run that the batch before ended in
+        held: list[tuple] = []
+        open_run = None  # the run that rows judged before belong to
+
+        def judged(x: tuple) -> Iterator[pa.RecordBatch]:
+            out = _shared(x, least, gram, open_run)
+            if out is not None:
+                yield out
+
         for batch in batches:
-            runs, docs, at = batch.column("gram").to_numpy(), batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("at").to_numpy()
+            if not batch.num_rows:
+                continue
             around = np.frombuffer(b"".join(batch.column("around").to_pylist()), ">u2").reshape(-1, 2 * side)
-            if held is not None and len(runs) and held[0][0] == runs[0]:
-                runs, docs, at, around = (np.concatenate([h, x]) for h, x in zip(held, (runs, docs, at, around)))
-            if not len(runs):
+            held.append((batch.column("gram").to_numpy(), batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("at").to_numpy(), around))
+            if sum(len(h[0]) for h in held) < rows:
                 continue
-            found = []
-            # in the order of what follows, and of what goes before
-            edge = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
-            many = np.repeat(np.diff(np.append(edge, len(runs))) > 1, np.diff(np.append(edge, len(runs))))
-            rows = np.flatnonzero(many)
-            left = np.ascontiguousarray(around[rows, side:])
-            by_left = rows[np.lexsort((left.view(f"S{2 * side}").ravel() if len(rows) else rows, runs[rows]))]
-            for order in (rows, by_left):
-                for a, b in _neighbours(docs[order], runs[order]):
-                    a, b = order[a], order[b]
-                    after, before = _common(around[a, :side], around[b, :side]), _common(around[a, side:], around[b, side:])
-                    ok = after + before + gram >= least
-                    found.append((docs[a[ok]], (at[a] - before)[ok], (at[a] + gram + after)[ok], docs[b[ok]]))
-                    found.append((docs[b[ok]], (at[b] - before)[ok], (at[b] + gram + after)[ok], docs[a[ok]]))
-            columns = [np.concatenate(x) for x in zip(*found)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3])],
-                names=["doc_id", "first", "end", "partner"],
-            )
-            # two documents' last rows go on; of one document's, the last
-            tail = np.flatnonzero(runs == runs[-1])
-            other = tail[docs[tail] != docs[-1]]
-            keep = np.append(other[-1:], len(runs) - 1)
-            held = tuple(x[keep] for x in (runs, docs, at, around))
+            x = tuple(np.concatenate(c) for c in zip(*held))
+            # whole runs are judged; the last goes on, unless it fills all
+            last = int(np.flatnonzero(x[0] != x[0][-1])[-1]) + 1 if x[0][0] != x[0][-1] else 0
+            if last:
+                yield from judged(tuple(c[:last] for c in x))
+                held = [tuple(c[last:] for c in x)]
+            else:
+                open_run = x[0][0]
+                yield from judged(x)
+                held = []
+        if held:
+            yield from judged(tuple(np.concatenate(c) for c in zip(*held)))
 
     return run
 
 
-def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, rows: int = ROWS) -> DataFrame:
     """(doc_id, first, end, partner): stretches of words that another document holds too."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     kept = suffixes(docs, least, gram).repartition("gram").sortWithinPartitions("gram", "around", "doc_id", "at")
-    return kept.mapInArrow(_matcher(least, gram), f"doc_id {kind}, first int, end int, partner {kind}")
+    found = written(kept.mapInArrow(_matcher(least, gram, rows), f"doc_id {kind}, first int, end int, partner {kind}, key bigint"))
+    left = found.where("key is not null").select("key", "doc_id", "first", "end")
+    both = left.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    met = left.join(both, "key").select("doc_id", "first", "end", F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("partner"))
+    return found.where("key is null").drop("key").unionByName(met)
 
 
 def passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """One row per document with repeated passages: ``spans`` (first, end) of words, apart from each
-    other, and ``partner``, the least id of a document that holds one of them."""
+    other, and ``partner``, the least id met of a document that holds one of them."""
     found = matches(docs, least, gram)
     by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("all"), F.min("partner").alias("partner"))
     start = F.array().cast("array<struct<first:int,end:int>>")
