@@ -11,7 +11,8 @@ The labelled pages are written by ``labelled_pages`` from a seeded grammar of pa
 with the true state of each part in an attribute that features don't see.
 
 Nulls and edges: a null or empty html gives an empty text; cut-off pages are read as far as
-they go, an unfinished tag or comment at the end is dropped; unknown tags are wrappers like
+they go, an unfinished tag or comment at the end is dropped; text of controls is no content, and what
+follows one without an end tag is read on from the next block; unknown tags are wrappers like
 others; repeated rows are extracted each; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -39,15 +40,21 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^<]*+\Z",
     re.S,
 )
-_NAMED = re.compile(r"""\b(class|id|role|data-state)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMED = re.compile(r"""\b(class|id|role|data-fabulagraph-state)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
 
 #: Fixed lists of HTML: elements without content, with text that isn't shown as text, and within lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg select option button canvas object".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
+#: Of them, those whose text is markup: without an end tag they hide nothing.
+MARKUP = frozenset("noscript template".split())
+#: Controls and drawings: their text isn't the page's, and where their end tag is missing a block ends them.
+CONTROLS = frozenset("svg select datalist option optgroup button".split())
+BLOCK = frozenset("address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section table ul".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+STATE = "data-fabulagraph-state"
 
 
 class Page:
@@ -61,17 +68,23 @@ class Page:
         self.pieces: list[tuple[int, int, str, bool]] = []
         stack: list[tuple[str, int]] = [("", 0)]
         block, links, at, n = 0, 0, 0, len(html)
+        mute, loose = 0, False  # where in the stack the outermost control is, and whether it has no end tag
         while at < n:
             m = _TOKEN.search(html, at)
             text = html[at : m.start()] if m else html[at:]
-            if text:
+            if mute >= len(stack):
+                mute = 0
+            if text and not mute:
                 self.pieces.append((stack[-1][1], block, text, links > 0))
             if m is None:
                 break
             at, tag = m.end(), (m[2] or "").lower()
             if not tag:
                 continue
-            if tag == "br":
+            if mute and loose and tag in BLOCK and not m[1]:
+                del stack[mute:]
+                mute = 0
+            if tag == "br" and not mute:
                 self.pieces.append((stack[-1][1], block, " ", False))
             if tag in VOID:
                 block += tag == "hr"
@@ -85,14 +98,26 @@ class Page:
                     if stack[i][0] == tag:
                         del stack[i:]
                         break
-                    if inline and stack[i][0] not in INLINE:
+                    if inline and stack[i][0] not in INLINE or tag == "p" and i == mute:
                         break
                 continue
+            if m[3].endswith("/") and (tag == "svg" or mute and any(x == "svg" for x, _ in stack[mute:])):
+                continue
             if tag in RAW:
-                end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
+                end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+                if end is None and tag in MARKUP:
+                    continue
                 close = html.find(">", end.end()) if end else -1
                 at = close + 1 if close >= 0 else n
                 continue
+            if mute or tag in CONTROLS:
+                if not mute:
+                    mute = len(stack)
+                    end = re.compile(f"</?{tag}(?=[\\s/>])", re.I).search(html, at)
+                    loose = end is None or end[0][1] != "/"
+                if not inline:
+                    stack.append((tag, stack[-1][1]))
+                continue
             names, state = self._named(m[3])
             if inline and not names:
                 continue
@@ -117,8 +142,8 @@ class Page:
         names, state = set(), None
         for key, *values in _NAMED.findall(attributes):
             value = "".join(values).lower()
-            if key.lower() == "data-state":
-                state = int(value)
+            if key.lower() == STATE:
+                state = int(value) if value in ("0", "1", "2") else None
             else:
                 names.update(_PART.findall(value))
         if _HIDDEN.search(attributes):
@@ -240,7 +265,7 @@ _NAMES = {
 
 
 def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
-    """Pages of random parts, with the true state of a part in ``data-state`` where it changes."""
+    """Pages of random parts, with the true state of a part in ``STATE`` where it changes."""
     rng = random.Random(seed)
 
     def prose() -> str:
@@ -275,7 +300,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
             "share": lambda: rng.choice((listed(3), prose()[:20])),
             "form": lambda: f"<label>{prose()[:10]}</label><input><p>{prose()}</p>",
         }[kind]()
-        return f'<{tag}{name} data-state="2">{inner}</{tag}>'
+        return f'<{tag}{name} data-fabulagraph-state="2">{inner}</{tag}>'
 
     def parts(k: int) -> str:
         out = []
@@ -307,13 +332,13 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
             title = f"<header>{title}<p>{prose()}</p></header>"
         r = rng.random()
         if r < 0.5:
-            main = f'<article{named(CONTENT, 0.3)} data-state="1">{title}{parts(rng.randint(1, 9))}</article>'
+            main = f'<article{named(CONTENT, 0.3)} data-fabulagraph-state="1">{title}{parts(rng.randint(1, 9))}</article>'
         elif r < 0.65:
-            main = f'<main data-state="1">{title}{parts(rng.randint(1, 9))}</main>'
+            main = f'<main data-fabulagraph-state="1">{title}{parts(rng.randint(1, 9))}</main>'
         elif r < 0.85:
-            main = f'<div{named(CONTENT, 1.0)} data-state="1">{title}{parts(rng.randint(1, 9))}</div>'
+            main = f'<div{named(CONTENT, 1.0)} data-fabulagraph-state="1">{title}{parts(rng.randint(1, 9))}</div>'
         else:
-            main = re.sub(r"<(p|h1|ul|blockquote|table)>", r'<\1 data-state="1">', title + "".join(f"<p>{prose()}</p>" for _ in range(rng.randint(1, 6))))
+            main = re.sub(r"<(p|h1|ul|blockquote|table)>", r'<\1 data-fabulagraph-state="1">', title + "".join(f"<p>{prose()}</p>" for _ in range(rng.randint(1, 6))))
         if rng.random() < 0.25:
             main = f"<main>{main}</main>" if r < 0.5 else f"<section>{main}</section>"
         body = ahead + main + behind
