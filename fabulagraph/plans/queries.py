@@ -371,7 +371,7 @@ _BAD = "(" + " OR ".join("contains({x}, '" + t + "')" for t in L.CONTROL_TOKENS)
 FROM (SELECT conv_id, turn, trim(role) AS s, trim(substr(text, 1, 5)) AS r, trim(substr(text, 6, 5)) AS o FROM (SELECT conv_id, turn, role, regexp_replace(text, '\\s', '_', 'g') AS text FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL))""")
 def repair_triplets(spark, d):
     t = V.table(spark, d, "conversations").where("text is not null and role is not null").withColumn("text", F.regexp_replace("text", r"\s", "_"))
-    fixed = T.repaired(c("role"), F.substring("text", 1, 5), F.substring("text", 6, 5))
+    fixed = T.repaired(c("role"), c("text"), c("text"))
     return t.select("conv_id", "turn", fixed.alias("x")).select("conv_id", "turn", "x.s", "x.r")
 
 
@@ -380,7 +380,7 @@ _LABELS = "SELECT conv_id, turn, trim(regexp_replace(substr(coalesce(text, ''),
 
 @query(f"""SELECT conv_id, turn, regexp_matches(lower(t), '(^|\\s)({"|".join(L.NEGATION_WORDS)})(\\s|$)') OR {_any_sql(L.NEGATION_PHRASES, "lower(t)")} AS negation, regexp_matches(t, '[a-zA-Z]') AS has_letter FROM ({_LABELS})""")
 def negation_filter(spark, d):
-    t = V.table(spark, d, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 24), "[^a-zA-Z ]", "")).alias("t"))
+    t = V.table(spark, d, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", "")).alias("t"))
     return t.select("conv_id", "turn", T.is_negation(c("t")).alias("negation"), T.is_relation_label(c("t")).alias("has_letter"))
 
 
@@ -390,7 +390,7 @@ _LOW = "lower(t)"
 @query(f"""SELECT conv_id, turn, regexp_replace(CASE WHEN regexp_matches({_LOW}, '\\blikes?\\b') THEN 'enjoys' WHEN regexp_matches({_LOW}, '\\b(is|are|was|were|be|being|been)\\b') THEN 'is'
 WHEN regexp_matches({_LOW}, '\\b(has|have|possess|own)\\b') THEN 'has' ELSE replace({_LOW}, ' ', '_') END, '_+', '_', 'g') AS label FROM ({_LABELS})""")
 def edge_label_norm(spark, d):
-    t = V.table(spark, d, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 24), "[^a-zA-Z ]", "")).alias("t"))
+    t = V.table(spark, d, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", "")).alias("t"))
     return t.select("conv_id", "turn", T.edge_label(c("t")).alias("label"))
 
 

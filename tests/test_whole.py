@@ -44,3 +44,29 @@ def test_bridges_of_whole_runs(spark, parts):
         largest = min(n, key=lambda x: (-n[x], x))
         want |= {(run, x, largest) for x in n if x != largest}
     assert want and {tuple(r) for r in QUERIES["connect_components"](spark, DATA).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def talk(spark, tmp_path_factory):
+    """Conversations whose telling words lie beyond the first 24 characters."""
+    at = str(tmp_path_factory.mktemp("talk"))
+    far = "a long and plain beginning that "
+    rows = [(1, 0, "asker", far + "would never end"), (1, 1, "asker", far + "ends"), (2, 0, "asker", far + "likes trees"), (2, 1, "user", far + "holds <s> here"), (3, 0, "user", far + "ends"), (3, 1, "asker", None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    return at, rows
+
+
+def test_negation_in_whole_texts(spark, talk):
+    got = {(r.conv_id, r.turn): (r.negation, r.has_letter) for r in QUERIES["negation_filter"](spark, talk[0]).collect()}
+    assert got == {(i, k): ("never" in (t or ""), t is not None) for i, k, _, t in talk[1]}
+
+
+def test_labels_of_whole_texts(spark, talk):
+    got = {(r.conv_id, r.turn): r.label for r in QUERIES["edge_label_norm"](spark, talk[0]).collect()}
+    assert got[1, 0] == "a_long_and_plain_beginning_that_would_never_end" and got[2, 0] == "enjoys" and got[3, 1] == ""
+
+
+def test_triplets_of_whole_texts(spark, talk):
+    got = {(r.conv_id, r.turn): (r.s, r.r) for r in QUERIES["repair_triplets"](spark, talk[0]).collect()}
+    plain = {(i, k): t.replace(" ", "_") for i, k, _, t in talk[1] if t}
+    assert got[1, 1] == ("asker", plain[1, 1]) and got[2, 1] == ("UNKNOWN", "related_to") and got[3, 0] == (plain[3, 0], plain[3, 0])
