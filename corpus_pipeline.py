@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five stages, each over all that its predecessor kept.
 
 1. language ID: documents without a recognised language go; a null ``lang`` is filled.
-2. n-gram join: of each group of near copies, the document of the least id stays.
+2. n-gram join: of each group of near copies, the row of the least id stays.
 3. decontamination: contaminated documents go.
 4. secret scan: secrets are replaced in the text; no document goes.
 5. mixing: how many words of each document the mix takes.
@@ -11,7 +11,7 @@ All but the last return the columns of ``documents``.  The first stage has no SQ
 
 Nulls and edges: documents with null or blank texts have no language and go in the first
 stage; rows with a null id can't be named as copies and pass the second; of rows that
-share an id, one stays; empty tables give empty results; columns beyond those of
+share an id, one of each component stays; empty tables give empty results; columns beyond those of
 ``documents`` are left out.
 """
 
@@ -40,15 +40,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS)
-    groups = checkpoint(ngram_join.op4(rows))
-    copies = checkpoint(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = rows.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(*COLUMNS)
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    groups = checkpoint(ngram_join.labelled(rows).where("doc_id is not null"))
+    copies = checkpoint(groups.where("doc_id <> first.doc_id or node <> first.node").select("doc_id", "node").distinct())
+    again = checkpoint(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    # ids that stand on one row name it; rows of the other ids are judged one by one
+    gone = copies.select("doc_id").union(again).distinct()
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = rows.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
     if again.isEmpty():
         return kept
-    twice = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice.select("doc_id", "r.*").select(*COLUMNS))
+    rest = ngram_join.nodes(rows.join(again, "doc_id", "left_semi"), keep=COLUMNS[1:]).join(copies, ["doc_id", "node"], "left_anti")
+    one = rest.where("node is not null").groupBy("doc_id", "node").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    return kept.unionByName(one.select(*COLUMNS)).unionByName(rest.where("node is null").select(*COLUMNS))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,8 +173,8 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def nodes(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, node); node is null for an empty set."""
+def nodes(docs: DataFrame, n: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, node) and ``keep``; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,11 +184,13 @@ def nodes(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 sizes.append(len(s))
                 found.append(fingerprint(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "n_shingles", "node"]
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, pa.int64()), *(batch.column(k) for k in keep)],
+                names=["doc_id", "n_shingles", "node", *keep],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles bigint, node bigint")
+    kept = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return map_texts(docs.select("doc_id", "text", *(k for k in keep if k != "text")), run, f"doc_id {kind}, n_shingles bigint, node bigint{kept}")
 
 
 def _starred(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -537,18 +539,23 @@ def links(
     return components(linked.unionByName(again))
 
 
-def op4(docs: DataFrame) -> DataFrame:
-    """The contract's columns."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, node, first): first is the least (doc_id, node) of the row's component, by
+    which its rows are told apart where texts share an id; null for an empty set."""
     c = F.col
     docs = docs.select("doc_id", "text")
     named = checkpoint(nodes(docs))
     labels = links(docs, named)
     rows = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # the least id of the nodes first, of the components after
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "label", "left").select(
-        "doc_id", "n_shingles", F.when(c("label").isNull(), c("doc_id")).otherwise(c("component_id")).alias("component_id")
-    )
+    least = rows.groupBy("label").agg(F.min(F.when(c("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("first"))
+    return rows.join(least, "label", "left").select("doc_id", "n_shingles", "node", "first")
+
+
+def op4(docs: DataFrame) -> DataFrame:
+    """The contract's columns."""
+    c = F.col
+    return labelled(docs).select("doc_id", "n_shingles", F.when(c("node").isNull(), c("doc_id")).otherwise(c("first.doc_id")).alias("component_id"))
 
 
 ORACLE = r"""
