@@ -18,10 +18,13 @@ segments than the allocation allows for posts them after all, so no link is lost
 Equal sets are one node.  Signatures meet in sorted runs; map tasks pair their own rows
 first, so a signature in a third of all rows sends a row a task.  In the first round, each
 node is verified, exactly and on the shingle sets of the texts, against the most widely
-shared nodes of its signatures.  A second round takes, for signatures whose members are not all
-connected yet, pairs across components: all of them where few nodes share a signature; where
-more do, those whose sketches allow the similarity; where very many do, each node looks others
-up by subsets and one-deletion neighbourhoods, in the segments that cost least.  Components come from contraction.
+shared nodes of its signatures.  A second round takes the signatures whose members are not all
+connected yet, one for each set of members, and verifies pairs across components whose sketches
+allow the similarity.  A sketch has at least as many bytes as half the set's elements, so it lets
+pass what is similar or nearly so.  Where very many nodes share a signature, each node looks others
+up by subsets and one-deletion neighbourhoods, in the segments that cost least.  What signatures
+need to know of all their members comes from aggregates, joined back, so a hot signature is
+split over tasks.  Components come from contraction.
 
 Nulls and edges: a null or blank text has an empty set and is linked with nothing; rows
 with equal sets are always linked, repeated rows and equal ids too; a null id takes part,
@@ -32,7 +35,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -330,10 +333,9 @@ def _texts_of(wanted: DataFrame, named: DataFrame, docs: DataFrame, n: int = SHI
     return found.unionByName(unnamed.join(lone, "node").groupBy("node").agg(F.min("text").alias("text")))
 
 
-#: Signatures of at most so many nodes pair all of them; of at most so many, all whose sketches
-#: allow it; the nodes of larger ones are searched by allocation.
-SMALL_GROUP, MIDDLE_GROUP = 12, 8192
-#: Nodes that stand for a signature in the first round: those whose signatures most nodes share.
+#: The nodes of signatures that at most so many share are compared by sketches; those of larger ones are searched by allocation.
+MIDDLE_GROUP = 8192
+#: Nodes that stand for a signature in the first round: of as many parts of its nodes, the one whose signatures most nodes share.
 HUBS = 2
 
 _DELETED, _LOWER = _U(0x2545F4914F6CDD1D), _U(0x5851F42D4C957F2D)
@@ -386,16 +388,31 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, percent: int, probe: bool)
             yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 18)]) for x in columns], names=names)
 
 
-#: Bytes of a sketch: one of each of as many segments.
-SKETCH = 128
+#: Least and most bytes of a sketch, powers of two; a byte for each of as many segments.
+SKETCH, MOST_SKETCH = 64, 4096
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(node, size, sketch): a byte of the hash of the subset in each of ``SKETCH`` segments.
+def _sketch_size(n: int) -> int:
+    """At least half of n, within the bounds."""
+    return max(SKETCH, min(MOST_SKETCH, 1 << max(0, (n - 1) // 2).bit_length()))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The exclusive or of a byte of each element's hash in every segment.
 
     One element more or less changes one byte at most, so sets differ by at least as many
-    elements as their sketches by bytes.
+    elements as their sketches by bytes.  A sketch folds to half its size by the exclusive or
+    of neighbours.
     """
+    size = _sketch_size(len(hashes))
+    out = np.zeros(size, np.uint8)
+    at = (hashes >> _U(65 - size.bit_length())).astype(np.int64)
+    np.bitwise_xor.at(out, at, (hashing.mix(hashes + _U(0x77)) >> _U(56)).astype(np.uint8))
+    return out
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(node, n, sketch) from (node, text)."""
     for batch in batches:
         owners, kept, sizes, sketches = batch.column("node").to_pylist(), [], [], []
         for i, words in hashing.batches_of_words(_texts(batch)):
@@ -403,49 +420,49 @@ def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             if fingerprint(s) != owners[i]:
                 continue  # another text of the same id
             kept.append(owners[i])
-            sums = np.zeros(SKETCH, np.uint64)
-            np.add.at(sums, (s >> _U(57)).astype(np.int64), hashing.mix(s + _U(0x77)))
             sizes.append(len(s))
-            sketches.append((hashing.mix(sums) >> _U(56)).astype(np.uint8).tobytes())
+            sketches.append(sketch(s).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
 
 
+def _folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    while sketches.shape[-1] > size:
+        sketches = sketches[..., 0::2] ^ sketches[..., 1::2]
+    return sketches
+
+
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of (key, role), seekers before what they look up: pairs across
-    components whose sizes and sketches allow for the similarity."""
+    """From rows in the order of (key, role, sketch's size), seekers before what they look up: pairs across
+    components whose sizes and sketches allow for the similarity, each once a batch."""
     last = None
-    seekers: list[tuple] = []
-    arrays: tuple = ()
+    seekers: list[tuple] = []  # (nodes, labels, sizes, sketches) of one sketch size each
     for batch in batches:
         keys, roles = batch.column("key").to_numpy(), batch.column("role").to_numpy()
         nodes_, labels, sizes = (batch.column(x).to_numpy() for x in ("node", "label", "n"))
-        sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
+        sketches = batch.column("sketch").to_pylist()
+        width = np.fromiter(map(len, sketches), np.int64, len(sketches))
+        change = (keys[1:] != keys[:-1]) | (roles[1:] != roles[:-1]) | (width[1:] != width[:-1])
+        starts = np.flatnonzero(np.concatenate([[True], change])) if len(keys) else []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for lo, hi in zip(starts, [*starts[1:], len(keys)]):
             if keys[lo] != last:
                 last, seekers = keys[lo], []
-            asks = int((roles[lo:hi] == 0).sum())
-            if asks:
-                seekers.append(tuple(x[lo : lo + asks] for x in (nodes_, labels, sizes, sketches)))
-                arrays = tuple(np.concatenate(x) for x in zip(*seekers))
-            if not seekers:
+            own = (nodes_[lo:hi], labels[lo:hi], sizes[lo:hi].astype(np.int64), np.frombuffer(b"".join(sketches[lo:hi]), np.uint8).reshape(hi - lo, -1))
+            if roles[lo] == 0:
+                seekers.append(own)
                 continue
-            at = slice(lo + asks, hi)
-            for node, label, size, sketch in zip(*arrays):
-                apart = np.flatnonzero(labels[at] != label)
-                if not len(apart):
-                    continue
-                other = sizes[at][apart].astype(np.int64)
-                fits = (100 * np.minimum(other, size) >= percent * np.maximum(other, size)) & (
-                    (sketches[at][apart] != sketch).sum(axis=1) <= (100 - percent) * (other + int(size)) // (100 + percent)
-                )
-                found = nodes_[at][apart[fits]]
-                left.append(np.minimum(found, node))
-                right.append(np.maximum(found, node))
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
+            for asked in seekers:
+                least = min(asked[3].shape[1], own[3].shape[1])
+                mine, theirs = _folded(asked[3], least), _folded(own[3], least)
+                for node, label, size, bytes_ in zip(*asked[:3], mine):
+                    fits = (own[1] != label) & (100 * np.minimum(own[2], size) >= percent * np.maximum(own[2], size))
+                    at = np.flatnonzero(fits)
+                    if len(at):
+                        at = at[(theirs[at] != bytes_).sum(axis=1) <= (100 - percent) * (own[2][at] + size) // (100 + percent)]
+                        found.append((np.minimum(own[0][at], node), np.maximum(own[0][at], node)))
+        if found:
+            pairs = np.unique(np.stack([np.concatenate([x[k] for x in found]) for k in (0, 1)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[k]) for k in (0, 1)], names=["a", "b"])
 
 
 def _searched(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -489,46 +506,46 @@ def _compared(met: DataFrame, members: DataFrame, texts: DataFrame, n: int, perc
     role 0 and the other in role 1, unless their sizes or sketches rule the similarity out."""
     known = texts.join(members.select("node"), "node", "left_semi").mapInArrow(lambda x: _sketched(x, n), "node bigint, n int, sketch binary")
     known = checkpoint(known.join(members, "node"))
-    rows = met.join(known, "node").repartition("key").sortWithinPartitions("key", "role")
+    rows = met.join(known, "node").repartition("key").sortWithinPartitions("key", "role", F.octet_length("sketch"))
     return rows.mapInArrow(lambda x: _near(x, percent), "a bigint, b bigint").distinct()
 
 
-def links(
-    docs: DataFrame, named: DataFrame | None = None, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL_GROUP, middle_most: int = MIDDLE_GROUP
-) -> DataFrame:
+def links(docs: DataFrame, named: DataFrame | None = None, n: int = SHINGLE, percent: int = PERCENT, middle_most: int = MIDDLE_GROUP) -> DataFrame:
     """Labels (node, label) of all nodes that are linked with another node."""
     c = F.col
     docs = docs.select("doc_id", "text")
     named = named if named is not None else checkpoint(nodes(docs, n))
     met = candidates(docs, n, percent)
-    met = met.select("sig", F.explode(F.array("node", "star")).alias("node")).distinct()
+    met = checkpoint(met.select("sig", F.explode(F.array("node", "star")).alias("node")).distinct())
     # first round: each node with the hubs that it shares most signatures with
-    met = checkpoint(met.withColumn("n", F.count("*").over(Window.partitionBy("sig"))))
-    fame = met.groupBy("node").agg(F.sum("n").alias("fame"))
-    ranked = Window.partitionBy("sig").orderBy(F.desc("fame"), "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hubs = met.join(fame, "node").select("node", *[F.nth_value("node", k + 1).over(ranked).alias(f"h{k}") for k in range(HUBS)])
-    tally = [hubs.select("node", c(f"h{k}").alias("hub")) for k in range(HUBS)]
-    shared = reduce(DataFrame.unionByName, tally).where("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    counted = met.join(met.groupBy("sig").agg(F.count("*").alias("n")), "sig")
+    fame = checkpoint(counted.groupBy("node").agg(F.sum("n").alias("fame")))
+    part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
+    hubs = met.join(fame, "node").groupBy("sig").agg(
+        *[F.max(F.when(part == k, F.struct("fame", "node")))["node"].alias(f"h{k}") for k in range(HUBS)]
+    )
+    hubs = met.join(hubs, "sig").select("node", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hub"))
+    shared = hubs.where("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = shared.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))).where(c("k") <= HUBS)
     pairs = checkpoint(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-    texts = checkpoint(_texts_of(met.select("node").distinct(), named, docs, n))
+    texts = checkpoint(_texts_of(fame.select("node"), named, docs, n))
     linked = checkpoint(verify(pairs, texts, n, percent))
     labels = components(linked)
-    # second round: signatures whose members are still apart
+    # second round: signatures whose members are still apart, the least of those that have the same members
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     sized = labels.join(sizes, "label").select("node", "label", "size")
-    members = met.join(sized, "node", "left").select("sig", "n", "node", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-    whole = Window.partitionBy("sig")
-    members = members.withColumn("apart", F.min("label").over(whole) < F.max("label").over(whole))
-    members = members.withColumn("top", F.max(F.struct("size", "label")).over(whole)).where("apart")
+    members = met.join(sized, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
     members = checkpoint(members)
-    few = members.where(c("n") <= small).select("sig", "node", "label")
-    more = few.withColumnRenamed("node", "a").join(few.select("sig", c("node").alias("b"), c("label").alias("label_b")), "sig")
-    more = more.where(c("label") < c("label_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    middle = members.where(c("n").between(small + 1, middle_most))
+    sets = members.groupBy("sig").agg(
+        F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("top"),
+        F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"),
+    )
+    sets = sets.where("lo < hi").groupBy("n", "s1", "s2").agg(F.min("sig").alias("sig"), F.first("top").alias("top"))
+    members = checkpoint(members.join(sets.select("sig", "n", "top"), "sig"))
+    middle = members.where(c("n") <= middle_most)
     asking = middle.where(F.struct("size", "label") < c("top"))
     met = asking.select(c("sig").alias("key"), F.lit(0).alias("role"), "node").unionByName(middle.select(c("sig").alias("key"), F.lit(1).alias("role"), "node"))
-    more = more.unionByName(_compared(met, middle.select("node", "label").distinct(), texts, n, percent))
+    more = _compared(met, middle.select("node", "label").distinct(), texts, n, percent)
     many = checkpoint(members.where(c("n") > middle_most).select("node", "label", "size").distinct())
     if not many.isEmpty():
         more = more.unionByName(_searched(many, texts, n, percent))
@@ -539,23 +556,23 @@ def links(
     return components(linked.unionByName(again))
 
 
-def labelled(docs: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, middle_most: int = MIDDLE_GROUP) -> DataFrame:
     """(doc_id, n_shingles, node, first): first is the least (doc_id, node) of the row's component, by
     which its rows are told apart where texts share an id; null for an empty set."""
     c = F.col
     docs = docs.select("doc_id", "text")
     named = checkpoint(nodes(docs))
-    labels = links(docs, named)
+    labels = links(docs, named, middle_most=middle_most)
     rows = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # the least id of the nodes first, of the components after
     least = rows.groupBy("label").agg(F.min(F.when(c("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("first"))
     return rows.join(least, "label", "left").select("doc_id", "n_shingles", "node", "first")
 
 
-def op4(docs: DataFrame) -> DataFrame:
+def op4(docs: DataFrame, middle_most: int = MIDDLE_GROUP) -> DataFrame:
     """The contract's columns."""
     c = F.col
-    return labelled(docs).select("doc_id", "n_shingles", F.when(c("node").isNull(), c("doc_id")).otherwise(c("first.doc_id")).alias("component_id"))
+    return labelled(docs, middle_most).select("doc_id", "n_shingles", F.when(c("node").isNull(), c("doc_id")).otherwise(c("first.doc_id")).alias("component_id"))
 
 
 ORACLE = r"""

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from math import log2
 
+import numpy as np
 import pytest
 
 from fabulagraph.llm import decontaminate, hashing, language, ngram_join, suffixes
@@ -80,17 +81,50 @@ def brute_components(rows):
     return sorted((str(d), len(s), str(least.get(find(i)) if s else d)) for i, ((d, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("small,middle", [(12, 8192), (2, 3), (0, 8192)])
-def test_ngram_join(make, edge_rows, small, middle, monkeypatch):
-    monkeypatch.setattr(ngram_join.links, "__defaults__", (None, 4, 85, small, middle))
+@pytest.mark.parametrize("middle", [8192, 3])
+def test_ngram_join(make, edge_rows, middle):
     texts = near_copies(5)
-    rows = [(1000 - i, t) for i, t in enumerate(texts)] + [r for r in edge_rows if r[0] != 5] + [(7, "one TWO"), (8, "one two"), (9, " ".join(f"r{i}" for i in range(3000)))]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)] + edge_rows + [(7, "one TWO"), (8, "one two"), (9, " ".join(f"r{i}" for i in range(3000)))]
     long = [f"q{i}" for i in range(100)]
     rows += [(None, " ".join(long)), (None, " ".join([*long[:-1], "z"])), (20, " ".join([*long[:-2], "y", "z"])), (21, texts[0]), (21, " ".join(f"u{i}" for i in range(50))), (22, " ".join(f"u{i}" for i in range(49)) + " v")]
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.op4(make(rows)).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.op4(make(rows), middle).collect())
     assert got == brute_components(rows)
 
 
+def test_candidates_of_a_large_group(make, monkeypatch):
+    """2,000 near copies of one text: what is verified grows with the group, not with its square."""
+    rng = random.Random(9)
+    base = prose(rng, 150, 5000)
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    asked = []
+
+    def counted(pairs, *rest, verify=ngram_join.verify):
+        asked.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verify", counted)
+    ngram_join.op4(make(rows)).count()
+    assert sum(asked) <= 4 * 2000
+
+
+def test_sketches_never_rule_out_what_is_similar():
+    rng = np.random.default_rng(3)
+    for n in (5, 60, 130, 700, 20000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for drop in (0, n // 14, n // 7):
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, drop // 9, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            differ = len(a) + len(b) - 2 * both
+            size = min(ngram_join._sketch_size(len(a)), ngram_join._sketch_size(len(b)))
+            x, y = (ngram_join._folded(ngram_join.sketch(s), size) for s in (a, b))
+            assert (x != y).sum() <= differ
+
+
 def test_ngram_join_of_nothing(make):
     assert ngram_join.op4(make([(1, "x")]).limit(0)).count() == 0
     assert [tuple(r) for r in ngram_join.op4(make([(1, None), (None, "  ")])).orderBy("doc_id").collect()] == [(None, 0, None), (1, 0, 1)]
