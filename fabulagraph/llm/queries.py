@@ -27,5 +27,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontaminate.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
     "op5_secret_scan": secrets.ORACLE,
+    "op8_suffix_array_dedup": suffixes.ORACLE,
     "op10_source_mixing": mixing.ORACLE.format(docs="documents"),
 }

@@ -1,19 +1,18 @@
 """Repeated passages by sparse suffix arrays.
 
-A document's suffixes are kept at minimisers alone: positions whose hash of ``GRAM`` words is
-the least of a window of such hashes.  The choice depends on content, and the window is as
-wide as makes every passage of ``LEAST`` words hold one, so a passage that occurs twice has
-a suffix in common.  Suffixes are sorted by gram; of each whose gram another document holds,
-every window of ``LEAST`` words around the gram is keyed, and a key that two documents hold
-marks the passage in both, whatever else shares the gram.
-
-A suffix carries what the windows can need, ``LEAST - GRAM`` words on either side, as 16-bit
-hashes after the gram's 64-bit hash; longer passages are covered by several minimisers.
-A wrong word at the edge of a match has odds of 1 in 65,536.
-
-Sorting is one shuffle by the gram, streamed: a task keeps ``ROWS`` suffixes or so, however many
-documents share a passage.  A gram with more is judged in parts; windows that only one document
-of a part holds, and two of each other window, meet by their keys afterwards.
+A document's suffixes are kept at minimisers alone: every window of ``LEAST`` words keeps the
+leftmost of its runs of ``GRAM`` words whose hash is least.  The choice depends on the window's
+content, so a passage that occurs twice keeps the same suffixes with the same windows.
+Suffixes are sorted by gram and what follows; neighbours that share the gram are extended to the
+right and to the left over the words that their windows can need, as 32-bit hashes, and a window
+that two documents hold marks the passage in both, whatever else shares the gram.  Longer
+passages are covered by several windows.
+
+Sorting is one shuffle by the gram.  Grams that more than ``ROWS`` suffixes share are counted
+first and dealt over as many tasks as they need; of theirs, windows that only one document of a part
+holds, and two documents of each other window, meet by the windows' keys afterwards.  The count is of
+what map tasks see at least ``SEEN`` times, and a hot gram that it misses is right too: a task streams it
+in parts of ``ROWS``.
 
 Nulls and edges: null texts, and texts of fewer than ``LEAST`` words, have no passage; a null
 id takes part in no match; rows of one id are one document, whose own repeats don't count;
@@ -28,66 +27,100 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulagraph.llm import hashing
-from fabulagraph.llm.store import map_texts, written
+from fabulagraph.llm.store import checkpoint, map_texts, written
 
 LEAST = 50
 GRAM = 8
 #: Suffixes judged at once; a gram that more of them share is judged in parts.
 ROWS = 1 << 14
+#: A map task names grams that it has seen so often, among so many.
+SEEN, AMONG = 16, 1 << 20
+#: Hot grams that are sent to every executor at most (16 MB).
+BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
 #: Words as they are, without folding.
 _PLAIN = np.array([0 if b in {9, 10, 11, 12, 13, 32} else b or 256 for b in range(256)], np.uint16)
 
 
-def _sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
-    """Minimum or maximum of each stretch of ``width``."""
-    have = 1
-    while 2 * have <= width:
-        x = of(x[:-have], x[have:])
-        have *= 2
-    return of(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
-
-
 def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
-    """Positions that are the least of any stretch of ``width`` (all of equal ones)."""
+    """Of each stretch of ``width`` grams, the position of the least; of equal ones, the leftmost."""
     if len(grams) < width:
         return np.zeros(0, np.int64)
-    least = _sliding(grams, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams)
-
-
-def _around(words: np.ndarray, at: np.ndarray, least: int, gram: int) -> np.ndarray:
-    """Rows of 16-bit word hashes: after the gram, then before it, nearest first; 0 beyond the text."""
-    short = np.maximum((words >> _U(20)).astype(np.uint16), np.uint16(1))
+    at, have = np.arange(len(grams)), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(grams[left] <= grams[right], left, right)
+        have += step
+    return at
+
+
+def _around(words: np.ndarray, at: np.ndarray, most_before: np.ndarray, most_after: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """Rows of 32-bit word hashes: after the gram, then before it, nearest first; 0 beyond what the row's windows hold."""
+    short = np.maximum((words >> _U(20)).astype(np.uint32), np.uint32(1))
     side = least - gram
-    padded = np.concatenate([np.zeros(side, np.uint16), short, np.zeros(side, np.uint16)])
+    padded = np.concatenate([np.zeros(side, np.uint32), short, np.zeros(side, np.uint32)])
     steps = np.arange(side)
-    after = padded[at[:, None] + side + gram + steps]
-    before = padded[at[:, None] + side - 1 - steps]
+    after = padded[at[:, None] + side + gram + steps] * (steps < most_after[:, None])
+    before = padded[at[:, None] + side - 1 - steps] * (steps < most_before[:, None])
     # most significant byte first, so that bytes sort as words do
-    return np.concatenate([after, before], axis=1).astype(">u2")
+    return np.concatenate([after, before], axis=1).astype(">u4")
+
+
+def _grams(texts: list[bytes], least: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text with a window: its number, words, grams, and the minimiser of each window."""
+    for i, words in hashing.batches_of_words(texts, _PLAIN):
+        if len(words) >= least:
+            grams = hashing.runs(words, gram)
+            yield i, words, grams, minimisers(grams, least - gram + 1)
+
+
+def _bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def hot_grams(docs: DataFrame, least: int = LEAST, gram: int = GRAM, rows: int = ROWS) -> DataFrame:
+    """(gram, parts) of grams that more than ``rows`` suffixes share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def seen() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            some = n >= SEEN
+            return pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some])], names=["gram", "n"])
+
+        for batch in batches:
+            for _, _, grams, owner in _grams(_bytes(batch), least, gram):
+                held.append(grams[np.unique(owner)])
+            if sum(map(len, held)) >= AMONG:
+                yield seen()
+                held = []
+        if held:
+            yield seen()
+
+    found = map_texts(docs.where("doc_id is not null and text is not null").select("text"), run, "gram bigint, n bigint")
+    found = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > rows)
+    return found.select("gram", F.ceil(F.col("n") / F.lit(rows)).cast("int").alias("parts"))
 
 
 def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """(gram, around, doc_id, at): the kept suffixes."""
-    size = 4 * (least - gram)
+    size = 8 * (least - gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             parts: list[tuple] = []
-            for i, words in hashing.batches_of_words(texts, _PLAIN):
-                if len(words) < least:
-                    continue
-                grams = hashing.runs(words, gram)
-                at = minimisers(grams, least - gram + 1)
-                parts.append((np.full(len(at), i), grams[at], at, _around(words, at, least, gram)))
+            for i, words, grams, owner in _grams(_bytes(batch), least, gram):
+                at, first, count = np.unique(owner, return_index=True, return_counts=True)
+                # a suffix's windows begin next to each other
+                before, after = at - first, least - gram - (at - first - count + 1)
+                parts.append((np.full(len(at), i), grams[at], at, _around(words, at, before, after, least, gram)))
                 if sum(len(p[1]) for p in parts) >= 1 << 16:
                     yield _rows(batch, parts, size)
                     parts = []
@@ -131,14 +164,16 @@ def _windows(runs: np.ndarray, around: np.ndarray, side: int) -> tuple[np.ndarra
 
 
 def _shared(rows: tuple, least: int, gram: int, open_run: int | None) -> pa.RecordBatch | None:
-    """Stretches of the rows whose windows another document's row holds too; of the run ``open_run``, which
-    has rows elsewhere, also what other rows need to know: windows of one document, and two of each shared one."""
+    """Stretches of the rows whose windows another document's row holds too; of hot rows and of the run
+    ``open_run``, which have others elsewhere, also what these need to know: windows of one document, and
+    two documents of each shared one."""
     side = least - gram
-    runs, docs, at, around = rows
+    runs, docs, at, around, hot = rows
+    opened = hot | (runs == open_run) if open_run is not None else hot
     ids, codes = np.unique(docs, return_inverse=True)
     begin = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
     several = np.minimum.reduceat(codes, begin) != np.maximum.reduceat(codes, begin)
-    use = np.flatnonzero(np.repeat(several, np.diff(np.append(begin, len(runs)))) | (runs == open_run if open_run is not None else False))
+    use = np.flatnonzero(np.repeat(several, np.diff(np.append(begin, len(runs)))) | opened)
     if not len(use):
         return None
     keys, ok = _windows(runs[use], around[use], side)
@@ -163,8 +198,8 @@ def _shared(rows: tuple, least: int, gram: int, open_run: int | None) -> pa.Reco
     found = np.flatnonzero(most >= 0)
     who, first, end = codes[use][found], at[use][found] - most[found], at[use][found] - fewest[found] + least
     parts = [(ids[who], first, end, ids[partner[found]], np.zeros(len(found), np.int64), np.ones(len(found), bool))]
-    if open_run is not None:
-        wanted = runs[use][row] == open_run
+    if opened.any():
+        wanted = opened[use][row]
         new = np.ones(len(key), bool)  # the first row of a key and document
         by_code = np.lexsort((code, key))
         new[by_code[1:]] = (key[by_code[1:]] != key[by_code[:-1]]) | (code[by_code[1:]] != code[by_code[:-1]])
@@ -195,8 +230,9 @@ def _matcher(least: int, gram: int, rows: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            around = np.frombuffer(b"".join(batch.column("around").to_pylist()), ">u2").reshape(-1, 2 * side)
-            held.append((batch.column("gram").to_numpy(), batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("at").to_numpy(), around))
+            around = np.frombuffer(b"".join(batch.column("around").to_pylist()), ">u4").reshape(-1, 2 * side)
+            own = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("gram", "doc_id", "at"))
+            held.append((*own, around, batch.column("hot").to_numpy(zero_copy_only=False)))
             if sum(len(h[0]) for h in held) < rows:
                 continue
             x = tuple(np.concatenate(c) for c in zip(*held))
@@ -218,45 +254,59 @@ def _matcher(least: int, gram: int, rows: int):
 def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, rows: int = ROWS) -> DataFrame:
     """(doc_id, first, end, partner): stretches of words that another document holds too."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kept = suffixes(docs, least, gram).repartition("gram").sortWithinPartitions("gram", "around", "doc_id", "at")
+    c = F.col
+    hot = checkpoint(hot_grams(docs, least, gram, rows))
+    few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = suffixes(docs, least, gram).join(F.broadcast(hot) if few else hot, "gram", "left")
+    part = F.when(c("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), c("parts"))).cast("int")
+    kept = kept.select("gram", part.alias("part"), "around", "doc_id", "at", c("parts").isNotNull().alias("hot"))
+    kept = kept.repartition("gram", "part").sortWithinPartitions("gram", "around", "doc_id", "at")
     found = written(kept.mapInArrow(_matcher(least, gram, rows), f"doc_id {kind}, first int, end int, partner {kind}, key bigint"))
     left = found.where("key is not null").select("key", "doc_id", "first", "end")
     both = left.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
-    met = left.join(both, "key").select("doc_id", "first", "end", F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("partner"))
+    met = left.join(both, "key").select("doc_id", "first", "end", F.when(c("doc_id") == c("lo"), c("hi")).otherwise(c("lo")).alias("partner"))
     return found.where("key is null").drop("key").unionByName(met)
 
 
 def passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """One row per document with repeated passages: ``spans`` (first, end) of words, apart from each
-    other, and ``partner``, the least id met of a document that holds one of them."""
-    found = matches(docs, least, gram)
-    by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("all"), F.min("partner").alias("partner"))
-    start = F.array().cast("array<struct<first:int,end:int>>")
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        joined = F.concat(
-            F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end")))
-        )
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["first"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    return by_doc.select("doc_id", F.aggregate("all", start, step).alias("spans"), "partner")
+    other, and ``partner``, the id of a document that holds one of them."""
+    c = F.col
+    in_order = Window.partitionBy("doc_id").orderBy("first", "end")
+    before = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    found = matches(docs, least, gram).withColumn("new", F.coalesce(c("first") > before, F.lit(True)).cast("int"))
+    found = found.withColumn("span", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = found.groupBy("doc_id", "span").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.min("partner").alias("partner"))
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"), F.min("partner").alias("partner"))
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """Every document's id with n_spans, n_repeated (words in repeated passages), spans (first:end
-    in words, comma-joined) and partner."""
+    """Every document's id with n_spans, n_repeated (words in repeated passages) and spans (first:end
+    in words, comma-joined)."""
     found = passages(docs.select("doc_id", "text"))
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["first"]))
     listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"].cast("string"), s["end"].cast("string"))), ",")
-    found = found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), total.alias("n_repeated"), listed.alias("spans"), "partner")
+    found = found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), total.alias("n_repeated"), listed.alias("spans"))
     c = F.col
     return docs.select("doc_id").join(found, "doc_id", "left").select(
         "doc_id", F.coalesce(c("n_spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce(c("n_repeated"), F.lit(0)).cast("long").alias("n_repeated"),
-        F.coalesce(c("spans"), F.lit("")).alias("spans"), "partner",
+        F.coalesce(c("spans"), F.lit("")).alias("spans"),
     )
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS k FROM (SELECT *, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+s AS (SELECT k FROM w GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT DISTINCT doc_id, i FROM w JOIN s USING (k)),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM h),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, span),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_repeated, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(n_repeated, 0)::BIGINT AS n_repeated, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], least: int = LEAST) -> dict:
     """doc_id to the set of words (by number) in windows of ``least`` words that another document holds, for tests."""
     where: dict[tuple, set] = {}
