@@ -4,8 +4,10 @@ Slots 0, 1, 2, ... take the points of a golden-ratio sequence (a Kronecker seque
 in 40-bit integers, so that it is exact at any length).  Each point falls into one
 source's stretch of the cumulative weights; a slot's rank among its source's slots
 says which block of the source it takes.  A source's documents lie in shuffled order
-(by md5 of the id) on a line of words that is cut into equal blocks, and is walked
-again from the start when the schedule asks for more than one pass.
+(by md5 of the id) on a line of words, which is cut into blocks as long as those of all
+other sources and walked ``PASSES`` times at most.  So the slots that a source wins decide how
+much of it is taken: their number is near its share, since the sequence's discrepancy is a few
+slots at any length, and a block is short against the smallest target.
 
 Nothing runs over one source as a whole: ranks and positions are prefix sums in two
 levels (about sqrt(n) groups of sqrt(n) rows), so a source with a third of all rows
@@ -29,8 +31,12 @@ from fabulagraph.llm.store import checkpoint
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 PASSES = 2
-#: Words of a slot, about.
+#: Words of a slot: at most BLOCK and a LEAST_SLOTS-th of the smallest target, unless that made more than
+#: MOST_SLOTS slots and more than SLOTS_PER_DOC slots a document.
 BLOCK = 1024
+LEAST_SLOTS = 512
+MOST_SLOTS = 1 << 20
+SLOTS_PER_DOC = 16
 #: The golden ratio's fraction in 40 bits; odd, so the points of 2 ** 40 slots are all different.
 GOLDEN = 679_528_905_981
 BITS = 40
@@ -93,15 +99,22 @@ def _prefix(df: DataFrame, key: list[str], group: str, order: list[Column], valu
     )
 
 
-def schedule(goal: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Slots (slot, place, rank): ``goal`` is the result of ``targets``.
+def block_of(goal: DataFrame, most: int = BLOCK) -> tuple[int, int]:
+    """(words of a slot, slots) of a mix; ``goal`` is the result of ``targets``."""
+    least = F.min(F.when(F.col("words") > 0, F.col("words")))
+    n, least, docs = goal.agg(F.coalesce(F.max("all_words"), F.lit(0)), F.coalesce(least, F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    block = max(1, min(most, least // LEAST_SLOTS), -(-n // max(MOST_SLOTS, SLOTS_PER_DOC * docs)))
+    return block, -(-n // block)
 
-    There are as many points as blocks in the mix; a source that no point meets gets one
+
+def schedule(goal: DataFrame, n: int) -> DataFrame:
+    """The ``n`` slots (slot, place, rank) of the targets ``goal``.
+
+    A source that has a target and that no point meets, as may happen where the bound on slots holds, gets one
     slot after them.
     """
     spark = goal.sparkSession
     c = F.col
-    n = goal.agg(F.ceil(F.coalesce(F.max("all_words"), F.lit(0)) / F.lit(block)).cast("long").alias("n")).first()["n"]
     step = max(1024, int(n**0.5))
     goal = goal.where("words > 0")
     stretch = goal.select("place", "all_words", "from_word", "to_word")
@@ -137,7 +150,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     key = F.md5(F.coalesce(c("doc_id").cast("string"), F.lit("")))
     spread = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     members = (
-        sizes.join(goal.select("place", "source", "source_size", "n_docs", "target", "words"), sizes["source"].eqNullSafe(goal["source"]))
+        sizes.join(goal.select("place", "source", "source_size", "n_docs", "target"), sizes["source"].eqNullSafe(goal["source"]))
         .drop(goal["source"])
         .withColumn("key", key)
         .withColumn("bucket", F.floor(spread * F.ceil(F.sqrt("n_docs"))).cast("long"))
@@ -146,22 +159,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     members = _prefix(members, ["place"], "bucket", order, c("size"), "at")
     members = members.withColumn("pos", F.row_number().over(Window.partitionBy("place", "bucket").orderBy(*order)))
     members = checkpoint(members.drop("key", "n_docs"))
-    slots = schedule(goal, block)
-    counts = slots.groupBy("place").agg(F.count("*").alias("n_slots"))
-    per = counts.join(goal.select("place", "words", "source_size"), "place").select(
-        "place", "source_size", "words", F.ceil(c("words") / c("n_slots")).cast("long").alias("block")
-    )
-    per = checkpoint(per)
-    # a pass puts the document at ``at`` plus the words of the passes before; what lies beyond the target isn't taken
-    passed = members.where("size > 0").join(F.broadcast(per.select("place", "block")), "place").select(
-        "place", "bucket", "pos", "doc_id", "block", "at", "size", "words",
+    words, n = block_of(goal, block)
+    slots = schedule(goal, n)
+    # a pass puts the document at ``at`` plus the words of the passes before; each stretch of a block meets its slot, if there is one
+    passed = members.where("size > 0").select(
+        "place", "bucket", "pos", "doc_id", "size",
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(PASSES - 1)), lambda k: c("at") + k * c("source_size"))).alias("lo"),
-    ).where("lo < words").withColumn("hi", F.least(c("lo") + c("size"), c("words")))
+    ).withColumn("hi", c("lo") + c("size"))
     cut = passed.select(
-        "place", "bucket", "pos", "doc_id", "lo", "hi", "block",
-        F.explode(F.sequence(F.floor(c("lo") / c("block")), F.floor((c("hi") - 1) / c("block")))).alias("rank"),
-    )
-    first, end = F.greatest(c("lo"), c("rank") * c("block")), F.least(c("hi"), (c("rank") + 1) * c("block"))
+        "place", "bucket", "pos", "doc_id", "lo", "hi", F.explode(F.sequence(F.floor(c("lo") / F.lit(words)), F.floor((c("hi") - 1) / F.lit(words)))).alias("rank")
+    )
+    first, end = F.greatest(c("lo"), c("rank") * F.lit(words)), F.least(c("hi"), (c("rank") + 1) * F.lit(words))
     pieces = cut.join(slots, ["place", "rank"]).select(
         "place", "bucket", "pos", "doc_id", "slot", "rank", (first - c("lo")).alias("first"), (end - c("lo")).alias("end")
     )
@@ -187,10 +195,15 @@ q AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE E
 v AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                 / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q WINDOW o AS (ORDER BY cap / weight, place)),
 t AS (SELECT source, place, source_size, least(cap, max(level) OVER () * weight) AS target FROM v),
-l AS (SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
-             (sum(s.size) OVER (PARTITION BY t.place ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id NULLS FIRST, s.size, s.row_no
+z AS (SELECT *, round(target)::BIGINT AS words, (sum(round(target)::BIGINT) OVER ())::BIGINT AS all_words, (sum(round(target)::BIGINT) OVER (ORDER BY place))::BIGINT AS upto FROM t),
+k AS (SELECT max(all_words) AS all_words, greatest(1, least(1024, min(words) FILTER (words > 0) // 512), ceil(max(all_words) / greatest(1048576, 16 * (SELECT count(*) FROM s)))::BIGINT) AS block FROM z),
+i AS (SELECT unnest(range(0, (all_words + block - 1) // block)) AS slot FROM k WHERE all_words > 0),
+u AS (SELECT slot, ((679528905981::HUGEINT * slot) % 1099511627776)::DOUBLE / 1099511627776 AS u FROM i),
+c AS (SELECT place, count(*) AS n_slots FROM u JOIN z ON words > 0 AND u.u >= (upto - words)::DOUBLE / all_words AND u.u < upto::DOUBLE / all_words GROUP BY place),
+l AS (SELECT s.doc_id, s.size, z.source_size, z.target, CASE WHEN z.words > 0 THEN greatest(1, coalesce(c.n_slots, 0)) * (SELECT block FROM k) ELSE 0 END AS words,
+             (sum(s.size) OVER (PARTITION BY z.place ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id NULLS FIRST, s.size, s.row_no
                                 ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS place_at
-      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+      FROM s JOIN z ON s.source IS NOT DISTINCT FROM z.source LEFT JOIN c ON c.place = z.place)
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(place_at + size, words) - place_at)
         + greatest(0, least(place_at + source_size + size, words) - place_at - source_size))::BIGINT AS taken FROM l

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from fabulagraph.llm import mixing, quality, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,7 +117,7 @@ def mix_brute(rows):
 
 
 def test_mix(make, edge_rows):
-    rows = [(*r, None, None) for r in edge_rows if r[0] != 5] + [(100 + i, "w " * (i % 37), None, ("a", "b", "b", "c", "é")[i % 5]) for i in range(200)]
+    rows = [(*r, None, None) for r in edge_rows] + [(100 + i, "w " * (i % 37), None, ("a", "b", "b", "c", "é")[i % 5]) for i in range(200)]
     got = mixing.op10(make(rows)).collect()
     size, per, target = mix_brute(rows)
     assert len(got) == len(rows)
@@ -124,7 +126,7 @@ def test_mix(make, edge_rows):
         assert 0 <= r.taken <= 2 * r.size
         by_target[round(r.target, 6)] = by_target.get(round(r.target, 6), 0) + r.taken
     for s, t in target.items():
-        assert abs(sum(r.taken for r in got if abs(r.target - t) < 1e-6 and r.source_size == per[s]) - t) <= 1, s
+        assert abs(sum(r.taken for r in got if abs(r.target - t) < 1e-6 and r.source_size == per[s]) - t) <= max(3, t / 50), s
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, mixing.op10(make(rows, 5)).collect()), key=key)
     assert mixing.op10(make(rows).limit(0)).count() == 0
@@ -134,7 +136,18 @@ def test_mix(make, edge_rows):
 def test_slots_follow_weights(make):
     rows = [(i, "w " * 50, None, "ab"[i % 2]) for i in range(400)]
     _, pieces = mixing.mix(make(rows), block=64)
+    sizes = {r.size for r in pieces.groupBy("slot").agg(F.sum(F.col("end") - F.col("first")).alias("size")).collect()}
+    assert len(sizes) <= 2 and max(sizes) == 19  # equal blocks, a 512th of the smaller target
     slots = sorted(r.slot for r in pieces.where("place = 0").select("slot").distinct().collect())
-    n = 400 * 50 * 3 // 2 // 64
+    n = -(-400 * 50 * 3 // 2 // 19)
     for upto in (n // 8, n // 2, n):  # any stretch of the schedule holds about the source's share
         assert abs(sum(s < upto for s in slots) - upto * 2 / 3) <= 4
+
+
+def test_another_sequence_takes_other_words(make, monkeypatch):
+    rows = [(i, "w " * 50, None, "abc"[i % 3]) for i in range(300)]
+    before = {r.doc_id: r.taken for r in mixing.op10(make(rows)).collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 1)  # all points next to 0: the first source wins every slot
+    after = {r.doc_id: r.taken for r in mixing.op10(make(rows)).collect()}
+    assert sum(after[i] for i in range(0, 300, 3)) == 2 * 50 * 100
+    assert all(n <= 100 for n in after.values()) and sum(after[i] for i in range(1, 300, 3)) <= 100 < 4000 < sum(before[i] for i in range(1, 300, 3))
