@@ -12,10 +12,11 @@ That sum runs over arrays: code lengths of every trained context and byte are ta
 all languages at once, byte strings are looked up by a hash with the key stored beside it,
 and what is not found falls back to the escape cost plus the shorter context's table.
 
-Fitting reads a bounded sample: at most ``DOCS_PER_LANGUAGE`` texts of each language with
-pairwise different texts, taken by the order of a hash of the text, of which at most the
-first ``BYTES_PER_DOC`` bytes train (scoring reads whole texts).  The model is a few MB and is
-broadcast; its size is checked.
+Fitting reads a bounded sample of rows: of each language, pairwise different texts in the order of
+a hash, ``DOCS_PER_LANGUAGE`` at most and as many as have ``BYTES_PER_LANGUAGE`` bytes together;
+texts of more than ``MOST_BYTES`` don't train, and others train whole.  Any number of languages is
+modelled, ``LANGUAGES_PER_MODEL`` at a time.  Models are a few MB each and are broadcast, as many at once
+as have ``MODEL_BYTES``; with more, the texts are read again for the rest.
 
 Nulls and edges: a null text, or one without a letter, is ``und`` with score 0; rows with a
 null lang, null text or null id don't train; without any training row all is ``und``; ties
@@ -33,12 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulagraph.llm.store import map_texts
+from fabulagraph.llm.store import checkpoint, map_texts, written
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 400
-BYTES_PER_DOC = 20_000
-MOST_LANGUAGES = 200
+BYTES_PER_LANGUAGE = 8 << 20
+MOST_BYTES = 1 << 20
+LANGUAGES_PER_MODEL = 16
+MODEL_BYTES = 256 << 20
 #: Bytes scored at once; a text may run over several chunks.
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -194,66 +197,109 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder
 
 
+def lowest(keys: DataFrame, group: str, by: Column, most: int) -> DataFrame:
+    """Of each ``group``, the ``most`` rows that are least by the hash column ``by``, with ``rank``.
+
+    Groups are counted first, and only rows whose hash is low for the size of their group are
+    ranked, a few times ``most`` a group: a hot group isn't sorted as a whole.
+    """
+    c = F.col
+    sizes = keys.groupBy(c(group).alias("_g")).agg(F.count("*").alias("_n"))
+    share = F.lit(4.0 * most + 64) / c("_n")
+    low = keys.join(sizes, c(group) == c("_g")).where(F.pmod(by, F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(by, F.lit(1 << 30)), by))
+    return low.drop("_g", "_n").withColumn("rank", rank).where(c("rank") <= most)
+
+
 def training_rows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """(lang, text) of the sample.  Hashes are deduplicated and ranked; texts are fetched for the chosen ids alone."""
     c = F.col
-    rows = docs.where(c("lang").isNotNull() & c("text").isNotNull() & c("doc_id").isNotNull())
-    keys = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = keys.withColumn("rank", rank).where(c("rank") <= docs_per_language).select("lang", "h", "doc_id")
+    rows = docs.where(c("lang").isNotNull() & c("text").isNotNull() & c("doc_id").isNotNull() & (F.octet_length("text") <= MOST_BYTES))
+    keys = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min(F.octet_length("text")).alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = lowest(keys, "lang", c("h"), docs_per_language).withColumn("upto", upto).where(c("upto") <= BYTES_PER_LANGUAGE)
     return (
-        rows.join(F.broadcast(chosen), ["lang", "doc_id"])
+        rows.join(chosen.select("lang", "h", "doc_id"), ["lang", "doc_id"])
         .where(F.xxhash64("text") == c("h"))
-        .select("lang", F.substring(F.encode("text", "UTF-8"), 1, BYTES_PER_DOC).alias("text"))
+        .select("lang", F.encode("text", "UTF-8").alias("text"))
         .dropDuplicates(["lang", "text"])
     )
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """A model of the rows of ``docs`` (doc_id, text, lang), all of which may train."""
-    texts: dict[str, list[bytes]] = {}
-    for lang, text in sorted((r[0], bytes(r[1])) for r in training_rows(docs, docs_per_language).collect()):
-        texts.setdefault(lang, []).append(text)
-    if len(texts) > MOST_LANGUAGES:
-        raise ValueError(f"{len(texts)} languages; at most {MOST_LANGUAGES} are modelled")
-    return Model(texts)
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> list[Model]:
+    """Models of the rows of ``docs`` (doc_id, text, lang), all of which may train."""
+    rows = checkpoint(training_rows(docs, docs_per_language))
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    models = []
+    for at in range(0, len(names), LANGUAGES_PER_MODEL):
+        some = names[at : at + LANGUAGES_PER_MODEL]
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in sorted((r[0], bytes(r[1])) for r in rows.where(F.col("lang").isin(some)).collect()):
+            texts.setdefault(lang, []).append(text)
+        models.append(Model(texts))
+    return models
+
+
+def _passes(models: list[Model]) -> list[list[Model]]:
+    """Models that are broadcast together."""
+    out: list[list[Model]] = [[]]
+    held = 0
+    for m in models:
+        if out[-1] and held + m.nbytes() > MODEL_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(m)
+        held += m.nbytes()
+    return out
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, models: list[Model]) -> DataFrame:
     """Adds lang_pred and score: the best language's posterior, with the code lengths a byte
     tempered by the square root of the length."""
-    if model.nbytes() > 256 << 20:
-        raise ValueError("the model is too large to broadcast")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    # code length of the best language so far, and the sum of all powers relative to it
+    rows = docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("inf")).alias("_code_bits"), F.lit(0.0).alias("_code_sum"))
+    passes = _passes(models)
+    for k, some in enumerate(passes):
+        rows = _scored(rows if k == 0 else written(rows), some)
+    score = F.when(F.col("lang_pred") == UNKNOWN, 0.0).otherwise(1 / F.col("_code_sum"))
+    return rows.select(*docs.columns, "lang_pred", score.alias("score"))
+
+
+def _scored(rows: DataFrame, models: list[Model]) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        models = sent.value
+        languages = [x for m in models for x in m.languages]
         for batch in batches:
             texts = batch.column("text")
             some = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            some &= bool(model.languages)
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            which = np.flatnonzero(some)
+            names, least, total = (batch.column(k).to_pylist() for k in ("lang_pred", "_code_bits", "_code_sum"))
+            which = np.flatnonzero(some & bool(languages))
             if len(which):
                 data = texts.take(pa.array(which)).cast(pa.binary()).to_pylist()
-                bits = model.bits(data)
+                bits = np.concatenate([m.bits(data) for m in models], axis=1)
+                root = np.sqrt(np.maximum(1, [len(d) for d in data]))
                 best = bits.argmin(axis=1)
-                gap = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt(np.maximum(1, [len(d) for d in data]))[:, None]
-                score = 1 / np.exp2(-gap).sum(axis=1)
-                for i, b, s in zip(which, best, score):
-                    names[i], scores[i] = model.languages[b], float(s)
+                low = bits.min(axis=1)
+                sums = np.exp2(-(bits - low[:, None]) / root[:, None]).sum(axis=1)
+                for i, name, b, s, r in zip(which, best, low, sums, root):
+                    if least[i] <= b:  # an earlier pass has found a better one
+                        total[i] += s * 2.0 ** ((least[i] - b) / r)
+                    else:
+                        total[i] = s + (total[i] * 2.0 ** ((b - least[i]) / r) if total[i] else 0.0)
+                        names[i], least[i] = languages[name], float(b)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns[:-3], pa.array(names, pa.string()), pa.array(least, pa.float64()), pa.array(total, pa.float64())],
+                names=batch.schema.names,
             )
 
-    return map_texts(docs, run, schema)
+    return map_texts(rows, run, rows.schema)
 
 
 def op9(docs: DataFrame) -> DataFrame:
     """The contract's columns; rows whose crc32(doc_id) leaves 1 by 3 don't train."""
     rows = docs.select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 3, 1)
-    model = fit(rows.where(~out))
-    return predict(rows.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+    models = fit(rows.where(~out))
+    return predict(rows.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "text"), models).drop("text")

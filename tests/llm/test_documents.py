@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 from math import log2
 
@@ -237,3 +238,35 @@ def test_language(make, edge_rows):
     assert all(0 <= r.score <= 1 for r in got)
     assert {r.lang_pred for r in language.op9(make([(1, "abc")])).collect()} == {"und"}
     assert language.op9(make(rows).limit(0)).count() == 0
+
+
+def test_language_of_many_models_and_by_brute_force(make, monkeypatch):
+    """Code lengths byte by byte give the query's language and score, whether languages share a model or not."""
+    rng = random.Random(8)
+    bits = {f"l{k:02d}": ["".join(rng.choices("abcdefghäß", k=3)) for _ in range(5)] for k in range(7)}
+    rows = [(i, " ".join(rng.choices(bits[k], k=12)), k) for i, k in enumerate(sorted(bits) * 9)]
+    rows += [(900, "x" * 3000 + "a", "l00"), (901, " ".join(rng.choices(bits["l03"], k=12)), None)]
+    training = {}
+    for i, t, k in rows:
+        if k and zlib.crc32(str(i).encode()) % 3 != 1:
+            training.setdefault(k, set()).add(t.encode())
+    want = {}
+    for i, t, _ in rows:
+        cost = {k: ppm_bits(sorted(x), t.encode()) for k, x in training.items()}
+        least = min(cost.values())
+        want[i] = (min(k for k in cost if cost[k] == least), 1 / sum(2 ** (-(c - least) / len(t.encode()) ** 0.5) for c in cost.values()))
+    for per, most in ((16, 1 << 28), (2, 1 << 28), (2, 1)):
+        monkeypatch.setattr(language, "LANGUAGES_PER_MODEL", per)
+        monkeypatch.setattr(language, "MODEL_BYTES", most)
+        for r in language.op9(make(rows)).collect():
+            assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], rel=1e-3), r
+
+
+def test_training_texts_are_whole_and_bounded(make, monkeypatch):
+    monkeypatch.setattr(language, "MOST_BYTES", 500)
+    monkeypatch.setattr(language, "BYTES_PER_LANGUAGE", 1200)
+    rows = [(i, f"text {i} " * (100 if i < 10 else 10), "en") for i in range(60)]
+    got = [bytes(r.text).decode() for r in language.training_rows(make(rows).select("doc_id", "text", "lang")).collect()]
+    assert got and set(got) <= {t for _, t, _ in rows[10:]} and sum(map(len, got)) <= 1200
+    monkeypatch.setattr(language, "BYTES_PER_LANGUAGE", 1 << 20)
+    assert len(language.training_rows(make(rows).select("doc_id", "text", "lang"), 20).collect()) == 20
