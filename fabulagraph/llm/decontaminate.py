@@ -1,18 +1,19 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
-The symbols of the automaton are normalised words.  Its patterns are all windows of 13
-consecutive words of the test items, and the whole of items that are shorter.  Each text
-is scanned once; a hit marks its words, and word numbers are mapped back to code points
+The symbols of the automaton are normalised words.  A window is 13 consecutive words of an item;
+of every 13 words in a row, some 7 begin at a multiple of 7, so the automaton's patterns are an item's
+words by sevens, and the whole of items that have no window.  Each text is scanned once; where a pattern
+occurs, the match is extended to the left and right as far as text and item agree, and if it has 13 words
+or more they are all words of windows.  Hits are numbers of words, and map back to code points
 of the original text.
 
-The automaton is built in each worker from broadcast item texts.  Items go in blocks of
-at most about ``BLOCK_CHARS`` characters (a longer item is a block of its own); a small
-benchmark is one block.  With more, the scans follow each other in one task, each adding
-its hits, so nothing is shuffled or joined.
+The automaton is one for all items.  It is built in each worker from broadcast item texts, once for as
+long as the worker lives, and holds about as many words as the items do.  Beyond ``BLOCK_CHARS`` characters of items,
+which a worker's memory can't be relied on to hold, there are several, and the texts are written and scanned again for each.
 
 Nulls and edges: a null text has no words and is not contaminated; an item without words
-or with a null text has no window; items with a null id are left out; items with equal
-ids count as one; ties cannot arise; an empty benchmark hits nothing; an empty table
+or with a null text has no window; items with a null id are left out, and ids are of any type; items
+with equal ids count as one; ties cannot arise; an empty benchmark hits nothing; an empty table
 gives an empty result; columns other than those named are ignored.
 """
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,11 +32,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabulagraph.llm.store import map_texts
+from fabulagraph.llm.store import map_texts, written
 
 #: Fixed values of the contract.
 WINDOW = 13
-BLOCK_CHARS = 400_000
+#: Words of a pattern: a window holds one that begins at a multiple of it.
+PIECE = 7
+#: Characters of items that an automaton holds, about 15 bytes of memory each.
+BLOCK_CHARS = 32_000_000
 
 #: Bytes to normalised bytes: A-Z to lower case; other ASCII but digits and a-z parts words.
 _TABLE = bytes(
@@ -49,50 +55,79 @@ def normalised(text: bytes) -> list[bytes]:
 class Matcher:
     """The automaton over (item_id, text) rows."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.numbers: dict[bytes, int] = {}
-        self.ids: list[int] = []
-        windows: dict[tuple[int, ...], set[int]] = {}
-        place: dict[int, int] = {}
+    def __init__(self, items: list[tuple[object, str]]):
+        numbers: dict[bytes, int] = {}
+        self.ids: list[object] = []
+        self.items: list[tuple[int, array]] = []  # (number of the id, words)
+        patterns: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        place: dict[object, int] = {}
         for item, text in items:
-            words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in normalised((text or "").encode()))
+            words = array("i", (numbers.setdefault(w, len(numbers) + 1) for w in normalised((text or "").encode())))
             if words and item is not None:
-                at = place.setdefault(item, len(place))
-                for i in range(max(1, len(words) - WINDOW + 1)):
-                    windows.setdefault(words[i : i + WINDOW], set()).add(at)
-        self.ids = list(place)
+                at = len(self.items)
+                self.items.append((place.setdefault(item, len(place)), words))
+                if len(words) < WINDOW:
+                    patterns.setdefault(tuple(words), []).append((at, 0))
+                else:
+                    for i in range(0, len(words) - PIECE + 1, PIECE):
+                        patterns.setdefault(tuple(words[i : i + PIECE]), []).append((at, i))
+        self.numbers, self.ids = numbers, list(place)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, found in windows.items():
+        for words, found in patterns.items():
             self.automaton.add_word(words, (len(words), tuple(found)))
-        self.some = bool(windows)
-        if windows:
+        self.some = bool(patterns)
+        if patterns:
             self.automaton.make_automaton()
 
-    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[int]]:
+    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set]:
         """Number of words, merged hit ranges in words, item ids."""
         words = normalised(text or b"")
         if not self.some or not words:
             return len(words), [], set()
-        ranges: list[list[int]] = []
+        seq = tuple(map(self.numbers.get, words, repeat(0)))
+        ranges: list[tuple[int, int]] = []
         items: set[int] = set()
-        seen: set[tuple[int, ...]] = set()
-        for end, (n, found) in self.automaton.iter(tuple(map(self.numbers.get, words, repeat(0)))):
+        done: dict[tuple[int, int], int] = {}  # (item, how far its words are ahead) to where the text has been compared
+        for end, (n, found) in self.automaton.iter(seq):
             first = end - n + 1
-            while ranges and ranges[-1][0] >= first:
-                ranges.pop()
-            if ranges and ranges[-1][1] >= first:
-                ranges[-1][1] = end + 1
-            else:
-                ranges.append([first, end + 1])
-            if found not in seen:
-                seen.add(found)
-                items.update(found)
-        return len(words), [(a, b) for a, b in ranges], {self.ids[i] for i in items}
+            for at, i in found:
+                number, item = self.items[at]
+                if len(item) < WINDOW:
+                    if n == len(item):
+                        ranges.append((first, end + 1))
+                        items.add(number)
+                    continue
+                if n != PIECE or done.get((at, i - first), -1) > first:
+                    continue
+                a, b = first, end + 1
+                shift = i - first
+                while a and a + shift and seq[a - 1] == item[a + shift - 1]:
+                    a -= 1
+                while b < len(seq) and b + shift < len(item) and seq[b] == item[b + shift]:
+                    b += 1
+                done[at, shift] = b
+                if b - a >= WINDOW:
+                    ranges.append((a, b))
+                    items.add(number)
+        return len(words), merge(ranges), {self.ids[i] for i in items}
+
+
+#: The last automaton that this worker has built, and for which items.
+_BUILT: list = [None, None]
+
+
+def _matcher(name: str, items: Broadcast) -> Matcher:
+    if _BUILT[0] != name:
+        _BUILT[:] = [None, None]
+        _BUILT[:] = [name, Matcher(items.value)]
+    return _BUILT[1]
 
 
 def _scanner(items: Broadcast):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items.value)
+        matcher = _matcher(name, items)
         for batch in batches:
             n_words, hits, ids = [], [], []
             texts = batch.column("text").cast(pa.binary())
@@ -103,7 +138,7 @@ def _scanner(items: Broadcast):
                 hits.append(merge([(x["first"], x["end"]) for x in had] + ranges) if had else ranges)
                 ids.append(sorted(found.union(own)))
             as_hits = pa.array([[{"first": a, "end": b} for a, b in x] for x in hits], batch.schema.field("hits").type)
-            columns = {"n_words": pa.array(n_words, pa.int64()), "hits": as_hits, "items": pa.array(ids, pa.list_(pa.int64()))}
+            columns = {"n_words": pa.array(n_words, pa.int64()), "hits": as_hits, "items": pa.array(ids, batch.schema.field("items").type)}
             yield pa.RecordBatch.from_arrays(
                 [columns.get(f.name, batch.column(f.name)) for f in batch.schema], schema=batch.schema
             )
@@ -128,11 +163,9 @@ def in_original(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> list[Broadcast]:
-    """The items in blocks of bounded size, each collected and broadcast by itself."""
+    """The items, in blocks of bounded size if need be, each collected and broadcast by itself."""
     spark = benchmark.sparkSession
-    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")
-    )
+    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-chars * 4 // (3 * block_chars)) if chars > block_chars else 1)
     share = [rows if n == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b) for b in range(n)]
@@ -141,23 +174,31 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", b
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, text, ``keep``, n_words, ``hits`` (ranges of words) and ``items`` (ids, ascending)."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = docs.select(
         "doc_id", "text", *keep, F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<first:int,end:int>>").alias("hits"), F.array().cast("array<bigint>").alias("items"),
+        F.array().cast("array<struct<first:int,end:int>>").alias("hits"), F.array().cast(f"array<{kind}>").alias("items"),
     )
-    for items in blocks(benchmark, block_chars=block_chars):
-        rows = map_texts(rows, _scanner(items), rows.schema)
+    for k, items in enumerate(blocks(benchmark, block_chars=block_chars)):
+        rows = map_texts(rows if k == 0 else written(rows), _scanner(items), rows.schema)
     return rows
 
 
 def spans(scanned: DataFrame) -> DataFrame:
     """doc_id and ``spans``: the hit ranges in code points of the original text, of hit documents."""
+    kind = scanned.schema["doc_id"].dataType.simpleString()
 
-    @F.udf("array<struct<start:int,end:int>>")
-    def placed(text, hits):
-        return in_original(text, [(h["first"], h["end"]) for h in hits])
-
-    return scanned.where(F.size("hits") > 0).select("doc_id", placed("text", "hits").alias("spans"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            found = [
+                [{"start": a, "end": b} for a, b in in_original(text, [(h["first"], h["end"]) for h in hits])]
+                for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, of)], names=["doc_id", "spans"])
+
+    rows = scanned.where(F.size("hits") > 0).select("doc_id", "text", "hits")
+    return map_texts(rows, run, f"doc_id {kind}, spans array<struct<start:int,end:int>>")
 
 
 def judged(scanned: DataFrame) -> DataFrame:

@@ -33,6 +33,9 @@ def test_decontamination(spark, make, edge_rows):
     rows = [(i, t) for i, (_, t) in enumerate(docs)]
     got = {r.doc_id: tuple(r)[1:] for r in decontaminate.op3(make(rows), bench).collect()}
     assert got == want and any(v[4] for v in want.values())
+    named = spark.createDataFrame([(f"q-{i}" if i is not None else None, t, 1, "x") for i, t in items], "item_id string, text string, n_words int, hits string")
+    want_named = decontaminate.brute_force(rows, [(r.item_id, r.text) for r in named.collect()])
+    assert {r.doc_id: tuple(r)[1:] for r in decontaminate.op3(make(rows), named).collect()} == want_named
     small = decontaminate.judged(decontaminate.scan(make(rows), bench, block_chars=300)).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in small} == {k: v[:3] for k, v in want.items()}
     for r in decontaminate.spans(decontaminate.scan(make(rows), bench)).collect():
@@ -42,6 +45,19 @@ def test_decontamination(spark, make, edge_rows):
     assert decontaminate.op3(make(rows).limit(0), bench).count() == 0
 
 
+def test_matches_are_windows():
+    """Few different words, so that matches overlap, repeat and touch the ends of texts and items."""
+    rng = random.Random(2)
+    for _ in range(150):
+        text = lambda n: " ".join(rng.choices("ab", [9, 1], k=n))
+        items = [(i, text(rng.choice((1, 7, 12, 13, 14, 20, 40)))) for i in range(4)]
+        docs = [(0, text(60)), (1, items[0][1]), (2, text(9) + " " + items[1][1] + " " + text(3)), (3, items[2][1][4:] + " b " + items[3][1])]
+        matcher, want = decontaminate.Matcher(items), decontaminate.brute_force(docs, items)
+        for i, t in docs:
+            n, ranges, ids = matcher.scan(t.encode())
+            assert (n, sum(b - a for a, b in ranges), len(ids)) == want[i][:3]
+
+
 def near_copies(seed, groups=6, copies=14, words=120):
     rng, rows = random.Random(seed), []
     for g in range(groups):
