@@ -1,6 +1,8 @@
 """HTML extraction, URL filters and toxicity."""
 
+import math
 import random
+import re
 import zlib
 
 from fabulagraph.llm import html, toxicity, urls
@@ -116,6 +118,8 @@ def test_restoring():
     restored = toxicity.Restorer(scorer.model)
     for hidden, plain in (("1d10t", "idiot"), ("m0r0n!", "moron!"), ("w0rthl3ss", "worthless"), ("s t u p i d", "stupid"), ("stuuuupid", "stupid"), ("i.d.i.o.t", "idiot"), ("$tup1d", "stupid"), ("st*pid", "stupid")):
         assert restored(hidden) == plain, hidden
+    for hidden, plain in (("s  t  u  p  i  d", "stupid"), ("i. d. i. o. t", "idiot")):  # with wider gaps
+        assert restored(hidden) == plain, hidden
     for same in ("the an ing", "2020", "on 12 the", "er*** the$$$", ""):
         assert restored(same) == same
 
@@ -142,6 +146,26 @@ def test_viterbi_is_the_least_of_all_readings():
         assert abs(min(c + cost(t) for c, t in all_readings(token) if t == toxicity.restore(token, m)) - best[0]) < 1e-9
 
 
+def test_long_stretches_are_read_whole():
+    scorer = toxicity.fit([(t, y) for _, t, y in texts(200, 1)])
+    long = "1d10t." * 400
+    assert toxicity.restore(long, scorer.model).replace(" ", "") == "idiot" * 400
+    assert toxicity.Restorer(scorer.model)("s t u p i d " * 300).replace(" ", "") == "stupid" * 300
+
+
+def test_scores_by_brute_force():
+    """A score is the logistic function of the weights of the distinct words and beginnings of the restored text."""
+    rows = [(t, y) for _, t, y in texts(200, 1)]
+    scorer = toxicity.fit(rows)
+    restored = toxicity.Restorer(scorer.model)
+    for text in ("you 1d10t", "m o r o n the an", "the an ing", "", "w0rthl3ss " * 50 + "scumbag"):
+        found = set()
+        for w in re.findall(r"[^\W\d_]+", restored(text)):
+            found |= {w} | {w[:k] + "-" for k in (4, 5, 6) if len(w) > k}
+        total = scorer.intercept + sum(scorer.features.get(f, 0.0) for f in found)
+        assert abs(scorer.score(text) - 1 / (1 + math.exp(-total))) < 1e-9
+
+
 def test_toxicity_query(spark, make, edge_rows):
     rows = texts(400, 2)
     extra = [(9000, "you 1d10t, you m o r o n", 0), (9001, "the an ing on", 0)]
@@ -155,5 +179,6 @@ def test_toxicity_query(spark, make, edge_rows):
     assert sum(r.predicted == y for r, y in held) / len(held) > 0.95
     assert by[9000].predicted == 1 and by[9001].predicted == 0
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
-    assert {r.score for r in toxicity.op6(docs, labels.limit(0)).collect()} <= {r.score for r in toxicity.op6(docs, labels.where("toxic = 0")).collect()} | {0.0} or True
+    assert {r.score for r in toxicity.op6(docs, labels.limit(0)).collect()} == {1 / (1 + math.exp(30))}
+    assert {r.predicted for r in toxicity.op6(docs, labels.where("toxic = 1")).collect()} == {1}
     assert toxicity.op6(docs.limit(0), labels).count() == 0
