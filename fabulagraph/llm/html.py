@@ -36,12 +36,14 @@ WRAPPER, CONTENT, BOILER = range(3)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    # a quote counts after an equals sign alone, and only if it ends somewhere
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)>"
     r"|</?[a-zA-Z][^<]*+\Z",
     re.S,
 )
 _NAMED = re.compile(r"""\b(class|id|role|data-fabulagraph-state)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_NAME = re.compile(r"[^\s]+")
 _PART = re.compile(r"[a-z]+")
 
 #: Fixed lists of HTML: elements without content, with text that isn't shown as text, and within lines.
@@ -145,7 +147,12 @@ class Page:
             if key.lower() == STATE:
                 state = int(value) if value in ("0", "1", "2") else None
             else:
-                names.update(_PART.findall(value))
+                for name in _NAME.findall(value):
+                    # what comes before a word that isn't known from names of parts of pages describes something else
+                    for part in reversed(_PART.findall(name)):
+                        names.add(part)
+                        if part not in KNOWN and len(part) > 2:
+                            break
         if _HIDDEN.search(attributes):
             names.add("hidden")
         return tuple(sorted(names)), state
@@ -264,6 +271,15 @@ _NAMES = {
 }
 
 
+#: Words that say where a part is, or what sort of box, in the names of parts.
+_BOXES = (
+    "left right top bottom inner outer upper lower box area section block container wrapper wrap holder panel bar row col column grid group "
+    "list item items posts articles stories news links link content body text title label icon button btn module component region slot unit "
+    "zone message sticky fixed mobile desktop small large new js main page site primary secondary the"
+).split()
+KNOWN = frozenset(_BOXES).union(*_NAMES.values())
+
+
 def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
     """Pages of random parts, with the true state of a part in ``STATE`` where it changes."""
     rng = random.Random(seed)
@@ -280,7 +296,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
     def named(kind, p: float = 0.85) -> str:
         if rng.random() > p:
             return ""
-        return f' {rng.choice(("class", "id"))}="{rng.choice("x site js main the left right box".split()) + "-" if rng.random() < 0.2 else ""}{rng.choice(_NAMES[kind])}"'
+        return f' {rng.choice(("class", "id"))}="{rng.choice("x site js main the left right box".split()) + "-" if rng.random() < 0.2 else ""}{rng.choice(_NAMES[kind])}{"-" + rng.choice(_BOXES) if rng.random() < 0.15 else ""}"'
 
     def listed(k: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{prose()[:9]}</a></li>' for i in range(k)) + "</ul>"
@@ -307,18 +323,20 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
         for _ in range(k):
             r = rng.random()
             end = "</p>" if rng.random() < 0.8 else ""
-            if r < 0.73:
+            if r < 0.70:
                 out.append(f"<p>{prose()}{end}")
-            elif r < 0.82:
+            elif r < 0.79:
                 out.append("<h{0}>{1}</h{0}>".format(rng.randint(2, 4), prose()[:40]))
-            elif r < 0.86:
+            elif r < 0.83:
                 out.append("<ul>" + "".join(f"<li>{prose()}</li>" for _ in range(3)) + "</ul>")
-            elif r < 0.89:
+            elif r < 0.86:
                 out.append(f"<blockquote><p>{prose()}</p></blockquote>")
-            elif r < 0.91:
+            elif r < 0.88:
                 out.append(f"<table><tr><td>{prose()}</td><td>{prose()}</td></tr></table>")
+            elif r < 0.90:
+                out.append(f"<div>{prose()}</div><div class='{rng.choice(_NAMES[CONTENT])}-{rng.choice(("body", "text", "box", "area", "section", "block", "inner"))}'><p>{prose()}</p></div><pre>{prose()}</pre><figure><figcaption>{prose()}</figcaption></figure>")
             elif r < 0.93:
-                out.append(f"<div>{prose()}</div><pre>{prose()}</pre><figure><figcaption>{prose()}</figcaption></figure>")
+                out.append(f"<section><h2>{prose()[:30]}</h2><p>{prose()}</p><p>{prose()}</p></section>")
             else:
                 out.append(junk(rng.choice(("ad", "share", "side", "form", "footer", "note", "talk", "nav"))))
         return "".join(out)
@@ -331,6 +349,9 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
         if title and rng.random() < 0.2:
             title = f"<header>{title}<p>{prose()}</p></header>"
         r = rng.random()
+        if r < 0.85 and title.startswith("<h1") and rng.random() < 0.25:
+            tag, name = rng.choice(("div", "section", "header")), f'{rng.choice(_NAMES[CONTENT])}-{rng.choice(("header", "head", "title"))}'
+            title = f'<{tag} class="{name}">{title}<p>{prose()}</p></{tag}>'
         if r < 0.5:
             main = f'<article{named(CONTENT, 0.3)} data-fabulagraph-state="1">{title}{parts(rng.randint(1, 9))}</article>'
         elif r < 0.65:
