@@ -54,7 +54,7 @@ RULES = (
     Rule("assign", f"({_NAMES})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, True),
     Rule("access", "AKIA[A-Z0-9]{14,}", base=True),
     Rule("hex", "[0-9a-f]{16,}", base=True),
-    Rule("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----([A-Za-z0-9+/=\\x09-\\x0D\\x20]*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
     Rule("forge", "gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}"),

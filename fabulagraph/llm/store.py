@@ -11,23 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, read from the session.
 
-    A folder of this machine is taken only where the cluster names none, as in tests.
+    A folder of this machine is taken only where none is named and all executors are on this machine, as in tests.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder; Spark's cleaner removes what nothing refers to."""
+    """``df.checkpoint()`` in the shared folder.  Its files stay until the folder is emptied, or until nothing refers
+    to them if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
+    """``df`` written as Parquet in the shared folder and read again; the files stay as those of a checkpoint do."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -37,13 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of texts that go to a Python worker at once: texts are long, and a worker holds a few copies of a batch.
+#: Rows and bytes of texts that go to a Python worker at once: texts are long, and a worker holds a few copies of a batch.
 TEXT_ROWS = 1024
+TEXT_BYTES = 64 << 20
 
 
 def map_texts(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` for rows that hold texts; the session's Arrow batches come down to ``TEXT_ROWS`` rows."""
+    """``df.mapInArrow`` for rows that hold texts; the session's Arrow batches come down to ``TEXT_ROWS`` rows and
+    ``TEXT_BYTES`` bytes, or one row that has more, if they are larger or have no bound."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        if not 0 < int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(function, schema)

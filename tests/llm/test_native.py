@@ -60,6 +60,7 @@ SECRETS = [
     (14, "secret:" + "f" * 5000),
     (15, "APIKEY='abcdefabcdef0123456789'"),
     (16, "passwords are secret tokens"),
+    (17, "a -----BEGIN PRIVATE KEY-----\nMIIabc+/=\nxyz9\n-----END PRIVATE KEY----- b. -----BEGIN EC PRIVATE KEY-----\nqq. -----END EC PRIVATE KEY-----"),
 ]
 
 
@@ -91,10 +92,10 @@ def test_trigram_queries_are_implied():
 
 
 def test_redaction(make):
-    rows = [(1, "a password=abcdefghijkl0123456789ab z"), (2, "plain")]
+    rows = [(1, "a password=abcdefghijkl0123456789ab z"), (2, "plain"), (3, "k: -----BEGIN PRIVATE KEY-----\nMIIabc+/=\n-----END PRIVATE KEY-----!")]
     d = secrets.scan(make(rows))
     got = {r[0]: r[1] for r in d.select("doc_id", secrets.redact(d["text"], d["spans"])).collect()}
-    assert got == {1: "a [secret] z", 2: "plain"}
+    assert got == {1: "a [secret] z", 2: "plain", 3: "k: [secret]!"}
 
 
 def mix_brute(rows):
