@@ -38,8 +38,9 @@ AGE_GROUPS = {"young_child": 5, "primary_school_child": 9, "middle_school_studen
 AGE_CASCADE = [
     ([("preschool",)], 3), ([("kindergarten",)], 5), ([("primary school",)], 8), ([("elementary",)], 8), ([("middle school",)], 12),
     ([("high school",)], 16), ([("university", "student")], 19),
-    *[([(f"{word} grade",), (f"{number} grade",)], age) for age, (word, number) in enumerate(
-        [("first", "1st"), ("second", "2nd"), ("third", "3rd"), ("fourth", "4th"), ("fifth", "5th"), ("sixth", "6th"), ("seventh", "7th"), ("eighth", "8th")], 6)],
+    ([("first grade",), ("1st grade",)], 6), ([("second grade",), ("2nd grade",)], 7), ([("third grade",), ("3rd grade",)], 8),
+    ([("fourth grade",), ("4th grade",)], 9), ([("fifth grade",), ("5th grade",)], 10), ([("sixth grade",), ("6th grade",)], 11),
+    ([("seventh grade",), ("7th grade",)], 12), ([("eighth grade",), ("8th grade",)], 13),
     ([("9th grade",), ("ninth grade",), ("high school freshman",)], 14), ([("sophomore", "high")], 15), ([("junior", "high")], 16), ([("senior", "high")], 17),
     ([("freshman", "university"), ("freshman", "college")], 18),
     ([("first year", "college"), ("first year", "undergraduate"), ("first year", "undergrad")], 18), ([("senior", "university")], 22),
@@ -56,6 +57,62 @@ DRP_BEYOND = "College and Career Readiness (CCR)"
 MODEL_NAMES = [("gemma3", "gemma-3"), ("phi4", "phi-4"), ("llama3.3", "Llama-3.3"), ("qwen3", "Qwen3")]
 KNOWN_REGIMES = ["primary", "secondary", "highschool", "high_school", "university"]
 
+# fixed values: ages of grades, of roles and of school levels, in order, for the third age rule
+GRADE_AGES = {1: 6, 2: 7, 3: 8, 4: 9, 5: 10, 6: 11, 7: 12, 8: 13, 9: 14, 10: 15, 11: 16, 12: 17}
+ROLE_AGES = [
+    ("preschool", 3), ("kindergarten", 5), ("middle school student", 12), ("middle schooler", 12), ("high school freshman", 14),
+    ("high school sophomore", 15), ("high school junior", 16), ("high school senior", 17), ("college freshman", 18), ("university freshman", 18),
+    ("first-year college student", 18), ("first year university student", 18),
+]
+LEVEL_AGES = [
+    (("primary school", "elementary school"), 8), (("secondary school", "middle school"), 12), (("high school",), 16), (("university", "college"), 18),
+]
+
+# fixed values: why a persona is none of its category: ages (below, reason, above, reason), then (reason, phrases)
+STRICT_AGES = {
+    "primary": (3, "age too young (infant)", 11, "age too old for primary"),
+    "secondary": (11, "age too young for secondary", 14, "age too old for secondary"),
+    "university": (15, "age too young for university", 18, "age exceeds maximum allowed for university regime"),
+}
+STRICT_PHRASES = {
+    "primary": [
+        ("fictional character", ["fictional character", "storybook character", "children's storybook", "fairy tale"]),
+        ("retrospective framing", ["from the 80s", "in the 80s", "when i was a child", "back then", "used to be"]),
+        ("not the persona themselves", ["my child", "their child", "his child", "her child", "someone else's child", "parent of", "attend with their toddler"]),
+    ],
+    "secondary": [
+        ("primary school mention", ["elementary school", "primary school", "kindergarten", "preschool", "grade school"]),
+        ("high school mention", ["high school", "upper secondary", "college prep", "sat", "act"]),
+        ("retrospective framing", ["when i was in middle school", "back in middle school", "used to be in middle school", "former middle school student"]),
+        ("not the persona themselves", ["my child", "their child", "his child", "her child", "parent of"]),
+        ("fictional character", ["fictional character", "storybook character", "novel character"]),
+    ],
+    "university": [
+        ("non-freshman undergraduate", ["sophomore", "junior", "senior", "upperclassman", "second year", "third year", "final year"]),
+        ("graduate-level student", ["graduate student", "postgraduate", "master's", "phd", "doctoral", "mba"]),
+        ("retrospective framing", ["alumni", "former student", "when i was in college", "back in college", "after graduating college"]),
+        ("not the persona themselves", ["older sibling", "younger sibling", "parent of", "advisor to", "shares tips with", "offers advice to"]),
+        ("fictional character", ["fictional character", "novel character", "story character"]),
+    ],
+}
+SCHOOL_OF_INFANTS = ["preschool", "kindergarten", "nursery", "early education"]
+FRESHMAN_SIGNS = ["freshman", "first year", "first-year", "incoming", "just started university", "starting university"]
+ENROLLED_SIGNS = ["studying at", "enrolled at", "attends", "current college", "university student"]
+
+# fixed values: phrases of a text that is not a pupil's
+NO_PUPIL = [
+    "teacher", "professor", "principal", "headmaster", "educator", "counselor", "faculty", "chaperone", "director", "coordinator", "mother", "father",
+    "parent", "guardian", "mom ", "dad ", "veteran", "elderly", "husband", "wife", "grown-up", "millennial", "entrepreneur", "plumber", "doctor",
+    "civil engineer", "professional", "reunion", "prom night 19", "in the 90s", "years ago", "looking back", "memories of", "fondly remembers",
+    "stumbled upon", "university student", "college student", "undergraduate", "old friend", "best friend", "friend from", "friend of",
+    "recent graduate", "graduate from", "graduated", "dropped out", "dropout", "played", "used to play", "was a", "discovered", "started in",
+    "began in", "remembers", "remember", "memories", "good old days", "commentator", "football coach", "head coach", "assistant coach", "moved out",
+    "relocated", "living in", "awaiting", "applying to", "middle school", "junior high", "primary school", "kindergarten", "alumn", "didn't finish",
+    "old classmate",
+]
+WILL_GRADUATE = ["will graduate", "to graduate", "soon graduate", "hopes to"]
+COMIC_SERIES = ["slice of life", "girls und panzer"]
+
 # fixed values: tokens that model output leaks, and relations that deny
 CONTROL_TOKENS = ["|eot_id|", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>", "<s>", "</s>", "assistant", "user", "system"]
 NEGATION_WORDS = ["not", "no", "never", "neither", "nor", "without"]
@@ -64,7 +121,10 @@ NEGATION_PHRASES = [
     "not associated", "without connection", "without relation", "unconnected", "unrelated", "disconnected", "disassociated",
     "nonapplicable", "nonexistent", "unavailable", "uninvolved",
 ]
-LABEL_PREFIXES = [f"{x}:" for x in "nsubj dobj pobj prep amod advmod ROOT VERB NOUN ADJ dep compound agent xcomp ccomp aux auxpass".split()]
+LABEL_PREFIXES = [
+    "nsubj:", "dobj:", "pobj:", "prep:", "amod:", "advmod:", "ROOT:", "VERB:", "NOUN:", "ADJ:", "dep:", "compound:", "agent:", "xcomp:", "ccomp:",
+    "aux:", "auxpass:",
+]
 ADJECTIVE_ENDS = "ed ing al ive ous ful ic ish y".split()
 NOUN_ENDS = "tion ity ness ence ance dom hood ship th".split()
 

@@ -224,11 +224,15 @@ def high_school_reasons(text: Column, age: Column) -> Column:
 
 
 def school_reasons(text: Column, age: Column, category: str) -> Column:
-    """FIL-8..10: the same for the other categories, by age range and excluding words."""
-    lo, hi = {"primary": (3, 11), "secondary": (11, 14), "university": (15, 18)}[category]
-    return reasons(
-        (age.isNull(), "missing age"), ((age < lo) | (age > hi), "age out of range"), (contains_any(text, L.EXCLUDE[category]), "excluded role"),
-    )
+    """FIL-8..10: the same for the other categories: ages, phrases, and signs that should be there."""
+    low, high = L.STRICT_AGES[category][0], L.STRICT_AGES[category][2]
+    rules = [(age < low, L.STRICT_AGES[category][1]), (age > high, L.STRICT_AGES[category][3])]
+    rules += [(contains_any(text, phrases), reason) for reason, phrases in L.STRICT_PHRASES[category]]
+    if category == "primary":
+        rules.append(((age <= 2) & ~contains_any(text, L.SCHOOL_OF_INFANTS), "infant without school context"))
+    if category == "university":
+        rules.append((~contains_any(text, L.FRESHMAN_SIGNS + L.ENROLLED_SIGNS), "no clear first-year university signal"))
+    return reasons(*rules)
 
 
 def preferred_text(*columns: Column, rest: Column, most: int = 1500) -> Column:
@@ -390,20 +394,15 @@ def log_scaled(x: Column, metric: str) -> Column:
     return F.log10(x + 1) if metric in L.LOGGED else x
 
 
-#: Grades that the third age rule knows, and roles, in order (SCA-17).
-GRADE_AGES = {i: 5 + i for i in range(1, 13)}
-ROLE_AGES = (("freshman", 14), ("sophomore", 15), ("junior", 16), ("senior", 17), ("kindergartener", 5), ("toddler", 3), ("preschooler", 4))
-
-
 def age_by_grade(text: Column) -> Column:
-    """SCA-17: a stated age over 0, else the age of a grade, else of a role, else by school level."""
+    """SCA-17: a stated age from 1 to 99, else the age of a grade, else of a role, else by school level."""
     low = F.lower(text)
     stated = stated_age(low)
-    grade = F.nullif(F.coalesce(F.nullif(F.regexp_extract(low, r"\b([0-9]{1,2})(?:st|nd|rd|th)[ -]grade", 1), F.lit("")), F.regexp_extract(low, r"\bgrade\s*([0-9]{1,2})\b", 1)), F.lit(""))
-    roles = [F.when(low.rlike(rf"\b{r}\b"), F.lit(a)) for r, a in ROLE_AGES]
-    levels = [F.when(_any([F.contains(low, F.lit(p)) for p in ps]), F.lit(a)) for ps, a in L.SCHOOL_AGES]
-    known = F.when(grade.cast("int").between(1, 12), grade.cast("int") + 5)
-    return F.coalesce(F.when(stated > 0, stated), known, *roles, *levels)
+    grade = F.nullif(F.regexp_extract(low, r"\b(1[0-2]|[1-9])(?:st|nd|rd|th)?\s+grade\b", 1), F.lit("")).cast("int")
+    grades = [F.when(grade == g, F.lit(a)) for g, a in L.GRADE_AGES.items()]
+    roles = [F.when(F.contains(low, F.lit(r)), F.lit(a)) for r, a in L.ROLE_AGES]
+    levels = [F.when(_any([F.contains(low, F.lit(p)) for p in ps]), F.lit(a)) for ps, a in L.LEVEL_AGES]
+    return F.coalesce(F.when(stated.between(1, 99), stated), *grades, *roles, *levels)
 
 
 def completed_age(age: Column, text: Column) -> Column:
@@ -455,16 +454,14 @@ def hints(pairs: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("- "), p["noun"], F.lit(" is "), p["adjective"])), "\n")
 
 
-#: FIL-12: words of a text that is not a pupil's, unless it opens as one.
-GROWN_UP = (
-    "teacher professor principal headmaster educator counselor faculty chaperone director coordinator mother father parent guardian veteran elderly husband wife "
-    "grown-up millennial entrepreneur plumber doctor professional reunion alumni alumnus alumna graduated"
-).split()
-
-
 def not_a_pupil(text: Column) -> Column:
-    """FIL-12: boolean exclusion; a text that opens as a pupil's is only out as a senior citizen's or former one's."""
+    """FIL-12: boolean exclusion; null is out."""
     low = F.lower(text)
-    opens = low.rlike(r"^\s*(a|an|the|i'm|i am)\s+[\w\s-]*\b(student|pupil|freshman|sophomore|junior|senior|attendee)\b")
-    past = low.rlike(r"class of (19\d\d|200\d|201\d)|years ago|looking back|memories of|in the 90s|fondly remembers")
-    return F.when(text.isNull(), True).when(opens, F.contains(low, F.lit("senior citizen")) | F.contains(low, F.lit("former"))).otherwise(contains_any(text, GROWN_UP) | past)
+    opens = low.rlike(r"^\s*(a|an|the|i'm|i am)\s+([\w\s-]*)?\b(student|pupil|freshman|sophomore|junior|senior|attendee)\b")
+    graduate = low.rlike(r"^\s*(a|an|the)\s+([\w\s]*)\bgraduat(e|ed)\b") & ~contains_any(text, L.WILL_GRADUATE)
+    sweethearts = F.contains(low, F.lit("sweetheart")) & contains_any(text, ["engaged", "married"])
+    out = (
+        (opens & contains_any(text, ["senior citizen", "former"])) | contains_any(text, L.NO_PUPIL) | graduate
+        | low.rlike(r"class of (19[0-9]{2}|20[01][0-9])") | sweethearts | (contains_any(text, L.COMIC_SERIES) & ~opens)
+    )
+    return F.coalesce(out, F.lit(True))

@@ -1,8 +1,9 @@
-"""Graph operators over edges (run_id, src, dst, ...) (GRA-*, JOIN-6, JOIN-7, JOIN-11, WIN-22)."""
+"""Graph operators over edges (run_id, src, dst, ...); each names what it is of the inventory."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -107,6 +108,68 @@ def backbone(edges: DataFrame) -> DataFrame:
     return degree.groupBy(RUN).agg(F.min_by("node", F.struct(-F.col("a"), -F.col("n"), "node")).alias("node"))
 
 
+def found_edges(edges: DataFrame, wanted: DataFrame, order: str = "edge_id") -> DataFrame:
+    """JOIN-6, JOIN-7: of each (run_id, src, dst) that is asked for, the first edge with these ends; those without one fall out."""
+    first = edges.groupBy(RUN, "src", "dst").agg(F.min(order).alias(order))
+    return wanted.join(first, [RUN, "src", "dst"])
+
+
+def nodes_by_text(rows: DataFrame, known: DataFrame, lemma: str) -> DataFrame:
+    """JOIN-9: adds ``node``, the known node whose lemma is the row's canonical one; null if there is none."""
+    nodes = known.select(F.col(lemma).alias("node")).distinct()
+    return rows.join(nodes, rows[lemma] == nodes["node"], "left")
+
+
+def reinforced(edges: DataFrame, again: DataFrame, most: int, order: str = "edge_id") -> DataFrame:
+    """JOIN-8: edges, of which the first equal one (ends and label but for case and outer blanks) of each edge
+    of ``again`` is one more visible, up to ``most``, active, and ``current``."""
+    c = F.col
+    label = T.strip(F.lower("label"))
+    keys = [RUN, "src", "dst", "_label"]
+    said = again.select(RUN, "src", "dst", label.alias("_label")).where("_label is not null").distinct()
+    named = edges.withColumn("_label", label)
+    first = named.groupBy(*keys).agg(F.min(order).alias(order)).join(said, keys, "left_semi").select(*keys, order, F.lit(True).alias("_hit"))
+    out = named.join(first, [*keys, order], "left").withColumn("current", F.coalesce("_hit", F.lit(False)))
+    out = out.withColumn("visibility", F.when(c("current"), F.least(F.lit(most), c("visibility") + 1)).otherwise(c("visibility")))
+    return out.withColumn("active", c("active") | c("current")).drop("_label", "_hit")
+
+
+def activation_scores(edges: DataFrame, order: str = "edge_id") -> DataFrame:
+    """AGG-41: (run_id, src, dst, label, score, parts): the last edge's visibility by ends and label (3 parts), and by ends alone (2)."""
+    last = lambda keys: edges.groupBy(RUN, *keys).agg(F.max_by("visibility", order).cast("int").alias("score"))
+    three = last(["src", "dst", "label"]).withColumn("parts", F.lit(3))
+    two = last(["src", "dst"]).withColumns({"label": F.lit(None).cast("string"), "parts": F.lit(2)})
+    return three.select(RUN, "src", "dst", "label", "score", "parts").unionByName(two.select(RUN, "src", "dst", "label", "score", "parts"))
+
+
+def can_connect(edges: DataFrame, required: DataFrame) -> DataFrame:
+    """GRA-17: (run_id, possible): whether the edges, live or not, join all required nodes."""
+    parts = components(edges, RUN).join(required.select(RUN, "node").distinct(), [RUN, "node"])
+    return parts.groupBy(RUN).agg((F.count_distinct("component") <= 1).alias("possible"))
+
+
+def stabilized(edges: DataFrame) -> DataFrame:
+    """GRA-19: in runs without a live edge, visible edges wake."""
+    alive = edges.where("active").select(RUN).distinct().withColumn("_alive", F.lit(True))
+    out = edges.join(alive, RUN, "left")
+    return out.withColumn("active", F.col("active") | (F.col("_alive").isNull() & (F.col("visibility") > 0))).drop("_alive")
+
+
+def forced_edges(edges: DataFrame, label: Callable[[Column, Column], Column]) -> DataFrame:
+    """GRA-23, GRA-27, GRA-29: per run, an edge from the least node of every live part but the largest to the
+    largest part's node of most live edges; ``label`` gives its label from both ends."""
+    live = edges.where("active").select(RUN, "src", "dst")
+    parts = components(live, RUN)
+    sizes = parts.groupBy(RUN, "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy(RUN).agg(F.min_by("component", F.struct(-F.col("n"), "component")).alias("component"))
+    degree = live.select(RUN, F.explode(F.array("src", "dst")).alias("node")).groupBy(RUN, "node").agg(F.count("*").alias("d"))
+    anchor = parts.join(largest, [RUN, "component"]).join(degree, [RUN, "node"]).groupBy(RUN).agg(
+        F.first("component").alias("_main"), F.min_by("node", F.struct(-F.col("d"), "node")).alias("dst")
+    )
+    rest = sizes.join(anchor, RUN).where("component <> _main").select(RUN, F.col("component").alias("src"), "dst")
+    return rest.withColumn("label", label(F.col("src"), F.col("dst")))
+
+
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GRA-26, GRA-28: nodes that no edge ends in."""
     return nodes.join(endpoints(edges), [RUN, "node"], "left_anti")
@@ -121,26 +184,31 @@ def around(edges: DataFrame, anchors: DataFrame, hops: int = 2) -> DataFrame:
     return kept
 
 
+# fixed values: the layout's first ring and step, room of a node, and how far parallel edges bend and spread
+RING, STEP, ROOM, SLACK = 4, 4.5, 1.8, 1.5
+BEND, MOST_BEND = 0.15, 0.35
+
+
 def radial_layout(levels: DataFrame) -> DataFrame:
     """GRA-38: x and y of (run_id, node, distance): rings around the hub, names in order."""
     c = F.col
     ring = Window.partitionBy(RUN, "distance")
     i, n = F.row_number().over(ring.orderBy("node")) - 1, F.count("*").over(ring)
     golden = math.pi * (3 - math.sqrt(5))
-    radius = F.greatest(4 + 4.5 * c("distance"), n * 1.8 * 1.5 / (2 * math.pi))
+    radius = F.greatest(RING + STEP * c("distance"), n * ROOM * SLACK / (2 * math.pi))
     angle = 2 * math.pi * i / n + golden * c("distance")
     at = lambda f: F.when(c("distance") == 0, F.lit(0.0)).otherwise(radius * f(angle))
     return levels.select(RUN, "node", "distance", at(F.cos).alias("x"), at(F.sin).alias("y"))
 
 
-def curvatures(edges: DataFrame, order: str = "edge_id") -> DataFrame:
+def curvatures(edges: DataFrame, order: str | Column = "edge_id") -> DataFrame:
     """GRA-40: curvature and label place of edges that share their ends; those against the names' order bend the other way."""
     pair = Window.partitionBy(RUN, F.least("src", "dst"), F.greatest("src", "dst"))
     k, n = F.row_number().over(pair.orderBy(order)) - 1, F.count("*").over(pair)
     share = F.when(n > 1, k / (n - 1)).otherwise(0.5)
-    spread = F.least(F.lit(0.35), 0.15 * (n - 1) / 2)
-    bend = F.when(n == 1, 0.0).when(n == 2, F.when(k == 0, 0.15).otherwise(-0.15)).otherwise(-spread + 2 * spread * share)
-    low, high = F.greatest(F.lit(0.3), 0.5 - 0.15 * (n - 1) / 2), F.least(F.lit(0.7), 0.5 + 0.15 * (n - 1) / 2)
+    spread = F.least(F.lit(MOST_BEND), BEND * (n - 1) / 2)
+    bend = F.when(n == 1, 0.0).when(n == 2, F.when(k == 0, BEND).otherwise(-BEND)).otherwise(-spread + 2 * spread * share)
+    low, high = F.greatest(F.lit(0.3), 0.5 - BEND * (n - 1) / 2), F.least(F.lit(0.7), 0.5 + BEND * (n - 1) / 2)
     place = F.when(n == 1, 0.5).when(n == 2, F.when(k == 0, 0.4).otherwise(0.6)).otherwise(low + (high - low) * share)
     return edges.withColumn("curvature", F.when(F.col("src") > F.col("dst"), -bend).otherwise(bend)).withColumn("t", place)
 

@@ -49,6 +49,19 @@ def persona_stats(triplets: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return with_text(joined.withColumn("triplet_repetition_ratio", 1 - c("num_unique_triplets") / c("num_triplets")))
 
 
+def abstract_concept_ratio(rows: DataFrame, keys: list[str], tokens: str) -> DataFrame:
+    """AGG-6: per group, nouns that are no names among the alphabetic tokens of the concepts; 0.0 without any.
+
+    ``tokens`` is an array of (text, lemma, pos) a row, repeated concepts included; ``n`` counts the rows.
+    """
+    c = F.col
+    words = F.filter(c(tokens), lambda t: t["text"].rlike("^[a-zA-Z]+$"))
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.size(F.filter(words, lambda t: t["pos"] == "NOUN"))).cast("double").alias("_a"), F.sum(F.size(words)).alias("_w")
+    )
+    return out.select(*keys, "n", T.ratio(c("_a"), F.coalesce("_w", F.lit(0))).alias("abstract_concept_ratio"))
+
+
 def with_text(stats: DataFrame) -> DataFrame:
     """AGG-4, SCA-1, SCA-3, SCA-4: measures of the persona's text, once per group."""
     c = F.col

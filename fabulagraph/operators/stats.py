@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabulagraph.operators.lineage import cut
+
 
 def _quantile(x: str, q: float) -> Column:
     return F.percentile(x, F.lit(q))
@@ -262,6 +264,32 @@ def bootstrap_ci(stats: DataFrame, metric: str, group: str = "regime", times: in
     return means.groupBy(group).agg(q).select(group, F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
+def median_interval(stats: DataFrame, metric: str, group: str = "regime", times: int = 5000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """AGG-27, AGG-30: (group, median, low, high), the interval over seeded Poisson resamples.
+
+    A resample of a group's distinct values gives each a Poisson number of copies, by its count, and the
+    median is where the copies' running sum passes half: rows count once, before any resampling.
+    """
+    c = F.col
+    values = kept(stats.where(c(metric).isNotNull()).groupBy(group, c(metric).cast("double").alias("x")).agg(F.count("*").alias("n")))
+    each = values.select(group, "x", "n", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("b"))
+    # a sum of n Poisson weights is Poisson of mean n; by the normal law with its variance, rounded
+    u1, u2 = ((F.pmod(F.xxhash64(F.lit(seed + k), c(group), "x", "b"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30)) for k in (0, 1))
+    normal = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
+    w = F.greatest(F.lit(0.0), F.round(c("n") + F.sqrt("n") * normal))
+    run = Window.partitionBy(group, "b").orderBy("x")
+    each = each.withColumn("w", w).withColumn("upto", F.sum("w").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(Window.partitionBy(group, "b")))
+    medians = each.where((c("all") > 0) & (2 * c("upto") >= c("all"))).groupBy(group, "b").agg(F.min("x").alias("m"))
+    ends = medians.groupBy(group).agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
+    whole = values.groupBy(group).agg(F.expr("percentile(x, 0.5, n)").alias("median"))
+    return whole.join(ends, whole[group].eqNullSafe(ends[group])).select(whole[group], "median", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+
+
+def kept(stats: DataFrame) -> DataFrame:
+    """The table written once, for plans that read it several times."""
+    return cut(stats)
+
+
 def coverage(stats: DataFrame, column: str) -> DataFrame:
     """AGG-35: share of rows that have the value."""
     return stats.agg(F.avg(F.col(column).isNotNull().cast("double")).alias("coverage"))

@@ -99,12 +99,12 @@ def graph_degree_density(spark, d):
     return g.select("run_id", "graph_num_nodes", "graph_num_edges", r6("graph_avg_degree", "graph_avg_degree"), r6("graph_density", "graph_density"))
 
 
-_CC = """RECURSIVE {v}, sub AS (SELECT * FROM v_edges WHERE run_id % 5 = 0 AND sentence_index = 1), b2 AS (SELECT run_id, src AS node, dst AS near FROM sub UNION SELECT run_id, dst, src FROM sub),
+_CC = """RECURSIVE {v}, b2 AS (SELECT * FROM v_both),
 reach AS (SELECT run_id, node, node AS seen FROM b2 UNION SELECT r.run_id, r.node, b.near FROM reach r JOIN b2 b ON r.run_id = b.run_id AND r.seen = b.node),
 cc AS (SELECT run_id, node, min(seen) AS component FROM reach GROUP BY ALL)"""
 
 
-@query(f"WITH {_CC.format(v=V.V_EDGES).replace(' WHERE run_id % 5 = 0 AND sentence_index = 1', '')}, z AS (SELECT run_id, component, count(*) AS n FROM cc GROUP BY ALL)"
+@query(f"WITH {_CC.format(v=V.V_EDGES)}, z AS (SELECT run_id, component, count(*) AS n FROM cc GROUP BY ALL)"
        " SELECT run_id, count(*) AS graph_num_components, max(n) AS graph_largest_component_size FROM z GROUP BY 1")
 def graph_components(spark, d):
     g = M.graph_metrics(V.edges(spark, d), "run_id")
@@ -152,10 +152,18 @@ def kruskal_h(spark, d):
     return S.kruskal(_stats(spark, d), "num_triplets").select("metric", r6("H", "H"), "groups")
 
 
-@query()
+_TESTED = ("num_triplets", "num_unique_concepts")
+
+
+#: The chi-squared tail of four degrees of freedom, those of five segments, is elementary.
+@query(f"WITH {V.V_STATS}, " + ", ".join(f"""r{i} AS (SELECT *, rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2 AS k FROM v_stats), g{i} AS (SELECT regime, count(*) AS n, sum(k) AS s FROM r{i} GROUP BY 1),
+t{i} AS (SELECT sum(x * x * x - x) AS ties FROM (SELECT count(*)::DOUBLE AS x FROM v_stats GROUP BY {m})), a{i} AS (SELECT sum(n)::DOUBLE AS n, sum(s * s / n) AS s, count(*) AS groups FROM g{i})""" for i, m in enumerate(_TESTED))
+    + " SELECT metric, groups, round(h, 6) AS H, round(exp(-h / 2) * (1 + h / 2), 9) AS p_value FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, groups, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM a{i}, t{i}" for i, m in enumerate(_TESTED)) + ")")
 def kruskal_p(spark, d):
-    rows = reduce(DataFrame.unionByName, [S.kruskal(_stats(spark, d), m) for m in ("num_triplets", "num_unique_concepts")])
-    return rows.withColumn("p_value", S.chi2_tail(c("H"), c("groups") - 1))
+    stats = S.kept(_stats(spark, d))
+    rows = reduce(DataFrame.unionByName, [S.kruskal(stats, m) for m in _TESTED])
+    return rows.select("metric", "groups", r6("H", "H"), F.round(S.chi2_tail(c("H"), c("groups") - 1), 9).alias("p_value"))
 
 
 @query(f"WITH {V.V_STATS} SELECT 'num_triplets' AS a, 'num_unique_concepts' AS b, round(corr(num_triplets, num_unique_concepts), 6) AS r, count(*) AS n FROM v_stats")
@@ -368,14 +376,14 @@ _BAD = "(" + " OR ".join("contains({x}, '" + t + "')" for t in L.CONTROL_TOKENS)
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN NOT {_BAD.format(x='s')} THEN s WHEN NOT {_BAD.format(x='o')} THEN o ELSE 'UNKNOWN' END AS s, CASE WHEN {_BAD.format(x='r')} OR r = '' THEN 'related_to' ELSE r END AS r
-FROM (SELECT conv_id, turn, trim(role) AS s, trim(substr(text, 1, 5)) AS r, trim(substr(text, 6, 5)) AS o FROM (SELECT conv_id, turn, role, regexp_replace(text, '\\s', '_', 'g') AS text FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL))""")
+FROM (SELECT conv_id, turn, trim(role) AS s, trim(text) AS r, trim(text) AS o FROM (SELECT conv_id, turn, role, regexp_replace(text, '\\s', '_', 'g') AS text FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL))""")
 def repair_triplets(spark, d):
     t = V.table(spark, d, "conversations").where("text is not null and role is not null").withColumn("text", F.regexp_replace("text", r"\s", "_"))
     fixed = T.repaired(c("role"), c("text"), c("text"))
     return t.select("conv_id", "turn", fixed.alias("x")).select("conv_id", "turn", "x.s", "x.r")
 
 
-_LABELS = "SELECT conv_id, turn, trim(regexp_replace(substr(coalesce(text, ''), 1, 24), '[^a-zA-Z ]', '', 'g')) AS t FROM conversations"
+_LABELS = "SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g')) AS t FROM conversations"
 
 
 @query(f"""SELECT conv_id, turn, regexp_matches(lower(t), '(^|\\s)({"|".join(L.NEGATION_WORDS)})(\\s|$)') OR {_any_sql(L.NEGATION_PHRASES, "lower(t)")} AS negation, regexp_matches(t, '[a-zA-Z]') AS has_letter FROM ({_LABELS})""")
@@ -664,18 +672,24 @@ def completed_ages(spark, d):
     return _personas(spark, d).select("p_partkey", T.completed_age((c("p_size") % 20).cast("double"), c("text")).alias("age"), T.persona_id(c("text")).alias("persona_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.V_EDGES}, b2 AS (SELECT run_id, src AS node, dst AS near FROM v_edges WHERE active AND src <> dst UNION SELECT run_id, dst, src FROM v_edges WHERE active AND src <> dst),
+first AS (SELECT run_id, node AS gone, min(near) AS node, count(*) AS d FROM b2 GROUP BY run_id, b2.node),
+walk AS (SELECT run_id, gone, node FROM first UNION SELECT w.run_id, w.gone, b.near FROM walk w JOIN b2 b ON b.run_id = w.run_id AND b.node = w.node AND b.near <> w.gone),
+met AS (SELECT w.run_id, w.gone, count(*) AS n FROM walk w JOIN b2 b ON b.run_id = w.run_id AND b.node = w.gone AND b.near = w.node GROUP BY ALL)
+SELECT f.run_id, f.gone AS node FROM first f JOIN met m ON m.run_id = f.run_id AND m.gone = f.gone WHERE m.n < f.d""")
 def cut_points(spark, d):
     return G.cut_points(V.edges(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.V_EDGES}, {_ENDS}, hub AS (SELECT run_id, node FROM (SELECT run_id, node, sum(active::INT) AS a, count(*) AS n FROM v_ends GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY a DESC, n DESC, node) = 1),
+st AS (SELECT DISTINCT run_id, src AS node, dst AS near FROM v_edges), walk AS (SELECT run_id, node, 0 AS distance FROM hub UNION SELECT w.run_id, s.near, w.distance + 1 FROM walk w JOIN st s ON s.run_id = w.run_id AND s.node = w.node WHERE w.distance < 60)
+SELECT run_id, node, min(distance)::INT AS distance FROM walk GROUP BY ALL""")
 def hub_levels(spark, d):
     e = V.edges(spark, d)
     return G.bfs_levels(e, G.backbone(e))
 
 
-@query()
+@query(f"WITH {V.V_TRIPLETS} SELECT edge_id, CASE WHEN relation IS NULL THEN 'reject' ELSE 'accept' END AS action, CASE WHEN relation IS NULL THEN 'no label' WHEN relation = 'is_a' THEN 'copula or possession' ELSE 'relation' END AS reason FROM v_triplets")
 def label_gates(spark, d):
     t = V.triplets(spark, d).select("edge_id", "subject", "relation", "object")
     end = lambda x: F.struct(c(x).alias("lemma"), F.lit("NOUN").alias("pos"))

@@ -52,7 +52,7 @@ def test_more_text(spark):
     t = F.lit
     prefix, number = T.prefix_and_sentence(t("x_y_sent12.png"))
     row = spark.range(1).select(
-        prefix, number, T.age_by_grade(t("in 7th grade")), T.age_by_grade(t("a sophomore")), T.completed_age(t(None).cast("double"), t("a pupil")), T.relation_or_null(t("--")),
+        prefix, number, T.age_by_grade(t("in 7th grade")), T.age_by_grade(t("a high school sophomore")), T.completed_age(t(None).cast("double"), t("a pupil")), T.relation_or_null(t("--")),
         T.nodes_line("inactive", F.array(t(" a"), t(""))), T.not_a_pupil(t("A former student of art")), T.not_a_pupil(t("A student")), T.not_a_pupil(t("my teacher")), T.before_final(t("primary_FINAL_x")),
     ).first()
     assert list(row) == ["x_y", 12, 12, 15, 8, None, "inactive: a", True, False, True, "primary"]
