@@ -15,38 +15,34 @@ def _null_as_nan(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("nan"))
 
 
-def distinct_counts(triplets: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """AGG-2, AGG-3: distinct subjects, objects, concepts, relations and triplets, in one pass.
+def persona_stats(triplets: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """AGG-1..3: one row per group; null keys are groups.  First values (AGG-8) are those of the least
+    (original_index, sentence_index).
 
-    Each triplet gives a row per kind; equal rows meet before the shuffle, so a large group
-    sends its distinct values alone, and no set of a group is held anywhere.
+    Equal triplets of a group meet first, with their number; each then gives a row per kind of value, and
+    equal values meet.  Only counts go to the groups: no join, and no set of a group is held anywhere.
     """
+    c = F.col
     s, r, o = (_null_as_nan(x) for x in ("subject", "relation", "object"))
-    kinds = F.array(
-        *[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("s", s), ("o", o), ("c", s), ("c", o), ("r", r), ("t", F.concat_ws("\u0001", s, r, o)))]
+    order = F.struct("original_index", "sentence_index", "age_refined")
+    whole = triplets.groupBy(*keys, s.alias("_s"), r.alias("_r"), o.alias("_o")).agg(F.count("*").alias("_n"), F.min(order).alias("_f"), F.min("original_index").alias("_i"))
+    kind = lambda k, v, n=F.lit(0).cast("long"): F.struct(F.lit(k).alias("k"), v.alias("v"), n.alias("n"))
+    kinds = F.array(kind("t", F.concat_ws("\u0001", "_s", "_r", "_o"), c("_n")), kind("s", c("_s")), kind("o", c("_o")), kind("c", c("_s")), kind("c", c("_o")), kind("r", c("_r")))
+    # of a relation, as many triplets as have it; of a triplet, its number and the first of them
+    parts = whole.select(*keys, F.explode(kinds).alias("x"), "_n", "_f", "_i")
+    in_t = c("x.k") == "t"
+    values = parts.groupBy(*keys, c("x.k").alias("k"), c("x.v").alias("v")).agg(
+        F.sum("x.n").alias("n"), F.sum(F.when(c("x.k") == "r", c("_n"))).alias("_of"), F.min(F.when(in_t, c("_f"))).alias("_f"), F.min(F.when(in_t, c("_i"))).alias("_i")
     )
-    values = triplets.select(*keys, F.explode(kinds).alias("x")).select(*keys, "x.k", "x.v").distinct()
-    count = lambda k: F.sum(F.when(F.col("k") == k, 1).otherwise(0))
-    return values.groupBy(*keys).agg(
+    abstract = F.when((c("k") == "r") & T.relation_class(c("v")).isin("taxonomic", "causal"), c("_of")).otherwise(0)
+    count = lambda k: F.sum(F.when(c("k") == k, 1).otherwise(0))
+    out = values.groupBy(*keys).agg(
+        F.sum("n").alias("num_triplets"), F.sum(abstract).cast("double").alias("_abstract"), F.min("_i").alias("original_index"), F.min("_f").alias("_f"),
         count("t").alias("num_unique_triplets"), count("s").alias("num_unique_subjects"), count("o").alias("num_unique_objects"),
         count("c").alias("num_unique_concepts"), count("r").alias("num_unique_relations"),
     )
-
-
-def persona_stats(triplets: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """AGG-1: one row per group; null keys are groups.  First values (AGG-8) are those of the least
-    (original_index, sentence_index)."""
-    c = F.col
-    order = F.struct("original_index", "sentence_index")
-    abstract = F.when(T.relation_class(_null_as_nan("relation")).isin("taxonomic", "causal"), 1.0).otherwise(0.0)
-    base = triplets.groupBy(*keys).agg(
-        F.count("*").alias("num_triplets"), F.avg(abstract).alias("abstract_relation_ratio"),
-        F.min("original_index").alias("original_index"), F.min_by("age_refined", order).alias("age_refined"),
-    )
-    same = [base[k].eqNullSafe(c(f"_{k}")) for k in keys]
-    counts = distinct_counts(triplets, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
-    joined = base.join(counts, same).drop(*[f"_{k}" for k in keys])
-    return with_text(joined.withColumn("triplet_repetition_ratio", 1 - c("num_unique_triplets") / c("num_triplets")))
+    out = out.withColumn("abstract_relation_ratio", c("_abstract") / c("num_triplets")).withColumn("age_refined", c("_f.age_refined"))
+    return with_text(out.withColumn("triplet_repetition_ratio", 1 - c("num_unique_triplets") / c("num_triplets")).drop("_f", "_abstract"))
 
 
 def abstract_concept_ratio(rows: DataFrame, keys: list[str], tokens: str) -> DataFrame:

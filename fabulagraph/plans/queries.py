@@ -50,7 +50,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return M.persona_stats(V.triplets(spark, d))
+    """The statistics, written once for plans that read them several times."""
+    return S.kept(M.persona_stats(V.triplets(spark, d)))
 
 
 def _words(n: list[str]) -> str:
@@ -65,7 +66,7 @@ _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
        " round(abstract_relation_ratio, 6) AS abstract_relation_ratio, round(triplets_per_100_tokens, 6) AS triplets_per_100_tokens FROM v_stats")
 def persona_stats(spark, d):
     names = "persona_id persona_text model_name regime num_triplets num_unique_triplets num_unique_subjects num_unique_objects num_unique_concepts num_unique_relations original_index age_refined persona_num_tokens".split()
-    return _stats(spark, d).select(*names, *[r6(x, x) for x in ("triplet_repetition_ratio", "abstract_relation_ratio", "triplets_per_100_tokens")])
+    return M.persona_stats(V.triplets(spark, d)).select(*names, *[r6(x, x) for x in ("triplet_repetition_ratio", "abstract_relation_ratio", "triplets_per_100_tokens")])
 
 
 @query(f"""SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_distinct(w)) / len(w) END, 6) AS lexical_ttr,
@@ -161,7 +162,7 @@ t{i} AS (SELECT sum(x * x * x - x) AS ties FROM (SELECT count(*)::DOUBLE AS x FR
     + " SELECT metric, groups, round(h, 6) AS H, round(exp(-h / 2) * (1 + h / 2), 9) AS p_value FROM (" + " UNION ALL ".join(
     f"SELECT '{m}' AS metric, groups, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM a{i}, t{i}" for i, m in enumerate(_TESTED)) + ")")
 def kruskal_p(spark, d):
-    stats = S.kept(_stats(spark, d))
+    stats = _stats(spark, d)
     rows = reduce(DataFrame.unionByName, [S.kruskal(stats, m) for m in _TESTED])
     return rows.select("metric", "groups", r6("H", "H"), F.round(S.chi2_tail(c("H"), c("groups") - 1), 9).alias("p_value"))
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,27 @@ def test_files(spark, tmp_path):
     t = files.triplets(spark, str(tmp_path / "*.csv"))
     assert t.first()["persona_text"] == 'a "b", c' and "Unnamed: 0" not in t.columns and t.first()["relation"] == "<NO_RELATION>"
     assert files.of_model(t, "X").count() == 1
+
+
+@pytest.mark.parametrize("most", [1 << 18, 7])
+def test_components_in_tasks_and_rounds(spark, most):
+    """Groups of all sizes, long paths, loops, nulls and clashing column names, with and without rounds."""
+    rng = random.Random(most)
+    rows = [(g, f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", "x") for g in range(6) for _ in range(rng.choice((1, 5, 30)))]
+    rows += [(9, f"p{i:03d}", f"p{i + 1:03d}", "y") for i in range(60)] + [(10, "a", "a", "z"), (11, None, "b", "z"), (None, "a", "b", "z")]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for g, a, b, _ in rows:
+        if g is not None and a is not None and b is not None:
+            x, y = sorted((top((g, a)), top((g, b))))
+            up[y] = x
+    want = sorted((g, n, top((g, n))[1]) for g, n in up)
+    edges = spark.createDataFrame(rows, "run_id int, src string, dst string, component string").repartition(3)
+    got = sorted(tuple(r) for r in components(edges, "run_id", most=most).select("run_id", "node", "component").collect())
+    assert got == want
+    assert components(edges.limit(0), "run_id", most=most).count() == 0
