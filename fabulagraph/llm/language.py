@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulagraph.llm.store import checkpoint, map_texts, written
+from fabulagraph.llm.store import checkpoint, map_texts, sent, written
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 400
@@ -204,7 +204,8 @@ def lowest(keys: DataFrame, group: str, by: Column, most: int) -> DataFrame:
     ranked, a few times ``most`` a group: a hot group isn't sorted as a whole.
     """
     c = F.col
-    sizes = keys.groupBy(c(group).alias("_g")).agg(F.count("*").alias("_n"))
+    keys = checkpoint(keys)
+    sizes = sent(keys.groupBy(c(group).alias("_g")).agg(F.count("*").alias("_n")))
     share = F.lit(4.0 * most + 64) / c("_n")
     low = keys.join(sizes, c(group) == c("_g")).where(F.pmod(by, F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(by, F.lit(1 << 30)), by))
@@ -219,7 +220,7 @@ def training_rows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -
     upto = F.sum("size").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chosen = lowest(keys, "lang", c("h"), docs_per_language).withColumn("upto", upto).where(c("upto") <= BYTES_PER_LANGUAGE)
     return (
-        rows.join(chosen.select("lang", "h", "doc_id"), ["lang", "doc_id"])
+        rows.join(sent(chosen.select("lang", "h", "doc_id")), ["lang", "doc_id"])
         .where(F.xxhash64("text") == c("h"))
         .select("lang", F.encode("text", "UTF-8").alias("text"))
         .dropDuplicates(["lang", "text"])

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from fabulagraph.llm import hashing
 from fabulagraph.llm.components import components
-from fabulagraph.llm.store import checkpoint, map_texts
+from fabulagraph.llm.store import checkpoint, map_texts, sent
 
 #: Fixed values of the contract.
 SHINGLE = 4
@@ -306,19 +306,13 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE, percent: int =
     return map_texts(met.drop("salt"), run, "a bigint, b bigint")
 
 
-#: Ids of candidate texts that are sent to every executor at most (8 MB).
-BROADCAST_ROWS = 1_000_000
-
-
 def _texts_of(wanted: DataFrame, named: DataFrame, docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """(node, text) of the wanted nodes: one document each, or those of one id where texts share it;
     what reads the texts leaves out the others."""
-    ids = named.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = checkpoint(ids)
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    some = ids.where("doc_id is not null")
+    ids = checkpoint(named.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    some = sent(ids.where("doc_id is not null"))
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    found = rows.join(F.broadcast(some) if few else some, "doc_id").select("node", "text")
+    found = rows.join(some, "doc_id").select("node", "text")
     lone = ids.where("doc_id is null").select("node")
     if lone.isEmpty():
         return found

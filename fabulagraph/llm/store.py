@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +37,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of a few numbers or short names that are sent to every executor at most (some 16 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def sent(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, computed once, and marked for broadcast if it has at most ``most`` rows."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulagraph.llm import hashing
-from fabulagraph.llm.store import checkpoint, map_texts, written
+from fabulagraph.llm.store import map_texts, sent, written
 
 LEAST = 50
 GRAM = 8
@@ -39,8 +39,6 @@ GRAM = 8
 ROWS = 1 << 14
 #: A map task names grams that it has seen so often, among so many.
 SEEN, AMONG = 16, 1 << 20
-#: Hot grams that are sent to every executor at most (16 MB).
-BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
 #: Words as they are, without folding.
@@ -255,9 +253,7 @@ def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, rows: int = R
     """(doc_id, first, end, partner): stretches of words that another document holds too."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     c = F.col
-    hot = checkpoint(hot_grams(docs, least, gram, rows))
-    few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = suffixes(docs, least, gram).join(F.broadcast(hot) if few else hot, "gram", "left")
+    kept = suffixes(docs, least, gram).join(sent(hot_grams(docs, least, gram, rows)), "gram", "left")
     part = F.when(c("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), c("parts"))).cast("int")
     kept = kept.select("gram", part.alias("part"), "around", "doc_id", "at", c("parts").isNotNull().alias("hot"))
     kept = kept.repartition("gram", "part").sortWithinPartitions("gram", "around", "doc_id", "at")
