@@ -1,4 +1,4 @@
-"""The place of a language model: ``Oracle``, a deterministic stub and a replay of stored answers (UDF-1..21)."""
+"""The place of a language model: ``Oracle``; a model behind a client; a deterministic stub; a replay of stored answers."""
 
 from __future__ import annotations
 
@@ -35,9 +35,11 @@ class StubOracle:
         if method == "scores":
             return {t: self._draw(4, t, given["text"]) for t in given["triplets"]}
         if method == "keep":
-            return [t for t in given["triplets"] if self._draw(8, t, given["text"]) != 0]
+            return [t for t in given["triplets"] if self._draw(3 if given.get("aggressive") else 8, t, given["text"]) != 0]
         if method == "label":
             return "relates_to"
+        if method == "attach":
+            return [(a, "relates_to", b) for a, b in given["pairs"] if self._draw(4, a, b, given["text"]) == 0]
         if method == "relevant":
             return [i for i, t in enumerate(given["triplets"]) if self._draw(3, t, given["text"]) == 0][:10]
         if method == "validate":
@@ -63,6 +65,93 @@ class ReplayOracle:
         return self.otherwise.ask(method, **given) if found is None else found
 
 
+class Client(Protocol):
+    """A model: one answer for each prompt, in their order (UDF-1, UDF-3)."""
+
+    def generate(self, prompts: list[str], temperature: float) -> list[str]: ...
+
+
+#: What is asked, what the answer should look like, and what stands for one that can't be read, by method (UDF-4..16).
+ASKED: dict[str, tuple[str, str, Any]] = {
+    "relationships": ("Which relations between these concepts does the sentence state or imply?", "a list of [subject, relation, object]", []),
+    "infer": ("Which concepts and properties would a reader infer for these concepts?", '{"concepts": [[subject, relation, object]], "properties": [...]}', {"concepts": [], "properties": []}),
+    "attach": ("For which of these pairs does the sentence suggest a relation?", "a list of [first, relation, second]", []),
+    "scores": ("How much does each relation still matter after this sentence, from 0 (not) to 3 (much)?", '{"scores": {relation: number}}', None),
+    "keep": ("Which of these relations does the story still need?", '{"to_keep": [relation]}', None),
+    "label": ("Which relation joins these two concepts?", '{"label": relation}', ""),
+    "relevant": ("Which of these numbered relations does the sentence bring back to mind?", "a list of numbers", []),
+    "validate": ("Does this relation follow from the sentence?", '{"valid": true or false, "corrected": [subject, relation, object] or null}', {"valid": True, "corrected": None}),
+    "pronouns": ("Whom or what do the pronouns of the sentence stand for?", "{pronoun: name}", {}),
+    "judge": ("Is this persona one of the category?", '{"label": "yes", "no" or "uncertain", "confidence": 0 to 100, "reason": text}', {"label": "uncertain", "confidence": 0, "reason": "unparsable"}),
+    "age": ("How old is this persona?", '{"age": number or null, "confidence": 0 to 100, "age_group": text}', {"age": None, "confidence": 0, "age_group": "unknown"}),
+}
+#: How freely a method's answers are drawn; others as a story is read.
+TEMPERATURES = {"judge": 0.0, "age": 0.3, "label": 0.3}
+TEMPERATURE = 0.8
+
+
+def prompt(method: str, given: dict[str, Any]) -> str:
+    """UDF-2: the question, who reads, what is given, and the form of the answer."""
+    question, form, _ = ASKED[method]
+    lines = [f"You read as this person: {given['persona']}"] if given.get("persona") and method not in ("judge", "age") else []
+    lines += [question] + (["Be strict: keep only what the story can't do without."] if given.get("aggressive") else [])
+    lines += [f"{name}: {json.dumps(value, ensure_ascii=False, default=str)}" for name, value in given.items() if name not in ("aggressive", "attempt") and not (name == "persona" and len(lines) > 1)]
+    return "\n".join([*lines, f"Answer with JSON alone: {form}."])
+
+
+def answer(method: str, text: str) -> Any:
+    """The payload after the last ``final``, between its outer brackets; the method's default if there is none of its kind."""
+    default = ASKED[method][2]
+    tail = (text or "").rsplit("final", 1)[-1]
+    wants_list = isinstance(default, list)
+    first, last = ("[", "]") if wants_list else ("{", "}")
+    a, b = tail.find(first), tail.rfind(last)
+    try:
+        found = json.loads(tail[a : b + 1]) if 0 <= a < b else None
+    except ValueError:
+        found = None
+    if wants_list:
+        return [tuple(x) if isinstance(x, list) else x for x in found if not isinstance(x, list) or len(x) == 3] if isinstance(found, list) else default
+    if not isinstance(found, dict):
+        return default
+    if method == "infer":
+        return {k: [tuple(x) for x in found.get(k) or [] if isinstance(x, list) and len(x) == 3] for k in ("concepts", "properties")}
+    if method in ("scores", "keep", "label"):
+        return found.get({"scores": "scores", "keep": "to_keep", "label": "label"}[method], default)
+    return {**default, **found}
+
+
+class ModelOracle:
+    """Asks a model's client, one prompt a question or many at once; what can't be read is the method's default."""
+
+    def __init__(self, client: Client, batch: int = 32):
+        self.client, self.batch = client, batch
+
+    def ask(self, method: str, **given: Any) -> Any:
+        found = self.ask_all(method, [given])[0]
+        if found is None and method == "keep":
+            return given["triplets"]  # no answer prunes nothing
+        if found is None and method == "scores":
+            raise ValueError("no scores")
+        return found
+
+    def ask_all(self, method: str, given: list[dict[str, Any]]) -> list[Any]:
+        """UDF-16, UDF-18: answers in order, ``batch`` prompts at a time; a batch that fails gives defaults."""
+        out: list[Any] = []
+        for at in range(0, len(given), self.batch):
+            some = [prompt(method, g) for g in given[at : at + self.batch]]
+            texts = retried(lambda p=some: self.client.generate(p, TEMPERATURES.get(method, TEMPERATURE)), default=[""] * len(some))
+            out += [answer(method, t) for t in texts]
+        return out
+
+
+def asked(model: Oracle, method: str, given: list[dict[str, Any]]) -> list[Any]:
+    """Many questions at once where the oracle can, else one by one, each retried."""
+    if hasattr(model, "ask_all"):
+        return model.ask_all(method, given)
+    return [retried(lambda g=g: model.ask(method, **g), default=ASKED[method][2]) for g in given]
+
+
 def retried(ask: Callable[[], Any], times: int = 3, default: Any = None) -> Any:
     """UDF-19: up to ``times`` tries, then the default."""
     for _ in range(times):
@@ -80,7 +169,7 @@ def judged(personas: DataFrame, oracle: Callable[[], Oracle] = StubOracle) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = oracle()
         for rows in batches:
-            got = [retried(lambda t=t: model.ask("judge", persona=t), default={"label": "uncertain", "confidence": 0, "reason": "unparsable"}) for t in rows["persona_text"]]
+            got = asked(model, "judge", [{"persona": t} for t in rows["persona_text"]])
             yield rows.assign(llm_label=[g["label"] for g in got], llm_confidence=[g["confidence"] for g in got], llm_reason=[g["reason"] for g in got])
 
     return personas.mapInPandas(run, schema)
@@ -93,7 +182,7 @@ def aged(personas: DataFrame, oracle: Callable[[], Oracle] = StubOracle) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = oracle()
         for rows in batches:
-            got = [retried(lambda t=t: model.ask("age", persona=t), default={"age": None, "confidence": 0, "age_group": "unknown"}) for t in rows["persona_text"]]
+            got = asked(model, "age", [{"persona": t} for t in rows["persona_text"]])
             yield rows.assign(age_asked=[g["age"] for g in got], age_confidence=[g["confidence"] for g in got], age_group=[g["age_group"] for g in got])
 
     return personas.mapInPandas(run, schema)

@@ -1,4 +1,4 @@
-"""Reading a story sentence by sentence into a concept graph (STR-1..33, GRA-8..31, JOIN-8..10, NLP-5..8).
+"""Reading a story sentence by sentence into a concept graph; each function names what it is of the inventory.
 
 ``Reader`` is the state machine of one run, a pure class over plain values, so that the
 batch plan and the streaming plan share it.  A run's state is a few hundred edges at most;
@@ -18,7 +18,9 @@ from fabulagraph.functions.oracle import Oracle, StubOracle
 from fabulagraph.functions.tagger import STOP, RuleTagger, Tagger, relations
 
 # fixed values: how long edges last, how far nodes carry over, and what bounds a sentence's additions
-VISIBILITY, REACH, NEW_PER_NODE, PRUNE_ABOVE, RELEVANT = 2, 2, 3, 5, 10
+VISIBILITY, REACH, NEW_PER_NODE, PRUNE_ABOVE = 2, 2, 3, 5
+#: Edges that pruning may keep at once, tries for a label, what a chain's last edge gains and its most.
+KEPT_MOST, TRIES, CHAIN_GAIN, CHAIN_MOST = 20, 2, 2, 5
 CONTROL = ("user", "system", "assistant")
 
 SCHEMA = (
@@ -258,10 +260,11 @@ class Reader:
                         count[s, kind] = count.get((s, kind), 0) + 1
         if first:
             return
-        lone = sorted(explicit - {x for e in self.live() for x in (e.src, e.dst)})
-        for n in lone[:RELEVANT]:  # JOIN-10
-            for other in sorted(self.s.carryover - {n})[:1]:
-                self.add(n, self.oracle.ask("label", a=n, b=other, text=text), other, explicit)
+        pairs = sorted({tuple(sorted((a, b))) for a in explicit for b in self.s.carryover if a != b})  # JOIN-10
+        wanted = set(pairs)
+        for a, r, b in self.oracle.ask("attach", pairs=pairs, text=text) if pairs else []:
+            if tuple(sorted((a, b))) in wanted:
+                self.add(a, r, b, explicit)
         asleep = [e for e in self.s.edges.values() if not e.active and not e.is_property]
         for i in self.oracle.ask("relevant", triplets=["|".join(e.key()) for e in asleep], text=text):  # STR-13
             if 0 <= i < len(asleep) and {asleep[i].src, asleep[i].dst} & explicit:
@@ -287,19 +290,41 @@ class Reader:
             else:
                 e.visibility = min(VISIBILITY, e.visibility + 1)
                 e.wake(e.visibility)
-        raised: set[str] = set()
-        for e in self.live():  # STR-10: the first live edge from an inferred node to one of the text
-            guessed = [n for n in (e.src, e.dst) if self.s.nodes[n]["inferred"]]
-            if len(guessed) == 1 and guessed[0] not in raised:
-                raised.add(guessed[0])
-                e.visibility = min(5, e.visibility + 2)
+        self._reinforce()
+
+    def _reinforce(self) -> None:
+        """STR-10: from each inferred node along live edges to the first node of the text; the path's last edge gains."""
+        links: dict[str, list[Edge]] = {}
+        for e in sorted(self.live(), key=lambda e: e.id):
+            links.setdefault(e.src, []).append(e)
+            links.setdefault(e.dst, []).append(e)
+        last: dict[int, Edge] = {}
+        for start in sorted(n for n in links if self.s.nodes[n]["inferred"]):
+            seen, queue, found = {start}, deque([start]), False
+            while queue and not found:
+                node = queue.popleft()
+                for e in links[node]:
+                    other = e.dst if e.src == node else e.src
+                    if other in seen:
+                        continue
+                    if not self.s.nodes[other]["inferred"]:
+                        last[e.id], found = e, True
+                        break
+                    seen.add(other)
+                    queue.append(other)
+        for e in last.values():
+            e.visibility = min(CHAIN_MOST, e.visibility + CHAIN_GAIN)
+            e.reactivated = e.reactivated or not e.is_property
 
     def _prune(self, text: str, explicit: set[str]) -> None:
         """STR-11."""
         live = self.live()
         if len(live) <= PRUNE_ABOVE:
             return
-        kept = set(self.oracle.ask("keep", triplets=["|".join(e.key()) for e in live], text=text))
+        names = ["|".join(e.key()) for e in live]
+        kept = set(self.oracle.ask("keep", triplets=names, text=text))
+        if len(kept) > KEPT_MOST:  # still too many: asked again, more strictly
+            kept = set(self.oracle.ask("keep", triplets=names, text=text, aggressive=True))
         bridges = _bridges(live)
         for e in live:
             if "|".join(e.key()) not in kept and e.made != self.s.sentence:
@@ -309,30 +334,78 @@ class Reader:
         """STR-20: explicit nodes and what is near them."""
         return _near(list(self.s.edges.values()), explicit, REACH)
 
+    # -- connectivity --------------------------------------------------------------------
+    def connected(self, explicit: set[str]) -> bool:
+        """GRA-14, GRA-28: the live graph and the explicit nodes are one part."""
+        return len(_parts(self.live(), explicit)) <= 1
+
+    def can_connect(self, required: set[str]) -> bool:
+        """GRA-17: all edges, live or not, join the required nodes."""
+        return sum(bool(part & required) for part in _parts(list(self.s.edges.values()), required)) <= 1
+
     def _repair(self, explicit: set[str], text: str) -> None:
-        """GRA-16, GRA-21, GRA-23: joins the parts of the live graph, first by old edges."""
-        for _ in range(2):
-            live = self.live()
-            parts = _parts(live, explicit)
-            if len(parts) <= 1:
+        """GRA-18, GRA-21, GRA-22: step by step, until the live graph is connected."""
+        for step in (self.wake_all, self.wake_paths, self.ask_labels, self.relate):
+            if self.connected(explicit):
                 return
-            part_of = {n: i for i, part in enumerate(parts) for n in part}
-            old: dict[int, Edge] = {}
+            step(explicit, text)
+
+    def wake_all(self, explicit: set[str], text: str = "") -> None:
+        """GRA-19: if nothing is live, what is visible wakes."""
+        if not self.live():
             for e in self.s.edges.values():
-                a, b = part_of.get(e.src), part_of.get(e.dst)
-                if not e.active and a is not None and b is not None and a != b and 0 in (a, b):
-                    k = max(a, b)
-                    old[k] = min((old.get(k, e), e), key=lambda x: x.key())
-            degree: dict[str, int] = {}
-            for e in live:
-                for n in (e.src, e.dst):
-                    degree[n] = degree.get(n, 0) + 1
-            anchor = min(parts[0], key=lambda n: (-degree.get(n, 0), n))
-            for k, part in enumerate(parts[1:], 1):
-                if k in old:
-                    old[k].wake(1)
-                elif part & explicit:
-                    self.add(min(part & explicit), "relates_to", anchor, explicit, free=True)
+                if e.visibility > 0:
+                    e.wake(e.visibility)
+
+    def wake_paths(self, required: set[str], text: str = "") -> None:
+        """GRA-16, GRA-20: of every other part, the shortest path over all edges to the largest part wakes."""
+        links: dict[str, list[tuple[str, Edge]]] = {}
+        for e in sorted(self.s.edges.values(), key=lambda e: e.id):
+            links.setdefault(e.src, []).append((e.dst, e))
+            links.setdefault(e.dst, []).append((e.src, e))
+        parts = _parts(self.live(), required)
+        main = set(parts[0]) if parts else set()
+        for part in parts[1:]:
+            came: dict[str, tuple[str, Edge] | None] = {n: None for n in sorted(part)}
+            queue, end = deque(came), None
+            while queue and end is None:
+                node = queue.popleft()
+                for other, e in links.get(node, ()):
+                    if other not in came:
+                        came[other] = (node, e)
+                        if other in main:
+                            end = other
+                            break
+                        queue.append(other)
+            while end is not None and came[end] is not None:
+                end, e = came[end]
+                if not e.active:
+                    e.wake(1)
+
+    def _anchored(self, explicit: set[str]) -> tuple[list[str], str]:
+        """The first explicit node of every part but the largest, and the largest part's node of most live edges."""
+        parts = _parts(self.live(), explicit)
+        degree: dict[str, int] = {}
+        for e in self.live():
+            for n in (e.src, e.dst):
+                degree[n] = degree.get(n, 0) + 1
+        anchor = min(parts[0], key=lambda n: (-degree.get(n, 0), n))
+        return [min(part & explicit) for part in parts[1:] if part & explicit], anchor
+
+    def ask_labels(self, explicit: set[str], text: str) -> None:
+        """GRA-26, GRA-27, GRA-29: edges to the anchor with a label that is asked for, twice at most."""
+        apart, anchor = self._anchored(explicit)
+        for n in apart:
+            for attempt in range(TRIES):
+                label = self.oracle.ask("label", a=n, b=anchor, text=text, attempt=attempt)
+                if label and self.add(n, label, anchor, explicit, free=True):
+                    break
+
+    def relate(self, explicit: set[str], text: str = "") -> None:
+        """GRA-23: what no label was found for relates to the anchor."""
+        apart, anchor = self._anchored(explicit)
+        for n in apart:
+            self.add(n, "relates_to", anchor, explicit, free=True)
 
     def _lost(self, explicit: set[str]) -> bool:
         return not explicit or (len(explicit) == 1 and not any(explicit & {e.src, e.dst} for e in self.live()))

@@ -1,6 +1,6 @@
 import pandas as pd
 
-from fabulagraph.functions.oracle import ReplayOracle, StubOracle, prompt_hash
+from fabulagraph.functions.oracle import ModelOracle, ReplayOracle, StubOracle, prompt_hash
 from fabulagraph.functions.tagger import RuleTagger, relations
 from fabulagraph.plans.story import Reader, read_stories, sentences_of
 from fabulagraph.streaming.story_stream import read_stream, windowed_counts
@@ -82,3 +82,101 @@ def test_runs_without_output(spark):
     got = read_stories(rows)
     assert {r.run_id for r in got.select("run_id").distinct().collect()} == {"c"}
     assert read_stories(rows.limit(0)).count() == 0
+
+
+def reader(edges, nodes="abcdef", inferred="", oracle=None):
+    """A reader whose graph has the (source, target, active) edges."""
+    r = Reader("x", oracle=oracle)
+    r.s.nodes = {n: {"kind": "CONCEPT", "said": [], "inferred": n in inferred} for n in nodes}
+    for src, dst, active in edges:
+        e = r.add(src, "to", dst, set(), free=True)
+        e.active, e.asserted = active, False
+        e.visibility = 1 if active else 0
+    return r
+
+
+def live(r):
+    return {(e.src, e.dst) for e in r.live()}
+
+
+def test_paths_wake_before_labels_are_asked():
+    r = reader([("a", "b", True), ("b", "c", False), ("c", "d", False), ("d", "e", True), ("a", "f", False), ("f", "e", False), ("b", "f", True)])
+    assert not r.connected({"a", "e"}) and r.can_connect({"a", "e"})
+    r.wake_paths({"a", "e"})
+    assert r.connected({"a", "e"}) and live(r) == {("a", "b"), ("d", "e"), ("b", "f"), ("f", "e")}
+
+
+def test_labels_are_asked_twice_then_related():
+    class Shy(StubOracle):
+        asked = 0
+
+        def ask(self, method, **given):
+            if method == "label":
+                Shy.asked += 1
+                return "meets" if given["a"] == "d" and given["attempt"] else ""
+            return super().ask(method, **given)
+
+    r = reader([("a", "b", True), ("a", "c", True), ("d", "e", True)], oracle=Shy())
+    assert not r.can_connect({"a", "d"})
+    r._repair({"a", "d", "f"}, "text")
+    assert r.connected({"a", "d", "f"}) and Shy.asked == 4
+    assert {(e.src, e.label, e.dst) for e in r.live()} >= {("d", "meets", "a"), ("f", "relates_to", "a")}
+
+
+def test_all_that_is_visible_wakes_in_a_dead_graph():
+    r = reader([("a", "b", False), ("c", "d", False)])
+    r.s.edges[0].visibility = 1
+    r.wake_all(set())
+    assert live(r) == {("a", "b")}
+
+
+def test_the_last_edge_of_a_chain_gains():
+    r = reader([("c", "b", True), ("b", "a", True), ("c", "d", True), ("a", "e", True), ("f", "f2", True)], nodes=["a", "b", "c", "d", "e", "f", "f2"], inferred=["a", "b", "c", "f"])
+    r._reinforce()
+    got = {(e.src, e.dst): e.visibility for e in r.s.edges.values()}
+    assert got == {("c", "b"): 1, ("b", "a"): 1, ("c", "d"): 3, ("a", "e"): 3, ("f", "f2"): 3}
+    r._reinforce()
+    r._reinforce()
+    assert max(e.visibility for e in r.s.edges.values()) == 5
+
+
+def test_pruning_asks_again_when_too_much_is_kept():
+    class Keeper(StubOracle):
+        calls = []
+
+        def ask(self, method, **given):
+            if method == "keep":
+                Keeper.calls.append(given.get("aggressive", False))
+                return given["triplets"][:2] if given.get("aggressive") else given["triplets"]
+            return super().ask(method, **given)
+
+    names = [f"n{i}" for i in range(30)]
+    r = reader([(a, b, True) for a, b in zip(names, names[1:])] + [("n0", "n29", True)], nodes=names, oracle=Keeper())
+    r.s.sentence = 5
+    r._prune("text", set())
+    assert Keeper.calls == [False, True] and len(r.live()) == 2
+
+
+def test_a_model_behind_a_client():
+    class Client:
+        prompts = []
+
+        def generate(self, prompts, temperature):
+            Client.prompts += [(p, temperature) for p in prompts]
+            if any("boom" in p for p in prompts):
+                raise RuntimeError("down")
+            return [
+                'thinking [1] final [["a", "sees", "b"], ["x"]]' if "state or imply" in p else '{"label": "yes", "confidence": 90}' if "category" in p
+                else '{"label": "guards"}' if "joins" in p else '{"scores": {"t": 1}}' if "matter" in p else "no payload" for p in prompts
+            ]
+
+    m = ModelOracle(Client(), batch=2)
+    assert m.ask("relationships", nodes=["a", "b"], text="t", persona="a pupil") == [("a", "sees", "b")]
+    assert "a pupil" in Client.prompts[0][0].split("\n")[0] and Client.prompts[0][1] == 0.8
+    assert m.ask("label", a="a", b="b", text="t") == "guards" and m.ask("scores", triplets=["t"], text="x") == {"t": 1}
+    assert m.ask("pronouns", sentence="He", context=[]) == {} and m.ask("keep", triplets=["t"], text="x") == ["t"]
+    got = m.ask_all("judge", [{"persona": p} for p in ("x", "y", "boom", "z")])
+    assert [g["label"] for g in got] == ["yes", "yes", "uncertain", "uncertain"] and got[0]["reason"] == "unparsable"
+    assert m.ask("validate", triplet=("a", "b", "c"), text="t") == {"valid": True, "corrected": None}
+    r = Reader("x", oracle=m)
+    assert r.read("A knight rode through the forest.") and r.read("The knight saw a dragon.")
