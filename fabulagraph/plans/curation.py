@@ -45,7 +45,7 @@ def trimmed_stats(triplets: DataFrame, run: str = "run_id") -> dict[str, DataFra
     stats = M.persona_stats(triplets)
     owner = triplets.groupBy("persona_text").agg(F.min(run).alias(run))
     graph = M.graph_metrics(triplets.select(run, c("subject").alias("src"), c("object").alias("dst")), run)
-    stats = stats.join(owner, "persona_text").join(graph, run, "left")
+    stats = S.kept(stats.join(owner, "persona_text").join(graph, run, "left"))
     trimmed = S.quantile_trim(stats, L.TRIMMED, *L.TRIM_QUANTILES)
     return {
         "stats": stats, "trimmed": trimmed, "clean": S.iqr_cap(trimmed, L.CAPPED, L.IQR_FACTOR), "removed": R.resume(stats.select("persona_id"), trimmed, ["persona_id"]),

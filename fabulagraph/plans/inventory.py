@@ -6,19 +6,25 @@ size choose among the forms that an operator tells apart.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabulagraph.functions import gates as K
 from fabulagraph.functions import lexicon as L
 from fabulagraph.functions import text as T
+from fabulagraph.functions.oracle import aged, judged
 from fabulagraph.functions.tagger import node_type
 from fabulagraph.operators import graph as G
 from fabulagraph.operators import metrics as M
 from fabulagraph.operators import stats as S
 from fabulagraph.operators import tables as R
+from fabulagraph.operators.lineage import folder
 from fabulagraph.plans import views as V
-from fabulagraph.plans.queries import _ENDS, _PERSONAS, _STATED, _any_sql, _personas, _stats, _words, query, r6
+from fabulagraph.plans.queries import _ENDS, _PERSONAS, _QUOTED, _STATED, _any_sql, _draw_sql, _personas, _stats, _words, query, r6
+from fabulagraph.plans.story import sentences_of
+from fabulagraph.sources import files
 
 c = F.col
 
@@ -624,3 +630,99 @@ def missing_columns(spark, d):
     rows = _part(spark, d)
     assert R.require(rows, {"no such"}, "skip") is None and R.require(rows, {"p_size"}, "raise") is rows
     return R.require(rows, {"no such"}, "empty").agg(F.count("*").alias("n"))
+
+
+# -- files, in the shared folder ---------------------------------------------------------------
+
+def _folder(spark) -> str:
+    return f"{folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _as_files(rows: DataFrame, at: str, stem: str) -> None:
+    """Writes CSV files of the name ``stem`` and a number."""
+    rows.write.mode("append").option("header", True).csv(f"{at}/_{stem}")
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(f"{at}/_{stem}")
+    fs = source.getFileSystem(conf)
+    for i, status in enumerate(x for x in fs.listStatus(source) if x.getPath().getName().startswith("part-")):
+        fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{at}/{stem}_{i}.csv"))
+    fs.delete(source, True)
+
+
+@query("SELECT p_partkey AS idx, p_name || ', \"' || p_type || '\"' || chr(10) || 'x' AS persona_text, CASE WHEN p_size % 3 <> 0 THEN p_size::DOUBLE END AS age, 'part' AS source_config FROM part")
+def persona_files(spark, d):
+    """SRC-1, SRC-5: quotes, commas and line ends in a field, an age that is no number, and ``persona`` for ``persona_text``."""
+    rows, at = _part(spark, d), _folder(spark)
+    text = F.concat(c("p_name"), F.lit(', "'), c("p_type"), F.lit('"\nx'))
+    age = F.when(c("p_size") % 3 == 0, "unknown").otherwise(c("p_size").cast("string"))
+    rows.select(c("p_partkey").alias("idx"), text.alias("persona"), age.alias("age")).write.option("header", True).option("escape", '"').csv(at)
+    return files.tagged_union({"part": files.personas(spark, at)}).select("idx", "persona_text", "age", "source_config")
+
+
+@query(f"""WITH {V.V_TRIPLETS} SELECT 'Alpha' AS model, 'primary' AS regime, count(*) AS n, count(relation) AS n_relations FROM v_triplets WHERE regime IN ('BUILDING', 'MACHINERY')
+UNION ALL SELECT 'Alpha', 'University', count(*), count(relation) FROM v_triplets WHERE regime NOT IN ('BUILDING', 'MACHINERY')""")
+def triplet_files(spark, d):
+    """SRC-2, SRC-3, SRC-4, SRC-11, SRC-12: files by the names of a model and a regime, others aside, merged into a table."""
+    t, at, out = V.triplets(spark, d).drop("run_id", "active", "edge_id"), _folder(spark), _folder(spark)
+    early = c("regime").isin("BUILDING", "MACHINERY")
+    _as_files(t.where(early), at, "model_Alpha_final_triplets_primary")
+    _as_files(t.where(~early), at, "model_Alpha_final_triplets_University")
+    _as_files(t.where(early), at, "model_beta_final_triplets_primary")
+    _as_files(t.where(early), at, "model_Alpha_draft_triplets_primary")
+    rows = files.of_model(files.triplets(spark, f"{at}/*.csv"), "alpha")
+    files.merge_chunks(rows.withColumn("source_file", F.replace("source_file", F.lit("_final"), F.lit(""))), out)
+    merged = spark.read.parquet(out)
+    return merged.groupBy("model", c("file_regime").alias("regime")).agg(F.count("*").alias("n"), F.count("relation").alias("n_relations")).select(
+        "model", F.when(F.lower("regime") == "university", "University").otherwise(c("regime")).alias("regime"), "n", "n_relations"
+    )
+
+
+@query(f"WITH {V.V_STATS} SELECT persona_id, num_triplets, num_unique_concepts FROM v_stats")
+def stats_of_files(spark, d):
+    """AGG-37: statistics of triplet files, whose regime is the name's."""
+    at = _folder(spark)
+    _as_files(V.triplets(spark, d).drop("run_id", "active", "edge_id"), at, "model_m_triplets_primary")
+    return files.persona_stats_of_files(spark, f"{at}/*.csv").select("persona_id", "num_triplets", "num_unique_concepts")
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def appended_rows(spark, d):
+    """SRC-16..20: batches that overlap, and one that is written again, leave each row once."""
+    rows, at = _part(spark, d).select("p_partkey", "p_name", "p_size"), _folder(spark)
+    sink = files.idempotent_sink(at, ["p_partkey"])
+    first, second = rows.where("p_size <= 30").drop("p_size"), rows.where("p_size > 20").drop("p_size")
+    for i, batch in enumerate((first, second, second)):
+        sink(batch, i)
+    return spark.read.parquet(at)
+
+
+@query("SELECT 'clean' AS kind, count(*) AS n FROM part WHERE p_size < 10 UNION ALL SELECT 'removed', count(*) FROM part WHERE p_size >= 20 UNION ALL SELECT 'trimmed', count(*) FROM part WHERE p_size < 20")
+def saved_outputs(spark, d):
+    """SRC-14: the three tables of a run; a second run takes the place of the first."""
+    rows, at = _part(spark, d), _folder(spark)
+    for _ in range(2):
+        files.save_outputs(rows.where("p_size < 20"), rows.where("p_size < 10"), rows.where("p_size >= 20"), at)
+    out = [spark.read.parquet(f"{at}/{k}").agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k in ("clean", "removed", "trimmed")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(r"""SELECT run_id, pos - 1 AS sentence_index, md5(s[pos]) AS text FROM (SELECT *, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT conv_id || '-' || turn AS run_id,
+list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM conversations))""")
+def story_sentences(spark, d):
+    """SRC-8: stories split after the ends of sentences."""
+    t = V.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("story_id"), "text")
+    return sentences_of(t).select("run_id", c("sentence_index").cast("long").alias("sentence_index"), F.md5("text").alias("text"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN d < 60 THEN 'yes' WHEN d < 90 THEN 'no' ELSE 'uncertain' END AS llm_label, 100 - d // 2 AS llm_confidence FROM (SELECT *, {_draw_sql(100, _QUOTED)} AS d FROM ({_PERSONAS}))")
+def judged_personas(spark, d):
+    """UDF-15, UDF-16, with the stub."""
+    p = _personas(spark, d).select("p_partkey", c("text").alias("persona_text"))
+    return judged(p).select("p_partkey", "llm_label", "llm_confidence")
+
+
+@query(f"SELECT p_partkey, (5 + {_draw_sql(14, _QUOTED)})::INT AS age_asked, (50 + {_draw_sql(50, _QUOTED, "'1'")})::INT AS age_confidence FROM ({_PERSONAS})")
+def aged_personas(spark, d):
+    """UDF-17, UDF-18, UDF-21, with the stub."""
+    p = _personas(spark, d).select("p_partkey", c("text").alias("persona_text"))
+    return aged(p).select("p_partkey", "age_asked", "age_confidence")

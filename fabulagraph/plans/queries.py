@@ -569,15 +569,34 @@ def tagged_words(spark, d):
     return s.select("run_id", "sentence_index", content_words(c("tokens")).alias("content"), nouns(c("tokens")).alias("nouns"))
 
 
-@query()
+def _draw_sql(n: int, *parts: str) -> str:
+    """What the stub draws from 0 to n - 1 for texts without quotes: of the digest of the parts as a tuple."""
+    return "(('0x' || substr(sha1('(' || " + " || ', ' || ".join(parts) + (" || ',)'" if len(parts) == 1 else " || ')'") + f"), 1, 8))::BIGINT % {n})"
+
+
+_QUOTED = "chr(39) || text || chr(39)"
+
+
+@query(f"""SELECT p_partkey AS idx, 'part::' || p_partkey AS persona_id, age, 'yes' AS llm_label, 100 - d // 2 AS llm_confidence FROM (SELECT *, {_draw_sql(100, _QUOTED)} AS d,
+coalesce({_STATED}, CASE {" ".join(f"WHEN {_any_sql(ps)} THEN {a}" for ps, a in [((p,), a) for p, a in L.PHRASE_AGES] + L.SCHOOL_AGES)} END) AS age FROM ({_PERSONAS}))
+WHERE contains(lower(text), 'high school') AND NOT {_any_sql(L.EXCLUDE["highschool"])} AND age >= 14 AND age < 18 AND NOT {_any_sql(["university", "college", "degree"])} AND d < 60 AND 100 - d // 2 >= {L.MIN_CONFIDENCE}""")
 def curated_personas(spark, d):
     p = _personas(spark, d).select(F.lit("part").alias("source_config"), c("p_partkey").alias("idx"), c("text").alias("persona_text"))
-    return curate(p, "highschool", ["high school"])
+    return curate(p, "highschool", ["high school"]).select("idx", "persona_id", "age", "llm_label", "llm_confidence")
 
 
-@query()
+_CAP = "least({m}, (SELECT quantile_cont({m}, 0.75) + 1.5 * (quantile_cont({m}, 0.75) - quantile_cont({m}, 0.25)) FROM t))"
+
+
+@query(f"""WITH {V.V_STATS}, e AS (SELECT run_id, subject AS src, object AS dst FROM v_triplets), b AS (SELECT DISTINCT run_id, src AS node, dst AS near FROM e UNION SELECT run_id, dst, src FROM e),
+g AS (SELECT run_id, node, count(*) AS d FROM b GROUP BY ALL), n AS (SELECT run_id, count(*) AS graph_num_nodes, avg(d) AS graph_avg_degree FROM g GROUP BY 1), m AS (SELECT run_id, count(*) AS graph_num_edges FROM e GROUP BY 1),
+o AS (SELECT persona_text, min(run_id) AS run_id FROM v_triplets GROUP BY 1), s AS (SELECT v.*, graph_num_nodes, graph_num_edges, graph_avg_degree,
+CASE WHEN graph_num_nodes > 1 THEN 2 * graph_num_edges / (graph_num_nodes * (graph_num_nodes - 1)) ELSE 0.0 END AS graph_density FROM v_stats v JOIN o USING (persona_text) JOIN n USING (run_id) JOIN m USING (run_id)),
+t AS (SELECT * FROM s WHERE {" AND ".join(f"{m} BETWEEN (SELECT quantile_cont({m}, 0.05) FROM s) AND (SELECT quantile_cont({m}, 0.95) FROM s)" for m in L.TRIMMED)})
+SELECT persona_id, num_triplets, graph_num_nodes, graph_num_edges, {", ".join(f"round({_CAP.format(m=m)}::DOUBLE, 6) AS {m}" for m in L.CAPPED)} FROM t""")
 def trimmed_stats(spark, d):
-    return trim_plan(V.triplets(spark, d))["clean"]
+    clean = trim_plan(V.triplets(spark, d))["clean"]
+    return clean.select("persona_id", "num_triplets", "graph_num_nodes", "graph_num_edges", *[r6(m, m) for m in L.CAPPED])
 
 
 @query(f"SELECT run_id, sentence_index, array_to_string(list_distinct(w), ' ') <> '' AS some, len(list_distinct(w))::INT AS n FROM (SELECT conv_id::VARCHAR AS run_id, turn::INT AS sentence_index, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations)")

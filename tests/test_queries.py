@@ -49,8 +49,6 @@ HOLDS = {
     "bootstrap_ci": lambda rows: len(rows) == 5 and all(r.low <= r.high for r in rows),
     "story_graph": lambda rows: "error" not in _values(rows, "kind") and {"sentence", "activation", "final"} <= set(_values(rows, "kind")) and all(0 <= r.score <= 5 for r in rows if r.score is not None),
     "tagged_words": lambda rows: all(r.nouns == sorted(set(r.nouns)) and len(r.content) == len(set(r.content)) for r in rows) and any(r.nouns for r in rows),
-    "curated_personas": lambda rows: rows and all(r.llm_label == "yes" and r.llm_confidence >= 80 and 14 <= r.age < 18 for r in rows),
-    "trimmed_stats": lambda rows: rows and len({r.persona_id for r in rows}) == len(rows),
 }
 
 
