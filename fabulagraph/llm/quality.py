@@ -51,28 +51,36 @@ def _repeat_words(w: Column) -> Column:
 
         return let(ranked, lambda s: let(starts(s), covered))
 
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+
     def counted(w: Column) -> Column:
-        hashes = F.transform(spans(w), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        return F.when(
-            (F.size(w) <= WINDOW), F.lit(0)
-        ).otherwise(F.when(F.size(F.array_distinct(hashes)) == F.size(w) - (WINDOW - 1), F.lit(0)).otherwise(exact(w)))
+        # words are hashed once, and windows by the hashes of their words
+        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), windows)
+        once = let(hashes, lambda x: F.size(F.array_distinct(x)) == F.size(x))
+        return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(F.when(once, F.lit(0)).otherwise(exact(w)))
 
     return let(w, counted).cast("long")
 
 
 def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The measurements of each row, in one projection."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    w = words(F.col(text))
+    c = F.col
+    t = F.coalesce(c(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(without(x, SPACE)) > 0)
-    return docs.select(
-        *keep,
-        F.size(w).cast("long").alias("n_words"),
-        F.length(without(t, SPACE)).cast("long").alias("word_chars"),
+    rows = docs.select(
+        *keep, words(c(text)).alias("_words"), lines.alias("_lines"), F.length(without(t, SPACE)).cast("long").alias("word_chars"),
         (F.length(t) - F.length(without(t, SYMBOLS))).cast("long").alias("n_symbols"),
-        F.size(lines).cast("long").alias("n_lines"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(w).alias("n_repeat_words"),
+    )
+    # words and lines are read several times, so they are columns of their own
+    return rows.select(
+        *keep,
+        F.size("_words").cast("long").alias("n_words"),
+        "word_chars",
+        "n_symbols",
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        _repeat_words(c("_words")).alias("n_repeat_words"),
     )
 
 
