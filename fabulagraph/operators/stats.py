@@ -16,6 +16,37 @@ def _quantile(x: str, q: float) -> Column:
     return F.percentile(x, F.lit(q))
 
 
+def running(values: DataFrame, keys: list[str], x: str, n: str) -> DataFrame:
+    """Adds ``before``, the sum of ``n`` over rows of the same keys and lesser ``x``, and ``total``, that over all rows of the keys.
+
+    Range partitions are summed first, and windows hold a partition's rows of a key: a group, and the
+    table as a whole, may be of any size.  Keys may be null.
+    """
+    c = F.col
+    parts = cut(values.repartitionByRange(*keys, x).withColumn("_p", F.spark_partition_id()))
+    sums = parts.groupBy(*keys, "_p").agg(F.sum(n).alias("_s"))  # a row per partition and key
+    whole = Window.partitionBy(*keys)
+    ahead = F.coalesce(F.sum("_s").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[c(k).alias(f"_{k}") for k in keys], c("_p").alias("_q"), ahead.alias("_ahead"), F.sum("_s").over(whole).alias("total"))
+    inside = F.sum(n).over(Window.partitionBy(*keys, "_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+    same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_{k}")) for k in keys], c("_p") == c("_q"))
+    out = parts.withColumn("_in", F.coalesce(inside, F.lit(0))).join(sums, same)
+    return out.withColumn("before", c("_ahead") + c("_in")).drop("_in", "_ahead", "_p", "_q", *[f"_{k}" for k in keys])
+
+
+def quantiles(stats: DataFrame, metrics: list[str], at: list[float]) -> DataFrame:
+    """One row of ``{metric}`` arrays: the metrics' quantiles, interpolated, from running counts of their distinct values."""
+    c = F.col
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c(m).cast("double").alias("x")) for m in metrics])).alias("v")
+    values = stats.select(each).select("v.*").where("x is not null").groupBy("metric", "x").agg(F.count("*").alias("n"))
+    placed = running(values, ["metric"], "x", "n")
+    place = lambda q: (c("total") - 1) * F.lit(float(q))
+    found = placed.groupBy("metric").agg(F.first(c("total")).alias("total"), *[
+        F.min(F.when(c("before") + c("n") > f(place(q)), c("x"))).alias(f"{k}{i}") for i, q in enumerate(at) for k, f in (("lo", F.floor), ("hi", F.ceil))])
+    value = [c(f"lo{i}") + (c(f"hi{i}") - c(f"lo{i}")) * (place(q) - F.floor(place(q))) for i, q in enumerate(at)]
+    return found.select("metric", F.array(*value).alias("q")).groupBy().agg(*[F.max(F.when(c("metric") == m, c("q"))).alias(m) for m in metrics])
+
+
 def regime_summary(stats: DataFrame, metrics: list[str], group: str = "regime", digits: int = 3) -> DataFrame:
     """AGG-9, AGG-10, SET-5, JOIN-2: rows (stat, group, n, metrics); null groups are left out.
 
@@ -35,7 +66,7 @@ def regime_summary(stats: DataFrame, metrics: list[str], group: str = "regime",
 def quantile_trim(stats: DataFrame, metrics: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """AGG-11: rows inside the quantiles of every metric, all taken from the untrimmed rows; nulls fall out."""
     c = F.col
-    bounds = stats.agg(*[F.percentile(m, F.array(F.lit(low), F.lit(high))).alias(f"_{m}") for m in metrics]).withColumn("_one", F.lit(1))
+    bounds = quantiles(stats, metrics, [low, high]).withColumnsRenamed({m: f"_{m}" for m in metrics}).withColumn("_one", F.lit(1))
     inside = [c(m).between(F.get(c(f"_{m}"), F.lit(0)), F.get(c(f"_{m}"), F.lit(1))) for m in metrics]
     joined = stats.withColumn("_one", F.lit(1)).join(F.broadcast(bounds), "_one")  # one row
     return joined.where(reduce(lambda a, b: a & b, inside)).select(*stats.columns)
@@ -44,7 +75,7 @@ def quantile_trim(stats: DataFrame, metrics: list[str], low: float = 0.05, high:
 def iqr_cap(stats: DataFrame, metrics: list[str], k: float = 1.5) -> DataFrame:
     """AGG-12: values above the third quartile plus k times the range come down to it."""
     c = F.col
-    quarters = stats.agg(*[F.percentile(m, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{m}") for m in metrics]).withColumn("_one", F.lit(1))
+    quarters = quantiles(stats, metrics, [0.25, 0.75]).withColumnsRenamed({m: f"_{m}" for m in metrics}).withColumn("_one", F.lit(1))
     q = lambda m, i: F.get(c(f"_{m}"), F.lit(i))
     capped = {m: F.when(c(m).isNotNull(), F.least(c(m).cast("double"), q(m, 1) + k * (q(m, 1) - q(m, 0)))) for m in metrics}
     return stats.withColumn("_one", F.lit(1)).join(F.broadcast(quarters), "_one").withColumns(capped).select(*stats.columns)  # one row
@@ -67,13 +98,12 @@ def winsorize(stats: DataFrame, group: str, metric: str, k: float = 1.5, least:
 def average_ranks(rows: DataFrame, x: str, alias: str) -> DataFrame:
     """Adds the average rank of ``x`` over all rows.
 
-    Ranks are sums over the distinct values: a value's rows share one rank, and only the
-    table of distinct values is put in order.
+    Ranks are running counts of the distinct values: a value's rows share one rank, and only the
+    table of distinct values is put in order, in range partitions.
     """
     c = F.col
-    values = rows.groupBy(x).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select(c(x).alias("_x"), (before + (c("_n") + 1) / 2).alias(alias))
+    values = running(rows.groupBy(x).agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1)), ["_one"], x, "_n")
+    ranks = values.select(c(x).alias("_x"), (c("before") + (c("_n") + 1) / 2).alias(alias))
     return rows.join(ranks, c(x) == c("_x")).drop("_x")
 
 
@@ -197,20 +227,14 @@ def regime_zscores(stats: DataFrame, metrics: list[str], group: str = "regime")
 def ecdf(stats: DataFrame, metric: str, group: str = "regime", order: str = "persona_id") -> DataFrame:
     """WIN-1, WIN-2: (group, x, y); equal values rise one by one.
 
-    A value's first place is a sum over the distinct values before it; rows of the value are
-    numbered from there, so a window never holds more than the rows of one value.
+    Places are running counts by value and ``order`` in range partitions, so neither a group nor the rows of
+    one value meet in a window.
     """
     c = F.col
-    rows = stats.where(c(metric).isNotNull()).select(group, c(metric).alias("x"), order)
-    values = rows.groupBy(group, "x").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group).orderBy("x")
-    values = values.select(
-        c(group).alias("_g"), c("x").alias("_x"),
-        F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("n").over(Window.partitionBy(group)).alias("total"),
-    )
-    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy(group, "x").orderBy(order)))
-    return placed.join(values, c(group).eqNullSafe(c("_g")) & (c("x") == c("_x"))).select(group, "x", ((c("before") + c("i")) / c("total")).alias("y"))
+    rows = stats.where(c(metric).isNotNull()).select(c(group).alias("_group"), F.struct(c(metric).alias("x"), c(order).alias("o")).alias("_at"))
+    places = running(rows.groupBy("_group", "_at").agg(F.count("*").alias("_n")), ["_group"], "_at", "_n")
+    each = places.withColumn("i", F.explode(F.sequence(F.lit(1), c("_n"))))
+    return each.select(c("_group").alias(group), c("_at.x").alias("x"), ((c("before") + c("i")) / c("total")).alias("y"))
 
 
 def box_summary(stats: DataFrame, metric: str, group: str = "regime", log: bool = False) -> DataFrame:
