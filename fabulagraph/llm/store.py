@@ -31,10 +31,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again; the files stay as those of a checkpoint do."""
+    """``df`` written as Parquet in the shared folder and read again; ``removed`` deletes its files."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of what ``written`` gave, when nothing reads them any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(conf).delete(path, True)
 
 
 #: Rows of a few numbers or short names that are sent to every executor at most (some 16 MB).
