@@ -23,13 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabulagraph.llm import decontaminate, language, mixing, ngram_join, secrets
-from fabulagraph.llm.store import checkpoint, table, written
+from fabulagraph.llm.store import checkpoint, removed, sent, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Of ids of documents that go, at most so many are sent to every executor (8 MB).
-BROADCAST_ROWS = 1_000_000
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS)
@@ -44,9 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     copies = checkpoint(groups.where("doc_id <> first.doc_id or node <> first.node").select("doc_id", "node").distinct())
     again = checkpoint(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     # ids that stand on one row name it; rows of the other ids are judged one by one
-    gone = copies.select("doc_id").union(again).distinct()
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = rows.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = sent(copies.select("doc_id").union(again).distinct())
+    kept = rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     if again.isEmpty():
         return kept
     rest = ngram_join.nodes(rows.join(again, "doc_id", "left_semi"), keep=COLUMNS[1:]).join(copies, ["doc_id", "node"], "left_anti")
@@ -86,10 +82,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each written to the shared folder and read again by the next."""
+    """The stages one after another, each written to the shared folder and read again by the next; what the
+    stage before it wrote is deleted then."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs)
+            if before is not None:
+                removed(before)
+            before = docs
     return docs
