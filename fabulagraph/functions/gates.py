@@ -161,6 +161,16 @@ def relation_verdict(subject: Column, label: Column, object_: Column) -> Column:
     return out.otherwise(F.struct(F.lit("accept").alias("action"), F.lit("relation").alias("reason")))
 
 
+def said(tokens: Column, subject: Column, label: Column, object_: Column) -> Column:
+    """FIL-31: the sentence has the subject, after it the label's verb, and after that the object, as lemmas."""
+    lemmas = F.transform(tokens, lambda t: t["lemma"])
+    after = lambda xs, at: F.slice(xs, at + 1, F.size(xs))
+    i = F.array_position(lemmas, subject).cast("int")
+    rest = after(lemmas, i)
+    j = F.array_position(rest, F.split_part(label, F.lit("_"), F.lit(1))).cast("int")
+    return F.coalesce((i > 0) & (j > 0) & F.array_contains(after(rest, j), object_), F.lit(False))
+
+
 def sequence_ratio(a: Column, b: Column) -> Column:
     """SCA-40, SCA-41: the similarity ratio of matching blocks, which no built-in gives; in Arrow batches."""
 

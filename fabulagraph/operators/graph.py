@@ -247,8 +247,9 @@ def by_score(nodes: DataFrame, most: int, text_only: bool = False) -> DataFrame:
     return kept.where("source = 'TEXT_BASED'") if text_only else kept
 
 
-def node_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """WIN-13: additive score of (run_id, node, source, active): active degree, kind, ties to the text, activity, centrality."""
+def node_scores(nodes: DataFrame, edges: DataFrame, critical: DataFrame | None = None) -> DataFrame:
+    """WIN-13: additive score of (run_id, node, source, active): active degree, kind, ties to the text, activity, centrality;
+    infinite for ``critical`` nodes (run_id, node), as ``cut_points`` gives them."""
     c = F.col
     ends = edges.where("active").select(RUN, F.explode(F.array(F.struct(c("src").alias("node"), c("dst").alias("near")), F.struct(c("dst").alias("node"), c("src").alias("near")))).alias("e"))
     ends = ends.select(RUN, "e.*").join(nodes.select(RUN, c("node").alias("near"), (c("source") == "TEXT_BASED").alias("text")), [RUN, "near"], "left")
@@ -257,7 +258,11 @@ def node_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     joined = nodes.join(degree, [RUN, "node"], "left").join(size, RUN, "left").na.fill(0, ["n", "tied", "d"])
     inferred = c("source") == "INFERENCE_BASED"
     score = 3 * c("n") + F.when(inferred, 20).otherwise(5) + F.when(inferred & (c("tied") == 1), 15).otherwise(0) + F.when(c("active"), 8).otherwise(0)
-    return joined.select(RUN, "node", "source", "active", (score + F.when(c("size") > 1, 5 * c("d") / (c("size") - 1)).otherwise(0.0)).alias("score"))
+    out = joined.select(RUN, "node", "source", "active", (score + F.when(c("size") > 1, 5 * c("d") / (c("size") - 1)).otherwise(0.0)).alias("score"))
+    if critical is None:
+        return out
+    marked = out.join(critical.select(RUN, "node").distinct().withColumn("_cut", F.lit(True)), [RUN, "node"], "left")
+    return marked.withColumn("score", F.when(c("_cut"), F.lit(float("inf"))).otherwise(c("score"))).drop("_cut")
 
 
 def removal_candidates(scores: DataFrame, most: int) -> DataFrame:

@@ -387,6 +387,16 @@ def abstract_concepts(spark, d):
     return M.abstract_concept_ratio(_tagged(spark, d), ["p_type"], "t").select("p_type", "n", r6("abstract_concept_ratio", "ratio"))
 
 
+@query(f"SELECT p_partkey, p_size % 5 = 0 AND p_size % 2 = 0 AS said FROM {_TAGGED}")
+def said_relations(spark, d):
+    """FIL-31: the adjective before a verb of its own is said, other orders and labels aren't."""
+    lemma = lambda x: _token(x, x, F.lit("X"))
+    toks = F.when(c("p_size") % 5 == 0, F.array(lemma(c("a")), lemma(F.lit("meet")), lemma(F.lit("with")), lemma(F.concat(c("b"), F.lit("_")))))
+    toks = F.coalesce(toks, F.array(lemma(F.lit("meet")), lemma(c("a")), lemma(F.concat(c("b"), F.lit("_")))))
+    label = F.when(c("p_size") % 2 == 0, "meet_with").otherwise("see")
+    return _tagged(spark, d).select("p_partkey", K.said(toks, c("a"), label, F.concat(c("b"), F.lit("_"))).alias("said"))
+
+
 # -- graphs --------------------------------------------------------------------------------
 
 def _edges(spark, d) -> DataFrame:
@@ -433,6 +443,20 @@ def _marked(spark, d) -> DataFrame:
     return deg.withColumn("source", F.when(F.substring("node", 2, 9).cast("int") % 2 == 0, "TEXT_BASED").otherwise("INFERENCE_BASED"))
 
 
+@query(f"""{_MARKED}, g AS (SELECT run_id, node, count(*) AS n FROM v_ends WHERE active GROUP BY ALL), a AS (SELECT run_id, src AS node, dst AS near FROM v_edges WHERE active UNION SELECT run_id, dst, src FROM v_edges WHERE active),
+d AS (SELECT run_id, node, count(*) AS d, max((substr(near, 2)::INT % 2 = 0)::INT) AS tied FROM a GROUP BY ALL), z AS (SELECT run_id, count(*) AS size FROM d GROUP BY 1)
+SELECT k.run_id, k.node, CASE WHEN k.node = 'n1' THEN 'critical' ELSE round((3 * coalesce(n, 0) + CASE WHEN source = 'TEXT_BASED' THEN 5 ELSE 20 + 15 * coalesce(tied, 0) END + CASE WHEN n > 0 THEN 8 ELSE 0 END
++ CASE WHEN coalesce(size, 0) > 1 THEN 5 * coalesce(d, 0) / (size - 1) ELSE 0 END)::DOUBLE, 4)::DECIMAL(12, 4)::VARCHAR END AS score FROM k LEFT JOIN g USING (run_id, node) LEFT JOIN d USING (run_id, node) LEFT JOIN z ON z.run_id = k.run_id""")
+def inferred_scores(spark, d):
+    """WIN-13 with inferred and critical nodes."""
+    e = _edges(spark, d)
+    on = G.endpoints(e.where("active")).withColumn("active", F.lit(True))
+    nodes = _marked(spark, d).join(on, ["run_id", "node"], "left").select("run_id", "node", "source", F.coalesce("active", F.lit(False)).alias("active"))
+    scores = G.node_scores(nodes, e, nodes.where("node = 'n1'"))
+    shown = F.when(c("score") == float("inf"), "critical").otherwise(F.round("score", 4).cast("decimal(12,4)").cast("string"))
+    return scores.select("run_id", "node", shown.alias("score"))
+
+
 @query(f"{_MARKED} SELECT run_id, node FROM k WHERE score <= 3 AND source = 'TEXT_BASED'")
 def scored_nodes(spark, d):
     """GRA-7."""
