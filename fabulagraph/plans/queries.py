@@ -376,12 +376,13 @@ def cap_per_node(spark, d):
 _BAD = "(" + " OR ".join("contains({x}, '" + t + "')" for t in L.CONTROL_TOKENS) + ")"
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN NOT {_BAD.format(x='s')} THEN s WHEN NOT {_BAD.format(x='o')} THEN o ELSE 'UNKNOWN' END AS s, CASE WHEN {_BAD.format(x='r')} OR r = '' THEN 'related_to' ELSE r END AS r
-FROM (SELECT conv_id, turn, trim(role) AS s, trim(text) AS r, trim(text) AS o FROM (SELECT conv_id, turn, role, regexp_replace(text, '\\s', '_', 'g') AS text FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL))""")
+@query(f"""SELECT conv_id, turn, s, r, md5(CASE WHEN NOT {_BAD.format(x='o')} THEN o WHEN NOT {_BAD.format(x='s')} THEN s ELSE 'UNKNOWN' END) AS o FROM
+(SELECT conv_id, turn, CASE WHEN NOT {_BAD.format(x='s')} THEN s WHEN NOT {_BAD.format(x='o')} THEN o ELSE 'UNKNOWN' END AS s, CASE WHEN {_BAD.format(x='r')} OR r = '' THEN 'related_to' ELSE r END AS r, o
+FROM (SELECT conv_id, turn, trim(role) AS s, trim(text) AS r, trim(text) AS o FROM (SELECT conv_id, turn, role, regexp_replace(text, '\\s', '_', 'g') AS text FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)))""")
 def repair_triplets(spark, d):
     t = V.table(spark, d, "conversations").where("text is not null and role is not null").withColumn("text", F.regexp_replace("text", r"\s", "_"))
     fixed = T.repaired(c("role"), c("text"), c("text"))
-    return t.select("conv_id", "turn", fixed.alias("x")).select("conv_id", "turn", "x.s", "x.r")
+    return t.select("conv_id", "turn", fixed.alias("x")).select("conv_id", "turn", "x.s", "x.r", F.md5("x.o").alias("o"))
 
 
 _LABELS = "SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g')) AS t FROM conversations"
@@ -599,10 +600,10 @@ def trimmed_stats(spark, d):
     return clean.select("persona_id", "num_triplets", "graph_num_nodes", "graph_num_edges", *[r6(m, m) for m in L.CAPPED])
 
 
-@query(f"SELECT run_id, sentence_index, array_to_string(list_distinct(w), ' ') <> '' AS some, len(list_distinct(w))::INT AS n FROM (SELECT conv_id::VARCHAR AS run_id, turn::INT AS sentence_index, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations)")
+@query(f"SELECT run_id, sentence_index, md5(array_to_string(list_sort(list_distinct(w)), ' ')) AS words, len(list_distinct(w))::INT AS n FROM (SELECT conv_id::VARCHAR AS run_id, turn::INT AS sentence_index, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations)")
 def sentence_lemmas(spark, d):
     s = _sentences(spark, d).select("run_id", "sentence_index", T.sentence_lemmas(F.lower("text")).alias("w"))
-    return s.select("run_id", "sentence_index", (F.size("w") > 0).alias("some"), F.size("w").alias("n"))
+    return s.select("run_id", "sentence_index", F.md5(F.array_join(F.array_sort("w"), " ")).alias("words"), F.size("w").alias("n"))
 
 
 _ENDS = "v_ends AS (SELECT run_id, src AS node, active, edge_id FROM v_edges UNION ALL SELECT run_id, dst, active, edge_id FROM v_edges)"
@@ -666,9 +667,12 @@ def edge_listing(spark, d):
     return G.edge_listing(V.edges(spark, d)).select("run_id", F.md5("edges").alias("listing"))
 
 
-@query(f"WITH {V.V_TRIPLETS} SELECT run_id, sentence_index, count(DISTINCT (subject, relation, object))::INT AS n FROM v_triplets GROUP BY ALL")
+@query(f"""WITH {V.V_TRIPLETS}, t AS (SELECT DISTINCT run_id, sentence_index, subject, relation, object FROM v_triplets), n AS (SELECT run_id, sentence_index, subject AS node FROM t UNION SELECT run_id, sentence_index, object FROM t)
+SELECT x.run_id, x.sentence_index, x.triplets, y.nodes FROM (SELECT run_id, sentence_index, md5(string_agg(concat_ws('|', subject, relation, object), ';' ORDER BY concat_ws('|', subject, relation, object))) AS triplets FROM t GROUP BY ALL) x
+JOIN (SELECT run_id, sentence_index, md5(string_agg(node, ';' ORDER BY node)) AS nodes FROM n GROUP BY ALL) y USING (run_id, sentence_index)""")
 def state_snapshots(spark, d):
-    return G.snapshots(V.triplets(spark, d)).select("run_id", "sentence_index", F.size("triplets").alias("n"))
+    shown = F.array_sort(F.transform("triplets", lambda t: F.concat_ws("|", t["subject"], t["relation"], t["object"])))
+    return G.snapshots(V.triplets(spark, d)).select("run_id", "sentence_index", F.md5(F.array_join(shown, ";")).alias("triplets"), F.md5(F.array_join("nodes", ";")).alias("nodes"))
 
 
 @query(f"""WITH {V.V_TRIPLETS} SELECT run_id, regime, md5(string_agg(subject, '; ' ORDER BY edge_id, subject)) AS subjects FROM v_triplets GROUP BY ALL""")
@@ -677,9 +681,10 @@ def ordered_strings(spark, d):
     return o.select("run_id", "regime", F.md5("subjects").alias("subjects"))
 
 
-@query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS max FROM events")
+@query("SELECT count(value) AS n, count(DISTINCT value) AS n_distinct, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1,"
+       " round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS max FROM events")
 def value_profile(spark, d):
-    return R.profile(V.table(spark, d, "events"), "value").select("n", r6("mean", "mean"), r6("median", "median"), r6("max", "max"))
+    return R.profile(V.table(spark, d, "events"), "value").select("n", "n_distinct", *[r6(x, x) for x in ("mean", "std", "min", "q1", "median", "q3", "max")])
 
 
 @query(f"WITH {V.V_STATS}, k AS (SELECT regime FROM v_stats GROUP BY 1 HAVING count(*) >= 20) SELECT persona_id FROM v_stats WHERE regime IN (SELECT regime FROM k)")
