@@ -27,10 +27,37 @@ _CLOSED = {
     "ADV": "very soon suddenly completely then there here now again always often last".split(),
 }
 _POS = {w: p for p, ws in _CLOSED.items() for w in ws}
-_LEMMAS = {"is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "being": "be", "am": "be", "has": "have", "had": "have", "does": "do", "did": "do",
-           "rode": "ride", "fought": "fight", "freed": "free", "knights": "knight", "men": "man", "children": "child"}
-_VERBS = "ride rode appear want fight fought kill free marry hurry go went come came see saw say said make made take took find found give gave think know like love".split()
-_ADJECTIVES = "young old big small good bad beautiful unfamiliar thankful happy sad great new red black white long short".split()
+#: Common irregular forms, each with its lemma.
+_LEMMAS = dict(
+    pair.split(":") for pair in (
+        "is:be are:be was:be were:be been:be being:be am:be has:have had:have does:do did:do done:do went:go gone:go came:come saw:see seen:see "
+        "said:say made:make took:take taken:take found:find gave:give given:give thought:think knew:know known:know rode:ride ridden:ride fought:fight "
+        "freed:free ran:run began:begin begun:begin brought:bring bought:buy built:build caught:catch chose:choose chosen:choose drew:draw drank:drink drove:drive "
+        "ate:eat eaten:eat fell:fall fallen:fall felt:feel flew:fly forgot:forget got:get grew:grow grown:grow heard:hear held:hold hid:hide hidden:hide kept:keep "
+        "led:lead left:leave lent:lend lost:lose meant:mean met:meet paid:pay rose:rise sang:sing sat:sit sent:send shook:shake shone:shine slept:sleep sold:sell "
+        "spoke:speak spoken:speak spent:spend stood:stand stole:steal stolen:steal swam:swim taught:teach told:tell threw:throw understood:understand woke:wake "
+        "won:win wore:wear wrote:write written:write broke:break broken:break men:man women:woman children:child feet:foot teeth:tooth mice:mouse geese:goose "
+        "people:person knights:knight wives:wife lives:life knives:knife leaves:leaf wolves:wolf"
+    ).split()
+)
+_VERBS = frozenset(
+    (
+        "ride appear want fight kill free marry hurry go come see say make take find give think know like love run walk talk look use work call try ask need feel become "
+        "leave put mean keep let begin seem help show hear play move live believe bring happen write sit stand lose pay meet include continue set learn change lead "
+        "understand watch follow stop create speak read spend grow open win teach offer remember consider buy serve die send build stay fall cut reach remain suggest "
+        "raise pass sell require report decide pull carry break thank receive join sing throw catch choose draw drink drive eat fly forget get hide hold sleep steal "
+        "swim tell wake wear answer arrive climb cook cry dance dream fear hate hope jump laugh listen promise save search share smile study travel visit wait wash wish"
+    ).split()
+) | {w for w, lemma in _LEMMAS.items() if w not in _POS and lemma not in "man woman child foot tooth mouse goose person knight wife life knife leaf wolf".split()}
+_ADJECTIVES = frozenset(
+    (
+        "young old big small good bad beautiful unfamiliar thankful happy sad great new red black white long short other first own same high low large little different "
+        "important early hard easy strong weak true false open late full empty special clear certain free sure whole real best better only single poor rich warm cold hot "
+        "wild dark light deep wide narrow quick slow loud quiet soft rough smooth sweet bitter sour clean dirty dry wet brave afraid angry calm proud shy kind cruel wise "
+        "clever smart stupid honest gentle lazy tired hungry thirsty sick healthy safe dangerous blue green yellow brown grey gray pink purple golden silver wooden tall "
+        "thin thick heavy round square flat straight sharp ancient modern common rare famous local foreign distant near far gifted curious"
+    ).split()
+)
 STOP = frozenset(w for ws in _CLOSED.values() for w in ws)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?]")
 
