@@ -218,10 +218,15 @@ def verdict(pairs: DataFrame, most: float = 0.05) -> DataFrame:
 
 
 def regime_zscores(stats: DataFrame, metrics: list[str], group: str = "regime") -> DataFrame:
-    """AGG-19: medians by group, standardised over the groups."""
+    """AGG-19: medians by group, standardised over the groups; NaN where all groups have the same median."""
     whole = Window.partitionBy()
     medians = stats.groupBy(group).agg(*[_quantile(m, 0.5).alias(m) for m in metrics])  # a row per regime
-    return medians.select(group, *[((F.col(m) - F.avg(m).over(whole)) / F.stddev_pop(m).over(whole)).alias(m) for m in metrics])
+
+    def score(m: str) -> Column:
+        spread = F.stddev_pop(m).over(whole)
+        return F.when(spread == 0, F.lit(float("nan"))).otherwise((F.col(m) - F.avg(m).over(whole)) / spread).alias(m)
+
+    return medians.select(group, *[score(m) for m in metrics])
 
 
 def ecdf(stats: DataFrame, metric: str, group: str = "regime", order: str = "persona_id") -> DataFrame:

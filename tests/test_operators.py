@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -120,3 +121,10 @@ def test_components_in_tasks_and_rounds(spark, most):
     got = sorted(tuple(r) for r in components(edges, "run_id", most=most).select("run_id", "node", "component").collect())
     assert got == want
     assert components(edges.limit(0), "run_id", most=most).count() == 0
+
+
+def test_zscores_of_equal_medians_are_nan(spark):
+    rows = [(g, 3, x) for g, x in (("a", 1), ("b", 2), ("c", 3))]
+    got = {r.regime: (r.same, r.other) for r in S.regime_zscores(spark.createDataFrame(rows, "regime string, same int, other int"), ["same", "other"]).collect()}
+    assert all(math.isnan(same) for same, _ in got.values())
+    assert {g: round(x, 6) for g, (_, x) in got.items()} == {"a": -1.224745, "b": 0.0, "c": 1.224745}
