@@ -19,11 +19,45 @@ def prompt_hash(method: str, given: dict[str, Any]) -> str:
     return hashlib.sha1(json.dumps([method, given], sort_keys=True, default=str).encode()).hexdigest()
 
 
+def _first(data: bytes) -> int:
+    return int.from_bytes(hashlib.sha1(data).digest()[:4], "big")
+
+
+def _number(text: str) -> int:
+    return _first(text.encode())
+
+
 class StubOracle:
-    """A pure function of what it is asked: batch, streaming and repeated runs agree."""
+    """A pure function of what it is asked: batch, streaming and repeated runs agree.
+
+    The text's part of what is hashed is written once a question, and draws of triplets under one text are kept until the next.
+    """
+
+    def __init__(self) -> None:
+        self._text: Any = None
+        self._tail, self._drawn = "", {}
 
     def _draw(self, n: int, *parts: Any) -> int:
-        return int(hashlib.sha1(repr(parts).encode()).hexdigest()[:8], 16) % n
+        return _number(repr(parts)) % n
+
+    def _under(self, text: Any) -> str:
+        """The end of the tuples that ``text`` closes, as ``repr`` writes them."""
+        if text != self._text or not self._tail:
+            self._text, self._tail, self._drawn = text, f", {text!r})", {}
+        return self._tail
+
+    def _triplets(self, triplets: list[str], text: Any) -> list[int]:
+        """What is drawn of each triplet and the text, before the remainder is taken."""
+        tail, drawn = self._under(text), self._drawn
+        for t in triplets:
+            if t not in drawn:
+                drawn[t] = _number(f"({t!r}{tail}")
+        return [drawn[t] for t in triplets]
+
+    def _pairs(self, pairs: list[tuple[str, str]], text: Any) -> list[int]:
+        tail = self._under(text).encode()
+        names = {x: repr(x).encode() for x in {x for pair in pairs for x in pair}}
+        return [_first(b"(%b, %b%b" % (names[a], names[b], tail)) for a, b in pairs]
 
     def ask(self, method: str, **given: Any) -> Any:
         if method == "relationships":
@@ -33,15 +67,16 @@ class StubOracle:
             nodes = given["nodes"]
             return {"concepts": [], "properties": [(n, "is", "notable") for n in nodes if self._draw(5, n, given["text"]) == 0]}
         if method == "scores":
-            return {t: self._draw(4, t, given["text"]) for t in given["triplets"]}
+            return {t: d % 4 for t, d in zip(given["triplets"], self._triplets(given["triplets"], given["text"]))}
         if method == "keep":
-            return [t for t in given["triplets"] if self._draw(3 if given.get("aggressive") else 8, t, given["text"]) != 0]
+            n = 3 if given.get("aggressive") else 8
+            return [t for t, d in zip(given["triplets"], self._triplets(given["triplets"], given["text"])) if d % n]
         if method == "label":
             return "relates_to"
         if method == "attach":
-            return [(a, "relates_to", b) for a, b in given["pairs"] if self._draw(4, a, b, given["text"]) == 0]
+            return [(a, "relates_to", b) for (a, b), d in zip(given["pairs"], self._pairs(given["pairs"], given["text"])) if d % 4 == 0]
         if method == "relevant":
-            return [i for i, t in enumerate(given["triplets"]) if self._draw(3, t, given["text"]) == 0][:10]
+            return [i for i, d in enumerate(self._triplets(given["triplets"], given["text"])) if d % 3 == 0][:10]
         if method == "validate":
             return {"valid": True, "corrected": None}
         if method == "pronouns":

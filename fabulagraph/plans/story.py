@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fabulagraph.functions.oracle import Oracle, StubOracle
@@ -91,15 +92,11 @@ def _near(edges: list[Edge], sources: set[str], most: int, above: int = 0) -> di
         if e.active and e.visibility > above:
             links.setdefault(e.src, set()).add(e.dst)
             links.setdefault(e.dst, set()).add(e.src)
-    found = {s: 0 for s in sources}
-    queue = deque(sorted(sources))
-    while queue:
-        node = queue.popleft()
-        if found[node] < most:
-            for other in sorted(links.get(node, ())):
-                if other not in found:
-                    found[other] = found[node] + 1
-                    queue.append(other)
+    found = dict.fromkeys(sources, 0)
+    level = set(sources)
+    for far in range(1, most + 1):
+        level = set().union(*[links[n] for n in level if n in links]).difference(found)
+        found.update(dict.fromkeys(level, far))
     return found
 
 
@@ -123,10 +120,11 @@ def _parts(edges: list[Edge], nodes: set[str]) -> list[set[str]]:
 
 def _bridges(edges: list[Edge]) -> set[frozenset[str]]:
     """GRA-30, GRA-31: pairs of nodes that nothing but their own edges joins, by one depth-first search."""
-    links: dict[str, list[str]] = {}
-    for a, b in sorted({(min(e.src, e.dst), max(e.src, e.dst)) for e in edges if e.src != e.dst}):
-        links.setdefault(a, []).append(b)
-        links.setdefault(b, []).append(a)
+    links: dict[str, set[str]] = {}
+    for e in edges:
+        if e.src != e.dst:
+            links.setdefault(e.src, set()).add(e.dst)
+            links.setdefault(e.dst, set()).add(e.src)
     seen: dict[str, int] = {}
     low: dict[str, int] = {}
     found: set[frozenset[str]] = set()
@@ -155,6 +153,15 @@ def _bridges(edges: list[Edge]) -> set[frozenset[str]]:
     return found
 
 
+def _nameable(lemma: str) -> bool:
+    return len(lemma) >= 2 and lemma not in STOP and lemma.replace("'", "").isalpha()
+
+
+@cache
+def _negated(label: str) -> bool:
+    return not {"not", "no", "never", "neither", "nor", "without"}.isdisjoint(label.split("_"))
+
+
 class Reader:
     def __init__(self, run_id: str, tagger: Tagger | None = None, oracle: Oracle | None = None, state: State | None = None, persona: str = ""):
         self.run_id, self.tag, self.oracle, self.persona = run_id, tagger or RuleTagger(), oracle or StubOracle(), persona
@@ -168,7 +175,7 @@ class Reader:
 
     def node(self, lemma: str, kind: str, explicit: bool) -> bool:
         """GRA-8, FIL-24: makes or meets a node; too short, stop words and names with other signs are refused."""
-        if len(lemma) < 2 or lemma in STOP or not lemma.replace("'", "").isalpha():
+        if not _nameable(lemma):
             return False
         n = self.s.nodes.setdefault(lemma, {"kind": kind, "said": [], "inferred": not explicit})
         if kind == "PROPERTY":
@@ -182,7 +189,7 @@ class Reader:
         """GRA-9, GRA-12: the order of refusals, then refresh, replace or insert."""
         if src == dst or not label or label == dst or src not in self.s.nodes or dst not in self.s.nodes:
             return None
-        if set(label.split("_")) & {"not", "no", "never", "neither", "nor", "without"}:
+        if _negated(label):
             return None
         if not free and self.reached and not (src in self.reached or dst in self.reached):
             return None
@@ -191,7 +198,7 @@ class Reader:
                 e = self.s.edges[i]
                 if e.label == label:
                     e.touch()
-                    self.reached |= {src, dst}
+                    self.reached.update((src, dst))
                     return e
                 self.s.pairs[src, dst].remove(i)
                 del self.s.edges[i]
@@ -201,7 +208,7 @@ class Reader:
         self.s.edges[e.id] = e
         self.s.pairs.setdefault((src, dst), []).append(e.id)
         self.s.introduced.setdefault(e.key(), self.s.sentence)
-        self.reached |= {src, dst}
+        self.reached.update((src, dst))
         return e
 
     # -- a sentence ----------------------------------------------------------------------
@@ -209,12 +216,13 @@ class Reader:
         """STR-1 for one sentence: what it emits.  A sentence that a control word opens is skipped."""
         if (text or "").lower().startswith(CONTROL):
             return []
-        before, carried = self.s.copied(), set(self.s.carryover)
         self.s.sentence += 1
+        toks = self.tag(text)
+        said = {t.lemma for t in toks if t.pos in ("NOUN", "PROPN", "ADJ") and _nameable(t.lemma)}
+        before, carried = self.s.copied() if len(said) <= 1 else None, set(self.s.carryover)  # others are never lost
         for e in self.s.edges.values():  # STR-2, STR-6
             e.asserted = e.reactivated = False
             e.active = e.active and e.visibility > 0
-        toks = self.tag(text)
         explicit = {t.lemma for t in toks if t.pos in ("NOUN", "PROPN") and self.node(t.lemma, "CONCEPT", True)}
         explicit |= {t.lemma for t in toks if t.pos == "ADJ" and self.node(t.lemma, "PROPERTY", True)}
         first = self.s.sentence == 1
@@ -225,7 +233,6 @@ class Reader:
             self._prune(text, explicit)
         for e in self.s.edges.values():  # STR-14: edges that show nothing
             e.active = e.active and e.visibility > 0
-        view = self._view(explicit)
         self._repair(explicit, text)
         view = self._view(explicit)
         if self._lost(explicit):  # STR-21, STR-22
@@ -260,10 +267,9 @@ class Reader:
                         count[s, kind] = count.get((s, kind), 0) + 1
         if first:
             return
-        pairs = sorted({tuple(sorted((a, b))) for a in explicit for b in self.s.carryover if a != b})  # JOIN-10
-        wanted = set(pairs)
-        for a, r, b in self.oracle.ask("attach", pairs=pairs, text=text) if pairs else []:
-            if tuple(sorted((a, b))) in wanted:
+        wanted = {(a, b) if a < b else (b, a) for a in explicit for b in self.s.carryover if a != b}  # JOIN-10
+        for a, r, b in self.oracle.ask("attach", pairs=sorted(wanted), text=text) if wanted else []:
+            if ((a, b) if a < b else (b, a)) in wanted:
                 self.add(a, r, b, explicit)
         asleep = [e for e in self.s.edges.values() if not e.active and not e.is_property]
         for i in self.oracle.ask("relevant", triplets=["|".join(e.key()) for e in asleep], text=text):  # STR-13
@@ -273,14 +279,15 @@ class Reader:
     def _fade(self, text: str, explicit: set[str]) -> None:
         """STR-8, STR-9, STR-12: scored decay; bridges are spared."""
         old = [e for e in self.s.edges.values() if e.made != self.s.sentence and not e.asserted and not e.reactivated]
+        names = ["|".join(e.key()) for e in old]
         try:
-            scores = self.oracle.ask("scores", triplets=["|".join(e.key()) for e in old], text=text)
+            scores = self.oracle.ask("scores", triplets=names, text=text)
         except Exception:  # noqa: BLE001  no answer: all lose one
             scores = None
         bridges = _bridges(self.live())
         spared = {e.id for e in old if frozenset((e.src, e.dst)) in bridges}
-        for e in old:
-            score = 2 if scores is None else max(0, min(3, int(scores.get("|".join(e.key()), 2))))
+        for e, name in zip(old, names):
+            score = 2 if scores is None else max(0, min(3, int(scores.get(name, 2))))
             if scores is None or score == 2:
                 e.fade()
             elif score == 0:
@@ -326,8 +333,8 @@ class Reader:
         if len(kept) > KEPT_MOST:  # still too many: asked again, more strictly
             kept = set(self.oracle.ask("keep", triplets=names, text=text, aggressive=True))
         bridges = _bridges(live)
-        for e in live:
-            if "|".join(e.key()) not in kept and e.made != self.s.sentence:
+        for e, name in zip(live, names):
+            if name not in kept and e.made != self.s.sentence:
                 e.fade(1 if {e.src, e.dst} & explicit or frozenset((e.src, e.dst)) in bridges else e.visibility)
 
     def _view(self, explicit: set[str]) -> dict[str, int]:
@@ -418,7 +425,11 @@ class Reader:
     def _triplets(self, explicit: set[str]) -> list[tuple]:
         """STR-29."""
         shown = explicit | {x for e in self.live() for x in (e.src, e.dst)}
-        return [self._row("sentence", e) for e in sorted(self.s.edges.values(), key=lambda e: e.id) if e.src in shown and e.dst in shown]
+        run, at, since = self.run_id, self.s.sentence, self.s.introduced
+        return [
+            (run, at, "sentence", e.src, e.label, e.dst, since.get((e.src, e.label, e.dst), -1), e.active, None, None)
+            for e in sorted(self.s.edges.values(), key=lambda e: e.id) if e.src in shown and e.dst in shown
+        ]
 
     def _activations(self, explicit: set[str]) -> list[tuple]:
         """STR-18: nodes by distance, labels half a point below their higher end."""
@@ -436,28 +447,38 @@ class Reader:
         return [self._row("final", e) for e in sorted(self.live(), key=lambda e: e.id)]
 
 
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+_ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (x.split() for x in SCHEMA.split(", "))])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """What a sentence emits, by column: a run's output is many times its text."""
+    columns = zip(*rows) if rows else [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
 def read_stories(sentences: DataFrame, tagger: Callable[[], Tagger] = RuleTagger, oracle: Callable[[], Oracle] = StubOracle) -> DataFrame:
     """STR-1, STR-33 in batch: ``sentences`` is (run_id string, sentence_index int, text string).
 
     A run's failure is a row of kind ``error``; other runs go on.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        reader = Reader(key[0], tagger(), oracle())
-        out: list[tuple] = []
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        run_id = key[0].as_py()
+        reader = Reader(run_id, tagger(), oracle())
+        out: list[pa.RecordBatch] = []
         try:
-            for text in rows.sort_values("sentence_index")["text"]:
-                out += reader.read(text or "")
-            out += reader.finish()
+            for text in rows.sort_by("sentence_index").column("text").to_pylist():
+                out.append(_batch(reader.read(text or "")))
+            out.append(_batch(reader.finish()))
         except Exception as error:  # noqa: BLE001  reported as a row
-            out.append((key[0], reader.s.sentence, "error", None, None, None, None, None, repr(error)[:200], None))
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-        return frame.astype({"introduced_at": "Int32", "active": "boolean", "score": "float64"})
+            out.append(_batch([(run_id, reader.s.sentence, "error", None, None, None, None, None, repr(error)[:200], None)]))
+        return pa.Table.from_batches(out, _ARROW)
 
     # texts are small and reading them is slow: a given number of partitions isn't merged by their bytes
     spark = sentences.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return sentences.repartition(n, "run_id").groupBy("run_id").applyInPandas(run, SCHEMA)
+    return sentences.repartition(n, "run_id").groupBy("run_id").applyInArrow(run, SCHEMA)
 
 
 def resolved(sentences: list[str], oracle: Oracle, context: int = 5) -> list[str]:

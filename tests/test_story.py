@@ -1,8 +1,10 @@
+import hashlib
+
 import pandas as pd
 
 from fabulagraph.functions.oracle import ModelOracle, ReplayOracle, StubOracle, prompt_hash
 from fabulagraph.functions.tagger import RuleTagger, relations
-from fabulagraph.plans.story import Reader, read_stories, sentences_of
+from fabulagraph.plans.story import Reader, State, read_stories, sentences_of
 from fabulagraph.streaming.story_stream import read_stream, windowed_counts
 
 TEXT = "A young knight rode through the forest. The knight saw a dragon. The dragon was kidnapping a beautiful princess. The knight killed the dragon."
@@ -180,3 +182,33 @@ def test_a_model_behind_a_client():
     assert m.ask("validate", triplet=("a", "b", "c"), text="t") == {"valid": True, "corrected": None}
     r = Reader("x", oracle=m)
     assert r.read("A knight rode through the forest.") and r.read("The knight saw a dragon.")
+
+
+def test_a_question_writes_its_text_once(monkeypatch):
+    class Text(str):
+        written = 0
+
+        def __repr__(self):
+            Text.written += 1
+            return str.__repr__(self)
+
+    text, stub = Text("it's a \"long\" day"), StubOracle()
+    triplets, pairs = [f"a|meets|b{i}" for i in range(40)], [(f"a{i}", "it's") for i in range(40)]
+    got = [stub.ask(m, triplets=triplets, text=text) for m in ("scores", "keep", "relevant")], stub.ask("attach", pairs=pairs, text=text)
+    assert Text.written <= 4
+    draw = lambda *parts: int(hashlib.sha1(repr(parts).encode()).hexdigest()[:8], 16)
+    plain = str(text)
+    drawn = {t: draw(t, plain) for t in triplets}
+    assert got[0] == [{t: d % 4 for t, d in drawn.items()}, [t for t, d in drawn.items() if d % 8], [i for i, d in enumerate(drawn.values()) if d % 3 == 0][:10]]
+    assert got[1] == [(a, "relates_to", b) for a, b in pairs if draw(a, b, plain) % 4 == 0]
+
+
+def test_only_a_sentence_that_may_be_lost_is_snapshot(monkeypatch):
+    copies = []
+    copied = State.copied
+    monkeypatch.setattr(State, "copied", lambda s: copies.append(s.sentence) or copied(s))
+    r = Reader("x")
+    r.read("The knight rode the dragon.")
+    r.read("The princess met the knight.")
+    assert not copies
+    assert r.read("Then he did.") and copies == [3] and r.s.sentence == 3
