@@ -75,13 +75,15 @@ class State:
     next_edge: int = 0
     #: Ids of the edges from one node to another, in order.
     pairs: dict[tuple[str, str], list[int]] = field(default_factory=dict)
+    #: Nodes of the view before that the last view left out.
+    left: set[str] = field(default_factory=set)
 
     def copied(self) -> State:
         """A snapshot: what changes in place is copied."""
         return State(
             {k: v | {"said": list(v["said"])} for k, v in self.nodes.items()}, {k: replace(e) for k, e in self.edges.items()}, set(self.carryover),
             list(self.context), dict(self.introduced), set(self.active_before), set(self.inactive), self.sentence, self.next_edge,
-            {k: list(v) for k, v in self.pairs.items()},
+            {k: list(v) for k, v in self.pairs.items()}, set(self.left),
         )
 
 
@@ -245,7 +247,8 @@ class Reader:
         self.s.context = [*self.s.context, text][-1:]
         self.s.carryover = set(view) - explicit
         now = set(view)
-        self.s.inactive = (self.s.inactive | (self.s.active_before - now)) - now
+        self.s.left = self.s.active_before - now  # WIN-14
+        self.s.inactive = (self.s.inactive | self.s.left) - now
         self.s.active_before = now
         return self._triplets(explicit) + self._activations(explicit)
 
@@ -267,7 +270,7 @@ class Reader:
                         count[s, kind] = count.get((s, kind), 0) + 1
         if first:
             return
-        wanted = {(a, b) if a < b else (b, a) for a in explicit for b in self.s.carryover if a != b}  # JOIN-10
+        wanted = {(a, b) if a < b else (b, a) for a in explicit for b in self.s.left if a != b}  # JOIN-10
         for a, r, b in self.oracle.ask("attach", pairs=sorted(wanted), text=text) if wanted else []:
             if ((a, b) if a < b else (b, a)) in wanted:
                 self.add(a, r, b, explicit)

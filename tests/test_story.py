@@ -212,3 +212,23 @@ def test_only_a_sentence_that_may_be_lost_is_snapshot(monkeypatch):
     r.read("The princess met the knight.")
     assert not copies
     assert r.read("Then he did.") and copies == [3] and r.s.sentence == 3
+
+
+def test_a_sentence_attaches_to_nodes_that_the_last_view_left_out():
+    class Asked(StubOracle):
+        pairs = None
+
+        def ask(self, method, **given):
+            if method == "attach":
+                Asked.pairs = set(given["pairs"])
+            return {t: 0 for t in given["triplets"]} if method == "scores" else super().ask(method, **given)
+
+    r, views, asked = Reader("x", oracle=Asked()), [set(), set()], 0
+    for text in ["The knight rode the horse.", "The horse saw a dragon.", "The dragon met a princess.", "The princess found the castle.", "The castle held a treasure.", "The treasure pleased the king."]:
+        Asked.pairs, gone = set(), views[-2] - views[-1]
+        r.read(text)
+        said = {n for n, node in r.s.nodes.items() if r.s.sentence in node["said"]}
+        assert Asked.pairs == {(min(a, b), max(a, b)) for a in said for b in gone if a != b}
+        asked += len(Asked.pairs)
+        views.append(set(r.s.active_before))
+    assert asked
