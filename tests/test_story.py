@@ -1,9 +1,11 @@
 import hashlib
+import random
 
 import pandas as pd
 
 from fabulagraph.functions.oracle import ModelOracle, ReplayOracle, StubOracle, prompt_hash
 from fabulagraph.functions.tagger import RuleTagger, relations
+from fabulagraph.plans import story
 from fabulagraph.plans.story import Reader, State, read_stories, sentences_of
 from fabulagraph.streaming.story_stream import read_stream, windowed_counts
 
@@ -232,3 +234,48 @@ def test_a_sentence_attaches_to_nodes_that_the_last_view_left_out():
         asked += len(Asked.pairs)
         views.append(set(r.s.active_before))
     assert asked
+
+
+def test_a_sentence_leaves_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(story, "ROWS", 3)
+    whole, parts = Reader("x"), Reader("x")
+    for text in TEXT.split(". "):
+        batches = parts.batches(text)
+        assert max(b.num_rows for b in batches if b.column("kind")[0].as_py() == "sentence") <= 3
+        assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == whole.read(text)
+    assert [tuple(r.values()) for b in parts.last() for r in b.to_pylist()] == whole.finish()
+
+
+def test_bridges_and_parts_by_column_equal_removal_one_by_one():
+    rng = random.Random(7)
+    for _ in range(200):
+        n = rng.randint(2, 12)
+        links = [rng.sample(range(n), 2) for _ in range(rng.randint(0, 16))]
+        r = reader([(f"n{a}", f"n{b}", True) for a, b in links], nodes=[f"n{i}" for i in range(n)])
+        names = {x for a, b in links for x in (a, b)}
+        pairs = {frozenset(x) for x in links}
+
+        def parts(pairs):
+            found = [{x} for x in names]
+            for pair in pairs:
+                meet = [p for p in found if p & pair]
+                found = [p for p in found if not p & pair] + [set().union(*meet)]
+            return {frozenset(f"n{i}" for i in p) for p in found}
+
+        e = r.s.edges
+        assert {frozenset(p) for p in story._parts(e, e.live(), set())} == parts(pairs)
+        got = {frozenset((e.nodes.all[c >> 32], e.nodes.all[c & 0xFFFFFFFF])) for c in story._bridges(e.codes(e.live())).tolist()}
+        assert got == {frozenset(f"n{i}" for i in p) for p in pairs if len(parts(pairs - {p})) > len(parts(pairs))}
+
+
+def test_many_edges_are_added_as_one_by_one():
+    rng = random.Random(3)
+    one, many = reader([], nodes="abcdef"), reader([], nodes="abcdef")
+    for at in range(1, 30):
+        one.s.sentence = many.s.sentence = at
+        some = [(*rng.sample("abcdef", 2), rng.choice(["sees", "meets", "is_not", "", "b"])) for _ in range(8)]
+        for a, b, label in some:
+            one.add(a, label, b, set(), free=True)
+        many.add_all([(a, label, b) for a, b, label in some])
+        row = lambda r: [(i, e.src, e.label, e.dst, e.made, e.since, e.visibility, e.active, e.asserted) for i, e in r.s.edges.items()]
+        assert row(one) == row(many) and one.reached == many.reached and len(one.s.edges) == len(row(one))
